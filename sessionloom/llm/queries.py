@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import language_id, mixing, packing, secrets
+from ._spans import digests
 from ._shared import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "text")
+    return language_id.identify(rows, language_id.train(docs), keep=["doc_id", "held_out"])
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests(secrets.scan(docs, secrets.train(docs)), secrets.KINDS, 3)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,5 +60,10 @@ SELECT doc_id, size, source, source_size, target,
 FROM ranked
 """
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_packing": op10_packing}
+QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_mixing": op4_mixing,
+    "op6_secrets": op6_secrets,
+    "op10_packing": op10_packing,
+}
 ORACLES = {"op4_mixing": OP4_SQL}
