@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, secrets
+from . import language_id, mixing, packing, pii, secrets
 from ._spans import digests
 from ._shared import table
 
@@ -20,6 +20,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(secrets.scan(docs, secrets.train(docs)), secrets.KINDS, 3)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests(pii.scan(docs, pii.train(docs)), pii.KINDS, 4)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
     "op6_secrets": op6_secrets,
+    "op8_pii": op8_pii,
     "op10_packing": op10_packing,
 }
 ORACLES = {"op4_mixing": OP4_SQL}
