@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, pii, secrets
+from . import language_id, mixing, near_dedup, packing, pii, secrets
 from ._spans import digests
 from ._shared import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "text")
@@ -66,6 +70,7 @@ FROM ranked
 """
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
     "op6_secrets": op6_secrets,
