@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, packing, pii, secrets
+from . import embedding_dedup, exact_topk, language_id, mixing, near_dedup, packing, pii, secrets
 from ._spans import digests
 from ._shared import table
 
@@ -24,6 +24,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(secrets.scan(docs, secrets.train(docs)), secrets.KINDS, 3)
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digests(pii.scan(docs, pii.train(docs)), pii.KINDS, 4)
@@ -69,12 +77,26 @@ SELECT doc_id, size, source, source_size, target,
 FROM ranked
 """
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
+    "op5_exact_topk": op5_exact_topk,
     "op6_secrets": op6_secrets,
     "op8_pii": op8_pii,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op4_mixing": OP4_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_topk": OP5_SQL}
