@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_topk, language_id, mixing, near_dedup, packing, pii, secrets
+from . import chat_format, embedding_dedup, exact_topk, language_id, mixing, near_dedup, packing, pii, secrets, url_filters
 from ._spans import digests
 from ._shared import table
 
@@ -24,6 +25,35 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(secrets.scan(docs, secrets.train(docs)), secrets.KINDS, 3)
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list over all hosts, parent domains and first path parts of ``pages``, as the tables have none.
+
+    Digits of a pattern's MD5 choose whether and when it is added, removed 150 days later and added again 300 days later.
+    """
+    url = pages.select(url_filters.host_of(F.col("url")).alias("host"), url_filters.path_of(F.col("url")).alias("path")).where("host IS NOT NULL")
+    first = F.regexp_extract("path", "^/*([^/]+)", 1)
+    parent = F.regexp_replace("host", r"^[^.]*\.", "")
+    names = url.select(F.explode(F.array("host", parent, F.concat("host", F.lit("/"), first))).alias("pattern")).distinct()
+    digit = lambda i, n: F.conv(F.substring(F.md5("pattern"), i, n), 16, 10).cast("int")
+    start = F.date_add(F.lit("2023-01-01").cast("date"), digit(2, 3) % 700)
+    entries = names.select("pattern", digit(1, 1).alias("d"), start.alias("start")).where("d < 6")
+    steps = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(days).alias("days"), F.lit(below).alias("below")) for a, days, below in (("add", 0, 6), ("remove", 150, 4), ("add", 300, 2))])
+    entries = entries.select("pattern", "d", "start", F.inline(steps)).where("d < below")
+    return entries.select("pattern", "action", F.date_add("start", F.col("days")).alias("at"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are ``pages``; the tables have no fetch times, so page_id gives one within two years."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(730)).cast("int"))
+    found = url_filters.evaluate(pages.withColumn("fetched", fetched), dated_list(pages))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("fetched", "since")})
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -89,14 +119,59 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 5
 """
 
+OP3_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, url, DATE '2023-01-01' + (page_id % 730)::INTEGER AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 1)), '\.$', ''), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 2) AS path
+  FROM pages
+), names AS (
+  SELECT DISTINCT unnest([host, regexp_replace(host, '^[^.]*\.', ''), host || '/' || regexp_extract(path, '^/*([^/]+)', 1)]) AS pattern
+  FROM parsed WHERE host IS NOT NULL
+), started AS (
+  SELECT pattern, ('0x' || substr(md5(pattern), 1, 1))::INTEGER AS d,
+         DATE '2023-01-01' + ('0x' || substr(md5(pattern), 2, 3))::INTEGER % 700 AS start
+  FROM names
+), entries AS (
+  SELECT pattern, 'add' AS action, start AS day FROM started WHERE d < 6
+  UNION ALL SELECT pattern, 'remove', start + 150 FROM started WHERE d < 4
+  UNION ALL SELECT pattern, 'add', start + 300 FROM started WHERE d < 2
+), valid AS (
+  SELECT pattern, action, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM entries
+), hits AS (
+  SELECT p.page_id, p.url, count(*) AS n,
+         min(struct_pack(size := -length(v.pattern), pattern := v.pattern, since := v.valid_from)) AS best
+  FROM parsed p JOIN valid v
+    ON v.action = 'add' AND p.fetched >= v.valid_from AND (v.valid_to IS NULL OR p.fetched < v.valid_to)
+   AND (p.host = v.pattern OR ends_with(p.host, '.' || v.pattern)
+        OR starts_with(regexp_replace(p.host || '/' || p.path || '/', '/+', '/', 'g'), v.pattern || '/') AND contains(v.pattern, '/'))
+  GROUP BY p.page_id, p.url
+)
+SELECT p.page_id, p.url, p.fetched::VARCHAR AS fetched, p.host, h.n IS NOT NULL AS blocked, coalesce(h.n, 0)::BIGINT AS n_entries, h.best.pattern AS pattern, h.best.since::VARCHAR AS since
+FROM parsed p LEFT JOIN hits h ON p.page_id = h.page_id AND p.url = h.url
+"""
+
+OP7_SQL = """
+WITH convs AS (
+  SELECT conv_id, count(*) AS n_turns, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, sha256(text)) AS said,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text)) AS chat
+  FROM conversations GROUP BY conv_id
+)
+SELECT a.conv_id, a.n_turns, a.chat FROM convs a
+WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE b.said[1] = a.said[1] AND b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)
+  AND NOT EXISTS (SELECT 1 FROM convs b WHERE b.said = a.said AND b.conv_id < a.conv_id)
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op6_secrets": op6_secrets,
+    "op7_chat_format": op7_chat_format,
     "op8_pii": op8_pii,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_topk": OP5_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_topk": OP5_SQL, "op3_url_filters": OP3_SQL, "op7_chat_format": OP7_SQL}
