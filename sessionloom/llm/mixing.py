@@ -61,15 +61,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """Rows of ``docs`` as the mix takes them: a copy an epoch, the last cut after the words that are still due.
 
-    ``mixed`` has id and taken; a document that takes nothing goes. Text of whole copies is left as it is; a cut copy
-    is its words joined by single spaces. Ids should be distinct: with repeated ids each row takes the largest of their counts.
+    ``mixed`` has doc_id, size and taken. A document that takes nothing goes, as does one without words. Text of whole copies is left as it is; a cut copy
+    is its words joined by single spaces, and ``length_col``, if it is there, follows. Rows that repeat an id each take
+    the largest of its counts.
     """
     due = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.join(due, F.col(id_col) == F.col("_id"))
+    rows = docs.join(due.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
-    cut_text = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), words.cast("int")), " ")
-    return rows.withColumn(text_col, F.when(words < F.col("_size"), cut_text).otherwise(F.col(text_col))).drop("_id", "_taken", "_size", "_copy")
+    space = r"[\x20\x09-\x0D]+"
+    first = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), "^" + space, ""), space), F.lit(1), words.cast("int")), " ")
+    part = words < F.col("_size")
+    rows = rows.withColumn(text_col, F.when(part, first).otherwise(F.col(text_col)))
+    if length_col in docs.columns:
+        rows = rows.withColumn(length_col, F.when(part, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return rows.select(*docs.columns)
