@@ -27,8 +27,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _clean(spark: SparkSession) -> None:
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def _clean(spark: SparkSession, app: str) -> None:
+    for path in _written.pop(app, []):
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -43,12 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     app = spark.sparkContext.applicationId
     if app not in _written:
         _written[app] = []
-        atexit.register(_clean, spark)
+        atexit.register(_clean, spark, app)
     _written[app].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores put before it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

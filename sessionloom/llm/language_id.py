@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import flat_bytes, slices
+from ._shared import flat_bytes, fresh, slices
 
 #: Rows a language (expected) that train, and characters of each, from a place that depends on its id.
 TRAIN_ROWS, TRAIN_CHARS = 128, 400
@@ -170,14 +170,15 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     asked = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col))
-    rows = docs.select(*keep, asked.alias("_asked"))
+    name = fresh("asked", keep)
+    rows = docs.select(*keep, asked.alias(name))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for some in slices(batch, "_asked"):
-                asked = some.column("_asked")
+            for some in slices(batch, name):
+                asked = some.column(name)
                 names, score = ["und"] * some.num_rows, np.zeros(some.num_rows)
                 if m.languages:
                     names, score = m.predict(*flat_bytes(asked))

@@ -68,14 +68,14 @@ def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col:
     is its words joined by single spaces, and ``length_col``, if it is there, follows. Rows that repeat an id each take
     the largest of its counts.
     """
-    due = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.join(due.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
+    due = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("due_id")).agg(F.max("taken").alias("due"), F.max("size").alias("size"))
+    rows = docs.select(F.struct("*").alias("doc")).join(due.hint("shuffle_hash"), F.col(f"doc.{id_col}").eqNullSafe(F.col("due_id")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("due") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("due") - (F.col("copy") - 1) * F.col("size"))
     space = r"[\x20\x09-\x0D]+"
-    first = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), "^" + space, ""), space), F.lit(1), words.cast("int")), " ")
-    part = words < F.col("_size")
-    rows = rows.withColumn(text_col, F.when(part, first).otherwise(F.col(text_col)))
+    text = F.col(f"doc.{text_col}")
+    first = F.array_join(F.slice(F.split(F.regexp_replace(text, "^" + space, ""), space), F.lit(1), words.cast("int")), " ")
+    new = {text_col: F.when(words < F.col("size"), first).otherwise(text)}
     if length_col in docs.columns:
-        rows = rows.withColumn(length_col, F.when(part, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return rows.select(*docs.columns)
+        new[length_col] = F.when(words < F.col("size"), F.length(first)).otherwise(F.col(f"doc.{length_col}")).cast(docs.schema[length_col].dataType)
+    return rows.select(*[new.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns])

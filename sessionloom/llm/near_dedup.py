@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import cut, flat_bytes, keyed_groups, slices
+from ._shared import cut, flat_bytes, fresh, keyed_groups, slices
 from ._spans import runs
 from .components import connected_components
 
@@ -254,5 +254,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
     """Rows of ``docs`` that near_duplicates keeps: of each group of near-duplicates the one with the smallest id, rows with a null id too."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    key = fresh("gone", docs.columns)
+    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import flat_bytes, slices
+from ._shared import flat_bytes, fresh, slices
 from ._spans import FOUND, FOUND_TYPE, Span, lookup, rows_of
 
 TYPES = ("email", "ip", "card", "phone")
@@ -294,19 +294,20 @@ def scan(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_c
     the field's further spans. A null or empty text has none. Rows without @ and with under four digits are passed over.
     """
     keep = [c for c in (keep or [id_col]) if c != "found"]
+    name = fresh("text", keep)
     schema = docs.select(*keep).schema.add("found", FOUND_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "_text"):
-                data, offsets = flat_bytes(some.column("_text"))
+            for some in slices(batch, name):
+                data, offsets = flat_bytes(some.column(name))
                 found: list[list[dict]] = [[]] * some.num_rows
                 for i in _possible(data, offsets):
                     text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
                     found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans_of(text, weights)]
                 yield pa.record_batch([*(some.column(c) for c in keep), pa.array(found, FOUND)], [*keep, "found"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(name)).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spans import FOUND, FOUND_TYPE, Span, lookup, rows_of, runs
-from ._shared import flat_bytes, slices
+from ._shared import flat_bytes, fresh, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -60,17 +60,19 @@ class Model:
 
 
 def fit(random_strings: list[str], ordinary: list[str]) -> Model:
-    """Bigram models over the candidates' characters, smoothed by adding one half."""
+    """Bigram models over the candidates' characters, each row smoothed towards the single characters' shares."""
     classes = np.zeros(256, np.int64)
     for k, c in enumerate(TOKEN):
         classes[ord(c)] = k + 1
     logs = []
     for strings in (random_strings, ordinary):
-        seen = np.full((len(TOKEN) + 1, len(TOKEN) + 1), 0.5)
+        seen = np.zeros((len(TOKEN) + 1, len(TOKEN) + 1))
         for s in strings:
             cls = classes[np.frombuffer(s.encode("ascii", "ignore"), np.uint8)]
             np.add.at(seen, (np.concatenate([[0], cls[:-1]])[: len(cls)], cls), 1)
-        logs.append(np.log(seen[:, 1:] / seen[:, 1:].sum(1, keepdims=True)))
+        single = seen[:, 1:].sum(0) + 0.5
+        seen = seen[:, 1:] + 4 * single / single.sum()
+        logs.append(np.log(seen / seen.sum(1, keepdims=True)))
     ratio = np.zeros((len(TOKEN) + 1, len(TOKEN) + 1))
     ratio[:, 1:] = logs[0] - logs[1]
     return Model(classes, ratio)
@@ -113,6 +115,7 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     no spans. Rows with nothing to look at are passed over through whole-batch byte masks.
     """
     keep = [c for c in (keep or [id_col]) if c != "found"]
+    name = fresh("text", keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("found", FOUND_TYPE)
     mark = lookup(":=")
@@ -121,8 +124,8 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for some in slices(batch, "_text"):
-                data, offsets = flat_bytes(some.column("_text"))
+            for some in slices(batch, name):
+                data, offsets = flat_bytes(some.column(name))
                 first, last = runs(hexes[data], offsets)
                 akia = np.fromiter((x.start() for x in re.finditer(b"AKIA", data)), np.int64)
                 start, end, _ = m.candidates(data, offsets)
@@ -140,4 +143,4 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                     found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
                 yield pa.record_batch([*(some.column(c) for c in keep), pa.array(found, FOUND)], [*keep, "found"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(name)).mapInArrow(run, schema)
