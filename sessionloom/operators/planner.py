@@ -21,21 +21,27 @@ _LAST = {"L0": -1, "L1": 1, "L2": 2, "L3": 3, "L4": 4, "L5": 5}
 
 
 def scored(items: DataFrame, config: Config) -> DataFrame:
-    """Items with idx, n_items, dup_count, is_canonical, is_pinned, the importance components and importance."""
-    out = duplicates(indexed(items)).withColumn("is_pinned", scoring.pinned(config)).withColumns(scoring.components())
+    """Items with idx, n_items, dup_count, is_canonical, is_pinned, the importance components and importance.
+
+    What depends on texts comes before the windows, so that only slim rows are shuffled unless texts are asked for.
+    """
+    rows = items if "is_pinned" in items.columns else items.withColumn("is_pinned", scoring.pinned(config))
+    out = duplicates(indexed(rows)).withColumns(scoring.components())
     return out.withColumn("importance", F.when(F.col("is_pinned"), f32(1.0)).otherwise(scoring.total()))
 
 
 def candidates(items: DataFrame, config: Config, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS) -> DataFrame:
     """Scored items with the tokens that each level would cost: reduced, extracted and external."""
-    rows = scored(items, config)
     content, command, code = F.col("content"), scoring.meta("command"), scoring.meta("exit_code")
+    rows = items.withColumn("is_pinned", scoring.pinned(config))
     name = reducers.reducer_name(F.col("kind"), content, registry) if config.tools.reduce_logs else F.lit(None).cast("string")
     rows = rows.withColumn("reducer", F.when(~F.col("is_pinned"), name))
     cost = lambda which: F.when(F.col("reducer").isNull(), F.col("token_count")).otherwise(token_count(reducers.apply(which, F.col("reducer"), content, command, code, registry)))
     rows = rows.withColumn("reduced_tokens", cost("reduce")).withColumn("extracted_tokens", cost("extract"))
     can = F.lit(config.tools.externalize_large_results) & scoring.flag("recoverable") & (F.col("token_count") >= config.tools.large_result_tokens)
-    return rows.withColumn("external_tokens", F.when(can, token_count(artifact_uri(slug(F.col("kind")), F.col("item_id")))).otherwise(F.col("extracted_tokens")))
+    rows = rows.withColumn("external_tokens", F.when(can, token_count(artifact_uri(slug(F.col("kind")), F.col("item_id")))).otherwise(F.col("extracted_tokens")))
+    dedup = F.lit(config.tools.deduplicate) & ~F.col("is_pinned") & (F.col("dup_count") > 1) & ~F.col("is_canonical")
+    return scored(rows, config).withColumn("deduplicated", dedup)
 
 
 def targets(rows: DataFrame, config: Config, model: Model, extra: Column) -> DataFrame:
@@ -49,78 +55,82 @@ def targets(rows: DataFrame, config: Config, model: Model, extra: Column) -> Dat
     return rows.withColumn("target_tokens", F.when(budget.needs_compaction(F.col("pressure_state")), F.least("configured_target", forecast)).otherwise(F.col("configured_target")))
 
 
-def steps(rows: DataFrame, config: Config) -> DataFrame:
-    """One row a useful step of an item: its place k in the item's chain, level, after, savings, utility and low, the smallest so far."""
+def steps(rows: DataFrame, config: Config, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a useful step of an item: its place k in the item's chain, level, after, savings, utility and low, the smallest so far.
+
+    With ``keep``, these columns follow, and each item has a first row of k 0 without a step.
+    """
     cost = {"L1": F.col("reduced_tokens"), "L2": F.col("extracted_tokens"), "L4": F.col("external_tokens"), "L5": F.lit(0).cast("long")}
     order = F.expr("CASE compression_level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _LAST.items()) + " ELSE -1 END")
     chain = F.array(F.struct(F.lit(-1).alias("n"), F.lit("").alias("level"), F.col("token_count").alias("after")), *[F.struct(F.lit(int(k[1])).alias("n"), F.lit(k).alias("level"), v.cast("long").alias("after")) for k, v in cost.items()])
     reachable = F.filter(chain, lambda s: (s["n"] == -1) | (s["n"] > order))
-    # A step is effective if it costs less than all before it.
-    lower = F.filter(reachable, lambda s, i: (i == 0) | (s["after"] < F.array_min(F.transform(F.slice(reachable, F.lit(1), i), lambda x: x["after"]))))
     loss = F.greatest((f32(1.0) - F.col("importance")).cast("float"), f32(0.01))
     if config.importance_protects:
         loss = F.greatest(F.col("importance"), f32(0.01))
-    useful = rows.where(~F.col("is_pinned") & ~F.col("deduplicated") & (F.col("compression_level") != "L5")).withColumn("_loss", loss).withColumn("_lower", lower)
-    moves = F.transform(
-        F.slice("_lower", F.lit(2), F.greatest(F.size("_lower") - 1, F.lit(0))),
-        lambda s, i: F.struct((i + 1).alias("k"), s["level"].alias("level"), s["after"].alias("after"), (F.get("_lower", i)["after"] - s["after"]).alias("savings"), s["n"].alias("n")),
-    )
-    out = useful.select("session_id", "item_id", "idx", "_loss", F.explode(moves).alias("s")).select("session_id", "item_id", "idx", "_loss", "s.*")
+    rows = rows.withColumn("_loss", loss).withColumn("_reachable", reachable)
+    # A step is effective if it costs less than all before it.
+    lower = F.filter("_reachable", lambda s, i: (i == 0) | (s["after"] < F.array_min(F.transform(F.slice("_reachable", F.lit(1), i), lambda x: x["after"]))))
+    rows = rows.withColumn("_lower", lower)
+    moves = F.transform("_lower", lambda s, i: F.struct(i.alias("k"), s["level"].alias("level"), s["after"].alias("after"), F.when(i > 0, F.get("_lower", i - 1)["after"] - s["after"]).alias("savings"), s["n"].alias("n")))
+    still = F.col("is_pinned") | F.col("deduplicated") | (F.col("compression_level") == "L5")
+    moves = F.when(still, F.slice(moves, 1, 1)).otherwise(moves)
+    out = rows.withColumn("_moves", moves).select("session_id", "item_id", "idx", "_loss", *keep, F.explode("_moves").alias("s")).select("session_id", "item_id", "idx", "_loss", *keep, "s.*")
     penalty = (f32(1.0) + (f32(F.col("n")) * f32(0.15)).cast("float")).cast("float")
-    out = out.withColumn("utility", (f32(F.col("savings")) / (F.col("_loss") * penalty).cast("float")).cast("float"))
+    out = out.withColumn("utility", F.when(F.col("k") > 0, (f32(F.col("savings")) / (F.col("_loss") * penalty).cast("float")).cast("float")))
     so_far = W.partitionBy("session_id", "idx").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return out.withColumn("low", F.min("utility").over(so_far)).select("session_id", "item_id", "idx", "k", "level", "after", "savings", "utility", "low")
+    out = out.withColumn("low", F.min("utility").over(so_far)).select("session_id", "item_id", "idx", "k", "level", "after", "savings", "utility", "low", *keep)
+    return out if keep else out.where("k > 0")
 
 
-def taken_steps(steps_df: DataFrame, goals: DataFrame) -> DataFrame:
-    """The steps that the plan takes, given current_tokens, configured_target and target_tokens by session.
+def taken(rows: DataFrame) -> DataFrame:
+    """Adds is_taken to steps that carry current_tokens, configured_target and target_tokens of their session.
 
     First until the configured target is met; then, to a lower forecast target, without evictions.
     """
-    rows = steps_df.join(goals.select("session_id", "current_tokens", "configured_target", "target_tokens"), "session_id")
-    by = W.partitionBy("session_id").orderBy(F.desc("low"), "idx", "k")
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    rows = rows.withColumn("_first", F.coalesce(F.sum("savings").over(before), zero) < F.col("current_tokens") - F.col("configured_target"))
-    rows = rows.withColumn("_then", ~F.col("_first") & (F.col("level") != "L5"))
+    before = W.partitionBy("session_id").orderBy(F.desc("low"), "idx", "k").rowsBetween(W.unboundedPreceding, -1)
+    zero, step = F.lit(0).cast("long"), F.col("k") > 0
+    rows = rows.withColumn("_first", step & (F.coalesce(F.sum("savings").over(before), zero) < F.col("current_tokens") - F.col("configured_target")))
+    rows = rows.withColumn("_then", step & ~F.col("_first") & (F.col("level") != "L5"))
     spent = F.coalesce(F.sum(F.when(F.col("_first"), F.col("savings"))).over(W.partitionBy("session_id")), zero)
     rows = rows.withColumn("_left", F.col("current_tokens") - spent - F.col("target_tokens"))
-    rows = rows.withColumn("_second", F.col("_then") & (F.coalesce(F.sum(F.when(F.col("_then"), F.col("savings"))).over(before), zero) < F.col("_left")))
-    return rows.where("_first OR _second").select("session_id", "item_id", "idx", "k", "level", "after", "savings")
+    second = F.col("_then") & (F.coalesce(F.sum(F.when(F.col("_then"), F.col("savings"))).over(before), zero) < F.col("_left"))
+    return rows.withColumn("is_taken", F.col("_first") | second).drop("_first", "_then", "_left")
 
 
 def plan(items: DataFrame, config: Config | None = None, model: Model | None = None, *, extra: int | DataFrame = 0, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS) -> tuple[DataFrame, DataFrame]:
     """(actions, headers): an action for each item in order, and a header for each session.
 
-    ``extra`` are the predicted tokens, one number or (session_id, extra_tokens). Items are those of an active view.
+    ``extra`` are the predicted tokens, one number or (session_id, extra_tokens). Items are those of an active view. One shuffle
+    by session, without texts, serves every window and sum.
     """
     config = (config or Config()).validate()
     model = (model or Model.default(config)).check(config)
+    own = W.partitionBy("session_id")
     rows = candidates(items, config, registry)
-    dedup = F.lit(config.tools.deduplicate) & ~F.col("is_pinned") & (F.col("dup_count") > 1) & ~F.col("is_canonical")
-    rows = rows.withColumn("deduplicated", dedup)
-    sums = rows.groupBy("session_id").agg(F.sum("token_count").alias("before_tokens"), F.sum(F.when(F.col("deduplicated"), 0).otherwise(F.col("token_count"))).alias("current_tokens"))
-    if isinstance(extra, DataFrame):
-        sums = sums.join(extra.select("session_id", F.col("extra_tokens").alias("_extra")), "session_id", "left")
-        goals = targets(sums, config, model, F.coalesce("_extra", F.lit(0)).cast("long")).drop("_extra")
-    else:
-        goals = targets(sums, config, model, F.lit(extra).cast("long"))
-    done = taken_steps(steps(rows, config), goals)
-    done = done.groupBy("session_id", "item_id", "idx").agg(F.max_by("level", "k").alias("_level"), F.max_by("after", "k").alias("_after"))
-    rows = rows.join(done, ["session_id", "item_id", "idx"], "left")
-    step = lambda i: F.coalesce(*[F.when(F.col("_level") == level, F.lit(v[i])) for level, v in STEP.items()])
-
-    def choose(pin: object, dup: object, taken: Column, keep: object) -> Column:
+    rows = rows.withColumn("before_tokens", F.sum("token_count").over(own))
+    rows = rows.withColumn("current_tokens", F.sum(F.when(F.col("deduplicated"), 0).otherwise(F.col("token_count"))).over(own))
+    more = F.lit(extra).cast("long") if isinstance(extra, int) else F.coalesce("_extra", F.lit(0)).cast("long")
+    if not isinstance(extra, int):
+        rows = rows.join(extra.select("session_id", F.col("extra_tokens").alias("_extra")), "session_id", "left")
+    rows = targets(rows, config, model, more).withColumn("importance_parts", F.struct(F.col("importance").alias("total"), *IMPORTANCE))
+    header = ("before_tokens", "usable_tokens", "extra_tokens", "pressure_before", "predicted_pressure", "target_tokens", "pressure_state")
+    keep = (*header, "current_tokens", "configured_target", "is_pinned", "deduplicated", "compression_level", "token_count", "kind", "importance_parts")
+    rows = taken(steps(rows, config, keep=keep))
+    last = F.max(F.when(F.col("is_taken"), F.struct("k", "level", "after"))).over(W.partitionBy("session_id", "idx"))
+    rows = rows.withColumn("_last", last).where("k = 0")
+    name = F.col("_last.level")
+    step = lambda i: F.coalesce(*[F.when(name == level, F.lit(v[i])) for level, v in STEP.items()])
+
+    def choose(pin: object, dup: object, done: Column, rest: object) -> Column:
         as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-        return F.when(F.col("is_pinned"), as_col(pin)).when(F.col("deduplicated"), as_col(dup)).when(F.col("_level").isNotNull(), taken).otherwise(as_col(keep))
+        return F.when(F.col("is_pinned"), as_col(pin)).when(F.col("deduplicated"), as_col(dup)).when(name.isNotNull(), done).otherwise(as_col(rest))
 
     level, count = F.col("compression_level"), F.col("token_count")
-    importance = F.struct(F.col("importance").alias("total"), *IMPORTANCE).alias("importance")
-    actions = rows.select(
-        "session_id", "item_id", "idx", choose("Pin", "Deduplicate", step(0), "Keep").alias("action"), level.alias("from_level"), choose(level, "L5", F.col("_level"), level).alias("to_level"),
-        count.alias("estimated_before"), choose(count, F.lit(0).cast("long"), F.col("_after"), count).alias("estimated_after"), importance,
-        choose("pin: mandatory or user constraint", "deduplicate: repeated content", step(1), "keep: baseline").alias("reason"), F.col("kind").alias("item_kind"),
+    rows = rows.select(
+        "session_id", "item_id", "idx", choose("Pin", "Deduplicate", step(0), "Keep").alias("action"), level.alias("from_level"), choose(level, "L5", name, level).alias("to_level"),
+        count.alias("estimated_before"), choose(count, F.lit(0).cast("long"), F.col("_last.after"), count).alias("estimated_after"), F.col("importance_parts").alias("importance"),
+        choose("pin: mandatory or user constraint", "deduplicate: repeated content", step(1), "keep: baseline").alias("reason"), F.col("kind").alias("item_kind"), *header,
     )
-    after = actions.groupBy("session_id").agg(F.sum("estimated_after").alias("expected_after_tokens"))
-    headers = goals.join(after, "session_id").select("session_id", "before_tokens", "usable_tokens", "extra_tokens", "pressure_before", "predicted_pressure", "target_tokens", "expected_after_tokens", "pressure_state")
-    return actions, headers
+    headers = rows.groupBy("session_id", *header).agg(F.sum("estimated_after").alias("expected_after_tokens"))
+    headers = headers.select("session_id", *header[:6], "expected_after_tokens", "pressure_state")
+    return rows.drop(*header), headers

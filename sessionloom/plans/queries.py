@@ -115,7 +115,7 @@ def _file_plan(spark, sf_dir):
 
 
 def candidate_steps(spark, sf_dir):
-    rows = planner.candidates(files(spark, sf_dir), FILES).withColumn("deduplicated", (F.col("dup_count") > 1) & ~F.col("is_canonical") & ~F.col("is_pinned"))
+    rows = planner.candidates(files(spark, sf_dir), FILES)
     return planner.steps(rows, FILES).select("session_id", "item_id", F.col("k").cast("long").alias("k"), "level", "after", "savings", *digits("utility", "low"))
 
 

@@ -66,7 +66,8 @@ def test_plan_equals_greedy_loop(spark):
     df = spark.createDataFrame(steps, columns).withColumn("is_pinned", F.lit(False)).withColumn("deduplicated", F.lit(False))
     g = spark.createDataFrame(goals, "session_id string, current_tokens long, configured_target long, target_tokens long")
     taken = {}
-    for x in planner.taken_steps(planner.steps(df, Config()), g).orderBy("session_id", "idx", "k").collect():
+    rows = planner.steps(df.join(g, "session_id"), Config(), keep=("current_tokens", "configured_target", "target_tokens"))
+    for x in planner.taken(rows).where("is_taken").orderBy("session_id", "idx", "k").collect():
         taken[x.session_id, x.idx] = (x.level, x.after)
     for s, (level, after) in want.items():
         for i, (lv, a) in enumerate(zip(level, after, strict=True)):
