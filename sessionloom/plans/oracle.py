@@ -210,3 +210,4 @@ SELECT doc_id, array_to_string(list_filter(xs, lambda x, i: i = 1 OR x <> xs[i -
 SELECT doc_id, CASE WHEN f = 0 AND p > 0 THEN p || ' tests passed' || chr(10) || '0 failed' || chr(10) || 'duration ' || d
   ELSE array_to_string(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. FAILED$') OR regexp_matches(x, '(?i)failures:') OR starts_with(x, '----'))[1:201], chr(10)) END AS reduced FROM n""",
 }
+ORACLES["stream_event_ema"] = ORACLES["event_type_ema"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from ..operators import materialize as apply_ops
 from ..operators import planner, predict, report
 from ..schema import IMPORTANCE, Config, Context, Model, Reserve, Tools
 from ..sources import jsonl, tables
+from ..streaming.ingest import latest_state, running_ema
 
 #: Windows small enough that sessions of the tables come under pressure.
 CHAT = Config(context=Context(max_context_window=900), reserve=Reserve(100, 50))
@@ -98,6 +101,15 @@ def event_type_ema(spark, sf_dir):
     return predict.ema(rows, 0.25, keys=("user_id", "event_type"), value="value", order=("ts", "event_id")).select("user_id", "event_type", *digits("ema"), "count")
 
 
+def stream_event_ema(spark, sf_dir):
+    """The same averages by a stream over the table, with state kept between micro-batches; a pattern names it, as a stream takes no single file."""
+    schema = _read(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("value", F.round("value"))
+    updates = running_ema(rows, 0.25, {"user_id": "long", "event_type": "string"}, "value", ["ts", "event_id"])
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    return latest_state(updates, ["user_id", "event_type"], folder).select("user_id", "event_type", *digits("ema"), "count")
+
+
 def token_prediction(spark, sf_dir):
     stats = predict.token_stats(chats(spark, sf_dir), CHAT)
     return predict.prediction(stats, CHAT).select("session_id", "expected_input", "expected_tool_output", "expected_assistant_output")
@@ -226,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
-        event_type_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
+        event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
         latest_event, checkpoint_items, reducer_choice,
     )
 } | {

@@ -24,28 +24,44 @@ def item_stream(spark: SparkSession, path: str, session: str = "default", *, ada
     return enrich(records(lines, F.lit(session)), adapter=adapter)
 
 
-def ema_stream(items: DataFrame, config: Config) -> DataFrame:
-    """session_id, event_type, ema and count after each micro-batch, of keys that it touched.
+def running_ema(rows: DataFrame, alpha: float, keys: dict[str, str], value: str, order: list[str]) -> DataFrame:
+    """The keys (name to type) with ema and count after each micro-batch, of keys that it touched.
 
-    Values of a key are folded in the order of created_at and id within a micro-batch, batches in order of arrival: equal to the
-    batch operator if items arrive in that order. State survives restarts through the query's checkpoint.
+    Values of a key are folded in ``order`` within a micro-batch, batches in order of arrival: equal to the batch
+    operator if rows arrive in that order. State survives restarts through the query's checkpoint.
     """
-    alpha = np.float32(max(0.0, min(1.0, config.prediction.ema_alpha)))
+    a = np.float32(max(0.0, min(1.0, alpha)))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["created_at", "item_id"], kind="stable")
+        new = pd.concat(list(batches)).sort_values(order, kind="stable")
         ema, count = state.get if state.exists else (None, 0)
         ema = None if ema is None else np.float32(ema)
-        for v in rows["token_count"].to_numpy(np.float32):
-            ema = v if ema is None else np.float32(alpha * v + (np.float32(1) - alpha) * ema)
-        count += len(rows)
+        for v in new[value].to_numpy(np.float32):
+            ema = v if ema is None else np.float32(a * v + (np.float32(1) - a) * ema)
+        count += len(new)
         state.update((float(ema), count))
-        yield pd.DataFrame({"session_id": [key[0]], "event_type": [key[1]], "ema": [ema], "count": [count]})
+        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "ema": [ema], "count": [count]})
+
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", ema float, count long"
+    return rows.select(*keys, *order, value).groupBy(*keys).applyInPandasWithState(fold, schema, "ema double, count long", "update", GroupStateTimeout.NoTimeout)
+
+
+def ema_stream(items: DataFrame, config: Config) -> DataFrame:
+    """Running averages of items' tokens by session and event type, in order of created_at and id."""
+    rows = items.withColumn("event_type", event_type())
+    return running_ema(rows, config.prediction.ema_alpha, {"session_id": "string", "event_type": "string"}, "token_count", ["created_at", "item_id"])
+
+
+def latest_state(updates: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a stream of updates over what is there and returns the last of each key; ``folder`` must be new and shared."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    rows = items.withColumn("event_type", event_type()).select("session_id", "event_type", "created_at", "item_id", "token_count")
-    return rows.groupBy("session_id", "event_type").applyInPandasWithState(
-        fold, "session_id string, event_type string, ema float, count long", "ema double, count long", "update", GroupStateTimeout.NoTimeout
-    )
+    query = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = updates.sparkSession.read.parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
 
 
 def ingest_into(store: Store, items: DataFrame, config: Config, checkpoint: str, **trigger: object) -> StreamingQuery:
