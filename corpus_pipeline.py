@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from sessionloom.llm import language_id, mixing, near_dedup, packing, pii
 from sessionloom.llm._shared import cut, table
 
-#: A text is rejected if no language is told apart by at least this score.
-LEAST_SCORE = 0.01
+#: A text of at least so many characters is rejected if no language is told apart by at least this score; in a shorter one a near tie says little.
+LEAST_SCORE, LEAST_CHARS = 0.01, 200
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; those without letters or equally near to two languages go. A null lang is filled in."""
+    """Documents in an identified language; those without letters and longer ones as near to another language go. A null lang is filled in."""
     found = language_id.identify(docs, language_id.train(docs))
-    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    found = found.where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
