@@ -118,7 +118,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     and rows with a null id take no part. Shorter vectors count as filled up with zeros. Equal rows each count. Scores outside
     64 bits become the nearest number inside. An empty table gives an empty result.
 
-    Every pair of blocks is one task's work; a query gets at most ``k`` rows a block. The rotation is fitted to about
+    Blocks are shuffled, never broadcast; each pair of blocks is worked on by itself, and a query gets at most ``k`` rows from it. The rotation is fitted to about
     TRAIN_ROWS rows of lowest hash and only decides how soon bounds prune.
     """
     spark = vectors.sparkSession
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         packed = asked.repartition(max(1, -(-stats.queries // QUERY_BLOCK)), "id").mapInArrow(_pack(QUERY_BLOCK, dim), _BLOCKS)
         packed = packed.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("floor").alias("q_floor"), F.explode(parts).alias("part"))
         packed = packed.withColumn("n", F.explode(blocks_each))
-        return packed.join(blocks, ["part", "n"]).select("q_ids", "q_x", "q_floor", "ids", "x").mapInArrow(kernel, schema)
+        return packed.join(blocks.hint("merge"), ["part", "n"]).select("q_ids", "q_x", "q_floor", "ids", "x").mapInArrow(kernel, schema)
 
     first = against(queries.select("id", "x", low.alias("floor")), F.array(F.lit(ends.first)), F.array(F.lit(0)))
     floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("_low"), F.count(F.lit(1)).alias("_found")).where(F.col("_found") >= k)
