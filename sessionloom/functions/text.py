@@ -45,6 +45,10 @@ def artifact_uri(slug: Column, item_id: Column) -> Column:
     return F.concat(F.lit("artifact://"), slug, F.lit("/"), item_id)
 
 
+# Fixed value: how generated ids begin.
+ID_PREFIX = "cgc-"
+
+
 def new_id() -> Column:
-    """``cgc-`` and a random UUID; write it before it is used twice."""
-    return F.concat(F.lit("cgc-"), F.uuid())
+    """The prefix and a random UUID; write it before it is used twice."""
+    return F.concat(F.lit(ID_PREFIX), F.uuid())
