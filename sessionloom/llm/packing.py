@@ -23,7 +23,7 @@ Group = tuple[int, list[tuple[int, int]]]
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of each of the two tables of an encoder; they only save time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _encoders: dict[str, "Encoder"] = {}
 
 

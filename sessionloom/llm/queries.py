@@ -107,6 +107,47 @@ SELECT doc_id, size, source, source_size, target,
 FROM ranked
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON r.y = l.x
+), lowest AS (
+  SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id <= coalesce(y, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), found AS (
+  SELECT x AS vec_id, min(y) AS y FROM reach GROUP BY x
+), counts AS (
+  SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(y, e.vec_id)) AS component_id, e.vec_id <= coalesce(y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN found USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -174,4 +215,11 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_topk": OP5_SQL, "op3_url_filters": OP3_SQL, "op7_chat_format": OP7_SQL}
+ORACLES = {
+    "op1_near_dedup": OP1_SQL,
+    "op3_url_filters": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op5_exact_topk": OP5_SQL,
+    "op7_chat_format": OP7_SQL,
+    "op9_embedding_dedup": OP9_SQL,
+}
