@@ -56,6 +56,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a unique number a row, and that column's name; written once, as the numbers depend on the order of rows."""
+    name = fresh("row", df.columns)
+    return cut(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import cut, flat_bytes, fresh, keyed_groups, slices
+from ._shared import cut, flat_bytes, keyed_groups, slices, with_rows
 from ._spans import runs
 from .components import connected_components
 
@@ -253,7 +253,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """Rows of ``docs`` that near_duplicates keeps: of each group of near-duplicates the one with the smallest id, rows with a null id too."""
-    key = fresh("gone", docs.columns)
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left_anti")
+    """``docs`` with exactly one row of each group of near-duplicates: that with the smallest id, a null one last.
+
+    Each row takes part for itself, under a number of its own: rows with a null id, and rows that repeat an id, which stay
+    apart if their texts differ. Of rows with one id in a group a hash over the plain columns chooses, then the number.
+    """
+    rows, key = with_rows(docs)
+    found = near_duplicates(rows, id_col=key, **options).select("doc_id", "component_id")
+    plain = [c for c, t in docs.dtypes if "<" not in t and t != "variant"]
+    ids = rows.select(F.col(key).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(*plain).alias("_hash"))
+    ranked = found.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash", "_row"))
+    kept = ranked.groupBy("component_id").agg(first.alias("_first")).select(F.col("_first._row").alias(key))
+    return rows.join(kept.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)

@@ -108,6 +108,14 @@ def test_near_duplicates_awkward(spark, awkward, empty):
     assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 6, 8, 9, 10]
 
 
+def test_dedup_keeps_one_row_a_group(spark):
+    text, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, other), (None, other), (7, None), (7, None), (None, ""), (8, "k l m n o p"), (8, "one two three four"), (4, "k l m n o p")]
+    got = near_dedup.dedup(docs(spark, rows), words=3, percent=85)
+    want = [(1, text), (None, other), (7, None), (7, None), (None, ""), (4, "k l m n o p"), (8, "one two three four")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
 # ---- 2 ----
 
 WORDS = {"aa": "der die das und nicht ein haus garten vogel baum stein wasser".split(), "bb": "the and house garden bird tree stone water of with from".split()}
