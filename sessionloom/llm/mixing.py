@@ -6,8 +6,9 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ._shared import WORD, cut, ranks_within
+from ._shared import WORD, cut, ranks_within, with_rows
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> dict[str | None, Fraction]:
@@ -31,7 +32,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     return full
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row a row of ``docs``: its id, size, source, source_size, target and taken.
 
     Size is the number of words; a null or empty text has size 0 and takes 0. Documents of a source stand in the order
@@ -40,36 +41,52 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     same id are ordered by size; equal ones are interchangeable. A null id hashes as an empty id; a null source is a
     source of its own. An empty table gives an empty result. Other columns are not read.
 
+    ``row_col``, a unique number a row that must not change when it is read again, is kept if it is given; a null id then
+    hashes as its text's MD5, so that many of them spread over the ranges.
+
     Only one row a source reaches the driver. A hot source is cut into about sqrt(n) key ranges (see ranks_within).
     """
+    unnamed = F.lit("") if row_col is None else F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = [] if row_col is None else [row_col]
     rows = docs.select(
+        *kept,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_hash"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), unnamed))).alias("_hash"),
     )
     rows = cut(rows)
     sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     plan = [(s, float(t), int(t + Fraction(1, 2))) for s, t in targets(sizes, weights, max_epochs).items()]
     planned = docs.sparkSession.createDataFrame(plan, "_source string, target double, _budget long")
     spread = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    ranked = ranks_within(rows, "source", spread, ["_hash", "size"], F.col("size"), "_before", "source_size")
+    ranked = ranks_within(rows, "source", spread, ["_hash", "size", *kept], F.col("size"), "_before", "source_size")
     rest = F.col("_budget") - F.expr("CASE WHEN source_size = 0 THEN 0 ELSE _budget div source_size END") * F.col("source_size")
     epochs = F.expr("CASE WHEN source_size = 0 THEN 0L ELSE _budget div source_size END")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
     out = ranked.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(*kept, "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", row_col: str | None = None) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: a copy an epoch, the last cut after the words that are still due.
 
-    ``mixed`` has doc_id, size and taken. A document that takes nothing goes, as does one without words. Text of whole copies is left as it is; a cut copy
-    is its words joined by single spaces, and ``length_col``, if it is there, follows. Rows that repeat an id each take
-    the largest of its counts.
+    ``mixed`` has doc_id, source, size and taken. A document that takes nothing goes, as does one without words. Text of whole copies is left as it is; a cut copy
+    is its words joined by single spaces, and ``length_col``, if it is there, follows. Each row takes its own count: that of
+    its ``row_col``, if both tables have it; else rows of one id, source and size, which the mix holds interchangeable, are
+    numbered in both and joined by number.
     """
-    due = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("due_id")).agg(F.max("taken").alias("due"), F.max("size").alias("size"))
-    rows = docs.select(F.struct("*").alias("doc")).join(due.hint("shuffle_hash"), F.col(f"doc.{id_col}").eqNullSafe(F.col("due_id")))
+    rows, due = docs.select(F.struct("*").alias("doc")), mixed
+    if row_col is None:
+        size = F.coalesce(F.regexp_count(F.col(f"doc.{text_col}"), F.lit(WORD)), F.lit(0)).cast("long")
+        rows = rows.select("doc", F.col(f"doc.{id_col}").alias("_id"), F.col(f"doc.{source_col}").cast("string").alias("_source"), size.alias("_size"))
+        rows = rows.where("_size > 0").withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(f"doc.{text_col}"))))
+        due = due.where("size > 0").withColumn("due_nth", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"))))
+        same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size")) & (F.col("_nth") == F.col("due_nth"))
+    else:
+        due = due.withColumnRenamed(row_col, "due_row")
+        same = F.col(f"doc.{row_col}") == F.col("due_row")
+    rows = rows.join(due.where("taken > 0").withColumnRenamed("taken", "due").hint("shuffle_hash"), same)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("due") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("due") - (F.col("copy") - 1) * F.col("size"))
     space = r"[\x20\x09-\x0D]+"
@@ -79,3 +96,10 @@ def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col:
     if length_col in docs.columns:
         new[length_col] = F.when(words < F.col("size"), F.length(first)).otherwise(F.col(f"doc.{length_col}")).cast(docs.schema[length_col].dataType)
     return rows.select(*[new.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns])
+
+
+def mixed_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options: object) -> DataFrame:
+    """``docs`` as their own mix takes them, each row by a number of its own; ids may repeat or be null."""
+    rows, key = with_rows(docs)
+    mixed = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=key, **options)
+    return take(rows, mixed, id_col=id_col, text_col=text_col, source_col=source_col, length_col=length_col, row_col=key).drop(key)

@@ -202,6 +202,21 @@ def test_take(spark):
     assert words == Counter({r.doc_id: r.taken for r in mixed.collect() if r.taken})
 
 
+@pytest.mark.parametrize("by_row", [True, False])
+def test_take_with_null_and_repeated_ids(spark, by_row):
+    rows = [(None if i % 3 == 0 else i // 4, " ".join([f"t{i}"] * (1 + i % 7)), None, "xyz"[i % 11 % 3]) for i in range(200)] + [(None, None, None, "x"), (None, "", None, None)]
+    d = docs(spark, rows)
+    budget = {r.source: int(r.target + 0.5) for r in mixing.mix(d).collect()}
+    out = (mixing.mixed_copies(d) if by_row else mixing.take(d, mixing.mix(d))).collect()
+    words, copies = Counter(), Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+        copies[r.text.split()[0]] += 1
+    assert words == Counter({s: n for s, n in budget.items() if n}) and max(copies.values()) <= 3
+    whole = {t for _, t, _, _ in rows if t}
+    assert sum(r.text not in whole for r in out) <= 3
+
+
 # ---- 6 ----
 
 
