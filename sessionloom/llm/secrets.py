@@ -41,24 +41,41 @@ class Model:
     classes: np.ndarray
     ratio: np.ndarray
 
-    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends (bytes) and log-likelihood ratios of maximal candidate strings that are ahead."""
-        cls = self.classes[data]
-        start, end = runs(cls > 0, offsets)
+    def strings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends (bytes) of maximal candidate strings."""
+        start, end = runs(self.classes[data] > 0, offsets)
         long = end - start >= LEAST
-        start, end = start[long], end[long]
+        return start[long], end[long]
+
+    def scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each of these strings, on its own."""
         if not len(start):
-            return start, end, np.zeros(0)
+            return np.zeros(0)
         size = end - start
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
-        before = cls[np.maximum(at - 1, 0)]
         first = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(first - start, size)
+        before = self.classes[data[np.maximum(at - 1, 0)]]
         before[first] = 0
-        score = np.add.reduceat(self.ratio[before, cls[at]], first)
+        return np.add.reduceat(self.ratio[before, self.classes[data[at]]], first)
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends (bytes) and log-likelihood ratios of maximal candidate strings that are ahead."""
+        start, end = self.strings(data, offsets)
+        score = self.scores(data, start, end)
         ahead = score >= AHEAD
         return start[ahead], end[ahead], score[ahead]
 
 
+def parts_between(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted ``cuts`` leave of a string, in parts of at least LEAST."""
+    out = []
+    for a, b in [*cuts, (end, end)]:
+        if min(a, end) - start >= LEAST:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    return out
+
+
 def fit(random_strings: list[str], ordinary: list[str]) -> Model:
     """Bigram models over the candidates' characters, each row smoothed towards the single characters' shares."""
     classes = np.zeros(256, np.int64)
@@ -111,7 +128,8 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     """``keep`` (the id by default) with found: an array of (kind, start, end), in code points, end exclusive.
 
     ``assign``, ``access`` and ``hex`` come from the patterns, leftmost and non-overlapping each; ``random`` are maximal
-    strings of at least LEAST characters that overlap none of these and by the models are random. A null or empty text has
+    strings of at least LEAST characters, or what these spans leave of one in parts of that length, that by the models are
+    random, each on its own. A null or empty text has
     no spans. Rows with nothing to look at are passed over through whole-batch byte masks.
     """
     keep = [c for c in (keep or [id_col]) if c != "found"]
@@ -128,18 +146,26 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                 data, offsets = flat_bytes(some.column(name))
                 first, last = runs(hexes[data], offsets)
                 akia = np.fromiter((x.start() for x in re.finditer(b"AKIA", data)), np.int64)
-                start, end, _ = m.candidates(data, offsets)
-                rows = rows_of(np.concatenate([first[last - first >= 24], akia, np.flatnonzero(mark[data]), start]), offsets)
+                start, end = m.strings(data, offsets)
+                ahead = m.scores(data, start, end) >= AHEAD
+                rows = rows_of(np.concatenate([first[last - first >= 24], akia, np.flatnonzero(mark[data]), start[ahead]]), offsets)
                 found: list[list[dict] | None] = [[]] * some.num_rows
-                owner = np.searchsorted(offsets, start, "right") - 1
                 for i in rows.tolist():
-                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                    spans = base_spans(raw.decode())
-                    for k in np.flatnonzero(owner == i).tolist():
-                        a = len(raw[: start[k] - offsets[i]].decode())
-                        b = a + int(end[k] - start[k])
-                        if not any(x < b and a < y for x, y, kind in spans if kind < 3):
-                            spans.append((a, b, 3))
+                    raw = data[offsets[i] : offsets[i + 1]]
+                    spans = base_spans(raw.tobytes().decode())
+                    lo, hi = np.searchsorted(start, offsets[i : i + 2])
+                    if lo < hi and (spans or ahead[lo:hi].any()):
+                        places = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)) + offsets[i]
+                        cuts = sorted((int(places[a]), int(places[b])) for a, b, _ in spans)
+                        begin, most = np.array([a for a, _ in cuts], np.int64), np.maximum.accumulate(np.array([b for _, b in cuts], np.int64))
+                        # Cuts before ``upto`` begin before the string's end; of these, those from ``since`` on may reach into it.
+                        since, upto = np.searchsorted(most, start[lo:hi], "right"), np.searchsorted(begin, end[lo:hi])
+                        whole = (since >= upto) & ahead[lo:hi]
+                        parts = [(a, b) for a, b in zip(start[lo:hi][whole].tolist(), end[lo:hi][whole].tolist(), strict=True)]
+                        left = [p for k in np.flatnonzero(since < upto).tolist() for p in parts_between(int(start[lo + k]), int(end[lo + k]), cuts[since[k] : upto[k]])]
+                        ends = np.array(left, np.int64).reshape(-1, 2)
+                        parts += [p for p, s in zip(left, m.scores(data, ends[:, 0], ends[:, 1]).tolist(), strict=True) if s >= AHEAD]
+                        spans += [(int(np.searchsorted(places, a)), int(np.searchsorted(places, b)), 3) for a, b in parts]
                     found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
                 yield pa.record_batch([*(some.column(c) for c in keep), pa.array(found, FOUND)], [*keep, "found"])
 

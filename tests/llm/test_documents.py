@@ -239,6 +239,21 @@ def test_secrets(spark, awkward, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_secrets_beside_base_spans(spark):
+    model = secrets.fit(secrets.made_strings(400), ["ordinary_identifier_name", "the", "password", "HttpRequestHandler"] * 50)
+    key, secret, hexes = "AKIA" + "A1B2C3D4E5F6G7H8", "wJq9Zr7Lk2Xv8Bn4Mt1Wc6Yp3HsKd5Tg0Qf", "0123456789abcdef01234567"
+    texts = [f"é {key}/{secret} end", f"日 {hexes}Q9Zr7Lk2Xv8Bn4Mt1Wc6Yp3Hs", f"{secret}_{key}/ordinary_identifier_name", f"{hexes}Short", f"{secret} {hexes} {secret}é"]
+    rows = docs(spark, list(enumerate(texts)))
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.found] for r in secrets.scan(rows, model).collect()}
+    assert got == {
+        0: [("access", key), ("random", "/" + secret)],
+        1: [("hex", hexes), ("random", "Q9Zr7Lk2Xv8Bn4Mt1Wc6Yp3Hs")],
+        2: [("random", secret + "_"), ("access", key)],
+        3: [("hex", hexes)],
+        4: [("random", secret), ("hex", hexes), ("random", secret)],
+    }
+
+
 def test_markov_models_tell_random_strings_from_words():
     import numpy as np
 
