@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +21,66 @@ def event_type() -> Column:
     return out.when(F.col("kind") == "AssistantMessage", "assistant").otherwise("other")
 
 
+def fold(values: pa.Array, a: np.float32, before: np.float32 | None) -> np.float32 | None:
+    """The average after these float32 values; a null starts it anew."""
+    if values.null_count:
+        values, before = values.slice(int(np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False))[-1]) + 1), None
+    new = values.to_numpy(zero_copy_only=False)
+    if before is None and len(new):
+        before, new = new[0], new[1:]
+    rest = np.float32(1) - a
+    for step in list(a * new):
+        before = step + rest * before
+    return before
+
+
+def _folds(keys: tuple[str, ...], a: np.float32) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Average and count of each key, of rows that arrive sorted by keys and order; holds a batch, and one key's average and count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(all="ignore")
+        out: list[tuple] = []
+        key, now, count, schema = None, None, 0, None
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array([x[j] for x in out], schema.field(c).type) for j, c in enumerate(keys)]
+            emas = pa.array([x[-2] for x in out], pa.float32())
+            return pa.record_batch([*columns, emas, pa.array([x[-1] for x in out], pa.int64())], [*keys, "ema", "count"])
+
+        for batch in batches:
+            n, schema = batch.num_rows, batch.schema
+            change = np.zeros(n, bool)
+            change[:1] = True
+            for column in (batch.column(c) for c in keys):
+                x, y = column.slice(1), column.slice(0, max(0, n - 1))
+                differ = pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(x.is_null(), y.is_null()))
+                change[1:] |= differ.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(change).tolist()
+            for at, end in zip(starts, [*starts[1:], n], strict=True):
+                this = tuple(batch.column(c)[at].as_py() for c in keys)
+                if this != key:
+                    if count:
+                        out.append((*key, now, count))
+                    key, now, count = this, None, 0
+                now, count = fold(batch.column("_value").slice(at, end - at), a, now), count + end - at
+            if len(out) > 10_000:
+                yield packed()
+                out = []
+        if count:
+            out.append((*key, now, count))
+            yield packed()
+
+    return run
+
+
 def ema(values: DataFrame, alpha: float, *, keys: tuple[str, ...] = ("session_id", "event_type"), value: str = "token_count", order: tuple[str, ...] = ("created_at", "item_id")) -> DataFrame:
-    """Keys with ema and count: alpha * value + (1 - alpha) * before, from the first value on, in order and single precision."""
-    a = f32(max(0.0, min(1.0, alpha)))
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("float").alias("_value"))))
-    step = lambda prev, s: F.when(prev.isNull(), s["_value"]).otherwise((a * s["_value"] + (f32(1.0) - a) * prev).cast("float"))
-    grouped = values.groupBy(*keys).agg(seq.alias("_seq"))
-    return grouped.select(*keys, F.aggregate("_seq", F.lit(None).cast("float"), step).alias("ema"), F.size("_seq").cast("long").alias("count"))
+    """Keys with ema and count: alpha * value + (1 - alpha) * before, from the first value on, in order and single precision.
+
+    Rows are sorted by Spark and folded as they come, so a key of any size takes one task but no more memory.
+    """
+    rows = values.select(*keys, *order, F.col(value).cast("float").alias("_value"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "_value").select(*keys, "_value")
+    return rows.mapInArrow(_folds(tuple(keys), np.float32(max(0.0, min(1.0, alpha)))), values.select(*keys).schema.add("ema", "float").add("count", "long"))
 
 
 def token_stats(items: DataFrame, config: Config) -> DataFrame:

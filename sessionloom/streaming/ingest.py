@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -17,6 +21,9 @@ from ..schema import Config
 from ..sources.jsonl import records
 from ..sources.store import Store
 
+#: Rows of a key in a micro-batch that are sorted in memory; more are sorted in parts, on local disk, and merged.
+RUN_ROWS, CHUNK_ROWS = 1 << 18, 1 << 13
+
 
 def item_stream(spark: SparkSession, path: str, session: str = "default", *, adapter: str = "stdio", per_trigger: int = 100) -> DataFrame:
     """Items of JSON-lines files as they appear in a folder. Records without an id get a random one."""
@@ -24,21 +31,58 @@ def item_stream(spark: SparkSession, path: str, session: str = "default", *, ada
     return enrich(records(lines, F.lit(session)), adapter=adapter)
 
 
+def _read_run(path: Path, order: list[str], value: str) -> Iterator[tuple[tuple, float]]:
+    with path.open("rb") as file:
+        while True:
+            try:
+                chunk = pickle.load(file)
+            except EOFError:
+                return
+            places = [[(1, 0) if gone else (0, x) for x, gone in zip(chunk[c], chunk[c].isna(), strict=True)] for c in order]
+            yield from zip(zip(*places, strict=True), chunk[value].to_numpy(np.float32), strict=True)
+
+
+def in_order(batches: Iterator[pd.DataFrame], order: list[str], value: str, limit: int = RUN_ROWS) -> Iterator[np.float32]:
+    """The values of all batches in stable ``order``, nulls last; holds about ``limit`` rows, and a chunk of each run on disk."""
+    held: list[pd.DataFrame] = []
+    with tempfile.TemporaryDirectory() as folder:
+        paths: list[Path] = []
+
+        def write() -> None:
+            run = pd.concat(held).sort_values(order, kind="stable")
+            paths.append(Path(folder) / str(len(paths)))
+            with paths[-1].open("wb") as file:
+                for at in range(0, len(run), CHUNK_ROWS):
+                    pickle.dump(run.iloc[at : at + CHUNK_ROWS], file)
+            held.clear()
+
+        for batch in batches:
+            held.append(batch[[*order, value]])
+            if sum(map(len, held)) >= limit:
+                write()
+        if not paths:
+            yield from pd.concat(held).sort_values(order, kind="stable")[value].to_numpy(np.float32)
+            return
+        if held:
+            write()
+        for _, v in heapq.merge(*(_read_run(p, order, value) for p in paths), key=lambda row: row[0]):
+            yield v
+
+
 def running_ema(rows: DataFrame, alpha: float, keys: dict[str, str], value: str, order: list[str]) -> DataFrame:
     """The keys (name to type) with ema and count after each micro-batch, of keys that it touched.
 
     Values of a key are folded in ``order`` within a micro-batch, batches in order of arrival: equal to the batch
-    operator if rows arrive in that order. State survives restarts through the query's checkpoint.
+    operator if rows arrive in that order. A key of any size takes bounded memory (see in_order). State survives restarts through the query's checkpoint.
     """
     a = np.float32(max(0.0, min(1.0, alpha)))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values(order, kind="stable")
         ema, count = state.get if state.exists else (None, 0)
         ema = None if ema is None else np.float32(ema)
-        for v in new[value].to_numpy(np.float32):
+        for v in in_order(batches, order, value):
             ema = v if ema is None else np.float32(a * v + (np.float32(1) - a) * ema)
-        count += len(new)
+            count += 1
         state.update((float(ema), count))
         yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "ema": [ema], "count": [count]})
 

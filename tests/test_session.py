@@ -2,6 +2,8 @@ import io
 import json
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sessionloom.protocol import Server
 from sessionloom.schema import Config, Context, Model, Reserve
 from sessionloom.session import Session
 from sessionloom.sources.store import Store
-from sessionloom.streaming.ingest import ema_stream, ingest_into, item_stream
+from sessionloom.streaming.ingest import ema_stream, in_order, ingest_into, item_stream
 
 
 def write(path, rows):
@@ -99,6 +101,32 @@ def test_ema_values(spark):
     assert (row.ema, row["count"]) == (106.25, 3)
 
 
+def test_ema_of_a_hot_key_is_folded_batch_by_batch(spark):
+    rows = [("hot" if i % 3 else None, "e" if i % 40 else "f", (i * 37) % 500, None if i == 101 else (i * i) % 997 / 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "session_id string, event_type string, at int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = predict.ema(df, 0.3, value="v", order=("at",))
+        got = {(r.session_id, r.event_type): (r.ema, r["count"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, a = {}, np.float32(0.3)
+    for s, e, _, v in sorted(rows, key=lambda r: r[2]):
+        now, count = want.get((s, e), (None, 0))
+        v = None if v is None else np.float32(v)
+        want[s, e] = (v if now is None or v is None else np.float32(a * v + (np.float32(1) - a) * now), count + 1)
+    assert got == {k: (float(m), n) for k, (m, n) in want.items()} and len(got) == 4
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_values_of_a_hot_key_are_merged_in_order():
+    rows = pd.DataFrame({"at": pd.to_datetime([(i * 37) % 40 if i % 9 else None for i in range(300)], unit="s"), "id": [f"i{(i * 7) % 11}" for i in range(300)], "v": range(300)})
+    want = rows.sort_values(["at", "id"], kind="stable")["v"].tolist()
+    for limit in (10, 64, 1000):
+        batches = (rows.iloc[i : i + 10] for i in range(0, 300, 10))
+        assert [int(v) for v in in_order(batches, ["at", "id"], "v", limit)] == want
+
+
 def test_memory(spark):
     assert MemoryRef("none", "k").uri() == "memory://none/k" and RetrievalQuery("s", "q").max_results == 5
     m = NullMemory(spark)
