@@ -108,6 +108,16 @@ def test_near_duplicates_awkward(spark, awkward, empty):
     assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 6, 8, 9, 10]
 
 
+@pytest.mark.parametrize("share", [0.85, 0.8, 0.5])
+def test_sketch_filter_keeps_its_promise(share):
+    from math import comb
+
+    need, chance = near_dedup.least_shared(share, 32)
+    tail = [sum(comb(32, k) * share**k * (1 - share) ** (32 - k) for k in range(m)) for m in (need, need + 1)]
+    assert tail[0] == pytest.approx(chance) and tail[0] <= 1e-6 < tail[1]
+    assert near_dedup.least_shared(1.0, 32)[0] == 32 and near_dedup.least_shared(0.01, 32)[0] == 1
+
+
 def test_dedup_keeps_one_row_a_group(spark):
     text, other = "a b c d e f g h", "p q r s t u v w"
     rows = [(1, text), (1, text), (2, text), (None, text), (None, other), (None, other), (7, None), (7, None), (None, ""), (8, "k l m n o p"), (8, "one two three four"), (4, "k l m n o p")]
