@@ -31,13 +31,25 @@ def patterns_of(host: Column, path: Column) -> Column:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, paths)))
 
 
+def normal(pattern: Column) -> Column:
+    """A pattern in the form of patterns_of: host in lower case without a last dot, no empty parts of the path.
+
+    Null, so void, without a host, and for a slash that no part follows (``host/``), which names neither a domain nor a path.
+    """
+    host = F.regexp_replace(F.lower(F.regexp_extract(pattern, "^[^/]*", 0)), r"\.$", "")
+    path = F.array_join(F.filter(F.split(F.regexp_extract(pattern, "^[^/]*(.*)", 1), "/"), lambda p: p != ""), "/")
+    bare = ~F.contains(pattern, F.lit("/"))
+    return F.when(host != "", F.when(bare, host).when(path != "", F.concat(host, F.lit("/"), path)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, valid_from, valid_to) from (pattern, action, at): an ``add`` holds until the pattern's next entry.
 
     valid_to is exclusive, null if nothing follows. Other actions than ``add`` end it. Of entries at one time for one
-    pattern an ``add`` comes last; repeated entries count once. Entries without pattern or time are void.
+    pattern an ``add`` comes last; repeated entries count once. Entries without pattern or time are void. Patterns are
+    brought into normal form first, so spellings of one are one.
     """
-    known = entries.select("pattern", "action", "at").where("pattern IS NOT NULL AND at IS NOT NULL")
+    known = entries.select(normal(F.col("pattern")).alias("pattern"), "action", "at").where("pattern IS NOT NULL AND at IS NOT NULL")
     daily = known.groupBy("pattern", "at").agg(F.max(F.coalesce(F.col("action") == "add", F.lit(False))).alias("_add"))
     following = F.lead("at").over(W.partitionBy("pattern").orderBy("at"))
     return daily.withColumn("valid_to", following).where("_add").select("pattern", F.col("at").alias("valid_from"), "valid_to")

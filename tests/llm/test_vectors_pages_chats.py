@@ -116,6 +116,15 @@ def test_url_filters(spark):
     assert url_filters.evaluate(df.where("false"), ent).count() == 0 and url_filters.evaluate(df, ent.where("false")).where("blocked").count() == 0
 
 
+def test_url_patterns_are_brought_into_normal_form(spark):
+    day = date(2024, 1, 1)
+    entries = [("Bad.COM", "add", day), ("bad.com.", "remove", date(2024, 1, 3)), ("OK.org//Ads/", "add", day), ("late.net./x", "add", day), ("/ads", "add", day), ("slash.de/", "add", day), ("", "add", day)]
+    ent = spark.createDataFrame(entries, "pattern string, action string, at date")
+    pages = [(1, "http://a.bad.com/", day), (2, "http://bad.com/", date(2024, 1, 3)), (3, "http://ok.org/Ads/1", day), (4, "http://ok.org/ads/1", day), (5, "http://late.net/x", day), (6, "http://slash.de/ads", day)]
+    rows = url_filters.evaluate(spark.createDataFrame(pages, "page_id long, url string, fetched date"), ent).collect()
+    assert {r.page_id: r.pattern for r in rows} == {1: "bad.com", 2: None, 3: "ok.org/Ads", 4: None, 5: "late.net/x", 6: None}
+
+
 def test_chat_format(spark):
     r = random.Random(6)
     convs = {0: [("user", "a"), ("assistant", "b")], 1: [("user", "a"), ("assistant", "b"), ("user", "c")], 2: [("user", "a"), ("assistant", "b"), ("user", "c")], 3: [("user", "b"), ("assistant", "a")], 4: [(None, None)], 5: [("", "")], 6: [("user", "x" * 100_000)]}
