@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines
+from .text import let, lines
 
 # What counts as noise, errors and test results.
 ANSI = "\x1b\\[[0-9;]*[A-Za-z]"
@@ -30,7 +30,7 @@ def _has(line: Column, pattern: str) -> Column:
 
 def _no_repeats(xs: Column) -> Column:
     """Without elements equal to the one before them."""
-    return F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1)))
+    return let(xs, lambda ys: F.filter(ys, lambda y, i: (i == 0) | (y != F.get(ys, i - 1))))
 
 
 def _join(xs: Column) -> Column:
@@ -52,13 +52,14 @@ def _compiler(content: Column, command: Column, exit_code: Column) -> Column:
 
 
 def _test(content: Column, command: Column, exit_code: Column) -> Column:
-    xs = lines(content)
-    passed, failed = F.size(F.filter(xs, lambda x: _has(x, PASS))), F.size(F.filter(xs, lambda x: _has(x, FAIL)))
-    timing = F.element_at(F.filter(xs, lambda x: _has(x, DURATION)), -1)
-    timing = F.when(F.size(F.filter(xs, lambda x: _has(x, DURATION))) > 0, F.concat(F.lit("duration "), timing)).otherwise("")
-    fine = F.regexp_replace(F.concat(passed.cast("string"), F.lit(" tests passed\n0 failed\n"), timing), r"(?U)\s+\z", "")
-    bad = F.slice(F.filter(xs, lambda x: _has(x, FAIL) | _has(x, FAILURES) | x.startswith("----")), 1, MOST_FAILURES)
-    return F.when((failed == 0) & (passed > 0), fine).otherwise(_join(bad))
+    def result(xs: Column) -> Column:
+        passed, failed = F.size(F.filter(xs, lambda x: _has(x, PASS))), F.exists(xs, lambda x: _has(x, FAIL))
+        timing = let(F.filter(xs, lambda x: _has(x, DURATION)), lambda ts: F.when(F.size(ts) > 0, F.concat(F.lit("duration "), F.get(ts, F.size(ts) - 1))).otherwise(""))
+        fine = let(passed, lambda n: F.when(n > 0, F.regexp_replace(F.concat(n.cast("string"), F.lit(" tests passed\n0 failed\n"), timing), r"(?U)\s+\z", "")))
+        bad = F.slice(F.filter(xs, lambda x: _has(x, FAIL) | _has(x, FAILURES) | x.startswith("----")), 1, MOST_FAILURES)
+        return F.coalesce(F.when(~failed, fine), _join(bad))
+
+    return let(lines(content), result)
 
 
 def _shell_lines(content: Column) -> Column:
@@ -71,19 +72,22 @@ def _shell(content: Column, command: Column, exit_code: Column) -> Column:
 
 
 def _shell_extract(content: Column, command: Column, exit_code: Column) -> Column:
-    kept = _shell_lines(content)
-    errors = F.slice(_no_repeats(F.filter(kept, lambda x: _has(x, ERROR_LIKE))), 1, MOST_ERRORS)
     indent = lambda xs: F.transform(xs, lambda x: F.concat(F.lit("  "), x))
-    last = F.slice(kept, F.greatest(F.size(kept) - LAST_LINES + 1, F.lit(1)), LAST_LINES)
     none = F.array().cast("array<string>")
-    parts = F.concat(
-        F.when(command.isNotNull(), F.array(F.concat(F.lit("command: "), command))).otherwise(none),
-        F.when(exit_code.isNotNull(), F.array(F.concat(F.lit("exit_code: "), exit_code.cast("string")))).otherwise(none),
-        F.array(F.lit("errors:")),
-        F.when(F.size(errors) > 0, indent(errors)).otherwise(F.array(F.lit("  <none>"))),
-        F.when(_join(kept) != "", F.concat(F.array(F.lit("final_status:")), indent(last))).otherwise(none),
-    )
-    return _join(parts)
+
+    def result(kept: Column) -> Column:
+        errors = F.slice(_no_repeats(F.filter(kept, lambda x: _has(x, ERROR_LIKE))), 1, MOST_ERRORS)
+        last = F.slice(kept, F.greatest(F.size(kept) - LAST_LINES + 1, F.lit(1)), LAST_LINES)
+        parts = F.concat(
+            F.when(command.isNotNull(), F.array(F.concat(F.lit("command: "), command))).otherwise(none),
+            F.when(exit_code.isNotNull(), F.array(F.concat(F.lit("exit_code: "), exit_code.cast("string")))).otherwise(none),
+            F.array(F.lit("errors:")),
+            let(errors, lambda es: F.when(F.size(es) > 0, indent(es)).otherwise(F.array(F.lit("  <none>")))),
+            F.when(F.size(kept) > 0, F.concat(F.array(F.lit("final_status:")), indent(last))).otherwise(none),
+        )
+        return _join(parts)
+
+    return let(_shell_lines(content), result)
 
 
 def _is_test(kind: Column, content: Column) -> Column:

@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-TOKEN = r"(?:(?:[\p{L}]\p{M}*(?:[.:''’·][\p{L}]\p{M}*)*)|(?:\p{Nd}(?:[.,;''’]\p{Nd})*)|_)+|\S"
+def _token() -> str:
+    """Word boundaries of Unicode's annex 29 without look-around: a token ends with its extending characters, which words hold in between.
+
+    Hebrew quotes and extending characters after white space, which counts can't tell, aside.
+    """
+    extend = r"(?:[\p{M}\x{FF9E}\x{FF9F}\x{1F3FB}-\x{1F3FF}]|[^\P{Cf}\x{200B}])*"
+    alone = r"\p{Han}\p{Hiragana}\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Ahom}"
+    kana = r"\p{Katakana}\x{3031}-\x{3035}\x{309B}\x{309C}\x{30A0}\x{30FC}\x{FF70}"
+    letter, digit, katakana, join = rf"[^\P{{L}}\x{{FF9E}}\x{{FF9F}}{alone}{kana}]", r"\p{Nd}", f"[{kana}]", r"\p{Pc}"
+    quotes = r"''\x{2018}\x{2019}."
+    letters = rf"{letter}(?:{extend}(?:[:\x{{B7}}{quotes}]{extend})?{letter})*"
+    digits = rf"{digit}(?:{extend}(?:[,;{quotes}]{extend})?{digit})*"
+    run = f"(?:(?:{letters}|{digits})(?:{extend}(?:{letters}|{digits}))*|{katakana}(?:{extend}{katakana})*)"
+    joined = f"{join}(?:{extend}{join})*(?:{extend}{run})?"
+    word = f"(?:{run}|{joined})(?:{extend}{joined})*"
+    flag = rf"[\x{{1F1E6}}-\x{{1F1FF}}](?:{extend}[\x{{1F1E6}}-\x{{1F1FF}}])?"
+    other = r"[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    picture = r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{2B55}\x{3030}\x{303D}\x{1F000}-\x{1F1E5}\x{1F201}-\x{1F3FA}\x{1F400}-\x{1FAFF}]"
+    return rf"(?:{word}|{flag}|{other})(?:{extend}\x{{200D}}{picture})*{extend}"
+
+
+TOKEN = _token()
 _CONSTRAINT = r"(?i)\b(do not|don''t|must not|never|always|must|avoid|only)\b"
 
 
@@ -166,7 +187,11 @@ _STATS = f"""WITH {CHATS}, typed AS (
   SELECT session_id, event_type, list_reduce(list(v ORDER BY seq, item_id), lambda a, x: (0.25::FLOAT * x + 0.75::FLOAT * a)::FLOAT) AS ema FROM typed GROUP BY session_id, event_type
 )"""
 
+# Letters become characters of many scripts, marks, flags and pictures.
+SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "\u6f22\u5b57\u3072\u30ab\u30ca\u0e01\u0e34\ud55c\uae00\u00e9\u0301\U0001f600\u200d\U0001f469\U0001f1e9\U0001f1ea\u2764\ufe0f\u0439\u03a9\u0639\u00b7\u2019\u0661\u203f\u30fc")
+
 ORACLES = {
+    "script_token_counts": f"SELECT doc_id, {count(f"coalesce(translate(text, '{SCRIPTS[0]}', '{SCRIPTS[1]}'), '')")} AS token_count FROM documents",
     "items_from_conversations": f"WITH {CHATS}, {INDEXED} SELECT session_id, item_id, kind, content_hash, token_count, idx, n_items FROM indexed",
     "items_from_pages": f"SELECT coalesce(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS session_id, 'p-' || lpad(page_id::VARCHAR, 12, '0') AS item_id, 'ToolResult' AS kind, 'fetch' AS tool_name, {count('html')} AS token_count, 'fetch' AS event_type FROM pages",
     "wire_items": f"WITH {CHATS} SELECT 'wire' AS session_id, 'c-' || c.conv_id || '-' || c.turn AS item_id, kind, content_hash, token_count, 'Active' AS state, 'L0' AS compression_level FROM items JOIN conversations c ON item_id = 'c-' || conv_id || '-' || lpad(turn::VARCHAR, 6, '0')",

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reducers, scoring
+from ..functions.text import token_count
 from ..operators import items as item_ops
 from ..operators import materialize as apply_ops
 from ..operators import planner, predict, report
 from ..schema import IMPORTANCE, Config, Context, Model, Reserve, Tools
 from ..sources import jsonl, tables
 from ..streaming.ingest import latest_state, running_ema
+from .oracle import SCRIPTS
 
 #: Windows small enough that sessions of the tables come under pressure.
 CHAT = Config(context=Context(max_context_window=900), reserve=Reserve(100, 50))
@@ -41,6 +43,12 @@ def digits(*names: str) -> list[F.Column]:
     return [F.round(F.col(n).cast("double"), 5).alias(n) for n in names]
 
 
+def script_token_counts(spark, sf_dir):
+    """Tokens of texts whose letters are replaced by characters of many scripts."""
+    text = F.translate(F.coalesce("text", F.lit("")), *SCRIPTS)
+    return _read(spark, sf_dir, "documents").select("doc_id", token_count(text).alias("token_count"))
+
+
 def items_from_conversations(spark, sf_dir):
     return item_ops.indexed(chats(spark, sf_dir)).select("session_id", "item_id", "kind", "content_hash", "token_count", F.col("idx").cast("long").alias("idx"), "n_items")
 
@@ -237,7 +245,7 @@ def reducer_choice(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
+        script_token_counts, items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
         event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
         latest_event, checkpoint_items, reducer_choice,
     )
