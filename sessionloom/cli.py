@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--context-window", type=int)
     one.add_argument("--reserved-output", type=int)
     ingest = sub.add_parser("ingest", parents=[one])
-    ingest.add_argument("--file", required=True)
+    ingest.add_argument("--file", help="JSON lines; standard input if it is not given")
     for name in ("status", "plan", "compact", "stats"):
         p = sub.add_parser(name, parents=[one])
         p.add_argument("--json", action="store_true")
@@ -46,7 +46,8 @@ def main(argv: list[str] | None = None) -> int:
     session = Session(store, args.session, config, replace(model, **{k: v for k, v in given.items() if v is not None}))
     show = lambda x: print(json.dumps(x, default=str, indent=2))
     if args.command == "ingest":
-        print(f"ingested {session.ingest_file(args.file)} items into session {args.session!r}")
+        n = session.ingest_file(args.file) if args.file else session.ingest_lines(sys.stdin)
+        print(f"ingested {n} items into session {args.session!r}")
     elif args.command == "status":
         row = session.status(args.predicted_extra).first()
         found = row.asDict(True) if row else {"session_id": args.session, "item_count": 0}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scoring import DEDUPLICABLE
-from ..functions.text import content_hash, new_id, token_count
-from ..schema import KINDS, LEVELS, METADATA, SLUGS, STATES
+from ..functions.text import Counter, content_hash, new_id, token_count
+from ..schema import KINDS, METADATA, SLUGS, STATES
 
 ORDER = ("created_at", "item_id")
 
@@ -39,27 +39,27 @@ def metadata(**given: Column) -> Column:
     return F.struct(*[given.get(name, empty.get(name, F.lit(None))).cast(kind).alias(name) for name, kind in parts])
 
 
-def new_items(df: DataFrame, session: Column, item_id: Column, kind: Column, content: Column, created_at: Column, *, adapter: str | None = None, parent_id: Column | None = None, meta: Column | None = None) -> DataFrame:
+def new_items(df: DataFrame, session: Column, item_id: Column, kind: Column, content: Column, created_at: Column, *, adapter: str | None = None, parent_id: Column | None = None, meta: Column | None = None, counter: Counter = token_count) -> DataFrame:
     """Items as their constructor makes them: hashed, counted, Active, L0."""
     source = F.struct(F.lit("adapter" if adapter else "ingest").alias("type"), F.lit(adapter).cast("string").alias("adapter"))
     return df.select(
         session.cast("string").alias("session_id"), item_id.cast("string").alias("item_id"), (F.lit(None) if parent_id is None else parent_id).cast("string").alias("parent_id"),
-        kind.alias("kind"), content.alias("content"), content_hash(content).alias("content_hash"), token_count(content).alias("token_count"), created_at.cast("timestamp").alias("created_at"),
+        kind.alias("kind"), content.alias("content"), content_hash(content).alias("content_hash"), counter(content).alias("token_count"), created_at.cast("timestamp").alias("created_at"),
         source.alias("source"), (metadata() if meta is None else meta).alias("metadata"), F.lit("Active").alias("state"), F.lit("L0").alias("compression_level"),
     )
 
 
-def enrich(records: DataFrame, *, adapter: str | None = None) -> DataFrame:
+def enrich(records: DataFrame, *, adapter: str | None = None, counter: Counter = token_count) -> DataFrame:
     """Wire records with session_id to items: defaults, counted tokens where 0, hash, source overridden by the caller's.
 
-    A supplied hash must match the content and a count must not be negative, else the job fails. Ids made here are random, so
-    write the result before reading it twice.
+    A supplied hash must be the content's, in lower case, and a count must not be negative, else the job fails. Ids made here are random, so
+    write the result before reading it twice. A column ``arrival`` stays.
     """
-    given = F.lower("content_hash")
+    given = F.col("content_hash")
     right = content_hash(F.col("content"))
     checked = F.when(F.col("content_hash").isNotNull() & (given != right), F.raise_error(F.concat(F.lit("content hash does not match: "), F.coalesce("id", F.lit("?"))))).otherwise(right)
     count = F.coalesce("token_count", F.lit(0))
-    count = F.when(count < 0, F.raise_error(F.lit("token count out of range")).cast("long")).when(count == 0, token_count(F.col("content"))).otherwise(count)
+    count = F.when(count < 0, F.raise_error(F.lit("token count out of range")).cast("long")).when(count == 0, counter(F.col("content"))).otherwise(count)
     m = lambda name: F.col(f"metadata.{name}")
     names = [p.split(" ", 1)[0] for p in METADATA.split(", ")]
     flags = {n: F.coalesce(m(n), F.lit(False)) for n in ("recoverable", "pinned")} | {"tags": F.coalesce(m("tags"), F.array().cast("array<string>"))}
@@ -69,12 +69,13 @@ def enrich(records: DataFrame, *, adapter: str | None = None) -> DataFrame:
         "session_id", F.coalesce("id", new_id()).alias("item_id"), "parent_id", "kind", "content", checked.alias("content_hash"), count.alias("token_count"), created.alias("created_at"),
         source.alias("source"), metadata(**{n: flags.get(n, m(n)) for n in names}).alias("metadata"),
         F.coalesce("state", F.lit("Active")).alias("state"), F.coalesce("compression_level", F.lit("L0")).alias("compression_level"),
+        *[c for c in ("arrival",) if c in records.columns],
     )
 
 
 def loaded(items: DataFrame) -> DataFrame:
-    """Stored rows as they are read back: unknown kinds are Other, states Unknown, levels L0."""
-    return items.withColumns({"kind": known(F.col("kind"), KINDS, "Other"), "state": known(F.col("state"), STATES, "Unknown"), "compression_level": known(F.col("compression_level"), LEVELS, "L0")})
+    """Stored rows as they are read back: unknown kinds are Other, states Unknown; the level is L0, as history holds contents that nothing compressed."""
+    return items.withColumns({"kind": known(F.col("kind"), KINDS, "Other"), "state": known(F.col("state"), STATES, "Unknown"), "compression_level": F.lit("L0")})
 
 
 def active(items: DataFrame) -> DataFrame:
@@ -101,13 +102,13 @@ def duplicates(items: DataFrame) -> DataFrame:
 
 
 def duplicate_summary(items: DataFrame) -> DataFrame:
-    """Hashes that occur more than once in a session, whatever the kind: how often, and the greatest id."""
+    """Hashes that occur more than once in a session, whatever the kind: how often, and the greatest id, the most frequent first."""
     found = items.groupBy("session_id", "content_hash").agg(F.count(F.lit(1)).alias("count"), F.max("item_id").alias("canonical_id"))
-    return found.where("count > 1")
+    return found.where("count > 1").orderBy(F.desc("count"), "session_id", "content_hash")
 
 
-def checkpoint_items(checkpoints: DataFrame, session: str = "session_id", item_id: str = "item_id", created_at: str = "created_at") -> DataFrame:
+def checkpoint_items(checkpoints: DataFrame, session: str = "session_id", item_id: str = "item_id", created_at: str = "created_at", counter: Counter = token_count) -> DataFrame:
     """Checkpoint items from rows with a struct column ``checkpoint``; the content is pretty JSON."""
     text = F.to_json("checkpoint", {"pretty": "true", "ignoreNullFields": "false"})
-    made = new_items(checkpoints, F.col(session), F.col(item_id), F.lit("Checkpoint"), text, F.col(created_at))
+    made = new_items(checkpoints, F.col(session), F.col(item_id), F.lit("Checkpoint"), text, F.col(created_at), counter=counter)
     return made.withColumn("source", F.struct(F.lit("compaction").alias("type"), F.lit(None).cast("string").alias("adapter")))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import reducers, scoring
-from ..functions.text import artifact_uri, content_hash, token_count
+from ..functions.text import Counter, artifact_uri, content_hash, token_count
 from .items import active, slug
 
 
-def materialize(items: DataFrame, actions: DataFrame, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS) -> tuple[DataFrame, DataFrame]:
+def materialize(items: DataFrame, actions: DataFrame, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS, counter: Counter = token_count) -> tuple[DataFrame, DataFrame]:
     """(working set, artifacts) of a plan for these items; an action without its item fails the job.
 
     Keep and Pin leave an item as it is; Reduce and Extract rewrite it; Externalize stores it and leaves its URI;
@@ -30,7 +30,7 @@ def materialize(items: DataFrame, actions: DataFrame, registry: tuple[reducers.R
     kept = F.col("action").isin("Keep", "Pin")
     ref = F.when(kept, scoring.meta("artifact_ref")).when(F.col("action") == "Externalize", uri)
     rows = rows.withColumn("_text", text.otherwise(content)).withColumn("_ref", ref)
-    tokens = F.greatest(F.when(F.col("to_level") == "L0", F.col("token_count")).otherwise(token_count(F.col("_text"))), F.lit(1).cast("long"))
+    tokens = F.greatest(F.when(F.col("to_level") == "L0", F.col("token_count")).otherwise(counter(F.col("_text"))), F.lit(1).cast("long"))
     pos = F.row_number().over(W.partitionBy("session_id").orderBy("idx"))
     working = rows.select(
         "session_id", pos.alias("pos"), "item_id", "parent_id", "kind", F.col("_text").alias("content"), tokens.alias("token_count"), F.col("to_level").alias("compression_level"), F.col("_ref").alias("artifact_ref")
@@ -43,13 +43,12 @@ def working_totals(working: DataFrame) -> DataFrame:
     return working.groupBy("session_id").agg(F.sum("token_count").alias("total_tokens"), F.count(F.lit(1)).alias("item_count"))
 
 
-def appended(working: DataFrame, items: DataFrame, meta: DataFrame) -> DataFrame:
-    """The working set with items that came later, in order, for sessions that have one."""
+def appended(working: DataFrame, items: DataFrame, meta: DataFrame, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
+    """Rows that add later items to the working sets of sessions that have one: at L0, behind the last, in the order they arrived."""
     last = working.groupBy("session_id").agg(F.max("pos").alias("_last"))
     new = items.join(meta.select("session_id"), "session_id", "left_semi").join(last, "session_id", "left")
-    pos = F.coalesce("_last", F.lit(0)) + F.row_number().over(W.partitionBy("session_id").orderBy("created_at", "item_id"))
-    rows = new.select("session_id", pos.cast("int").alias("pos"), "item_id", "parent_id", "kind", "content", "token_count", "compression_level", scoring.meta("artifact_ref").alias("artifact_ref"))
-    return working.unionByName(rows)
+    pos = F.coalesce("_last", F.lit(0)) + F.row_number().over(W.partitionBy("session_id").orderBy(*order))
+    return new.select("session_id", pos.cast("int").alias("pos"), "item_id", "parent_id", "kind", "content", "token_count", F.lit("L0").alias("compression_level"), scoring.meta("artifact_ref").alias("artifact_ref"))
 
 
 def active_view(items: DataFrame, working: DataFrame, meta: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import budget, reducers, scoring
-from ..functions.text import artifact_uri, f32, token_count
+from ..functions.text import Counter, artifact_uri, f32, token_count
 from ..schema import IMPORTANCE, Config, Model
 from .items import duplicates, indexed, slug
 
@@ -30,16 +30,16 @@ def scored(items: DataFrame, config: Config) -> DataFrame:
     return out.withColumn("importance", F.when(F.col("is_pinned"), f32(1.0)).otherwise(scoring.total()))
 
 
-def candidates(items: DataFrame, config: Config, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS) -> DataFrame:
+def candidates(items: DataFrame, config: Config, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS, counter: Counter = token_count) -> DataFrame:
     """Scored items with the tokens that each level would cost: reduced, extracted and external."""
     content, command, code = F.col("content"), scoring.meta("command"), scoring.meta("exit_code")
     rows = items.withColumn("is_pinned", scoring.pinned(config))
     name = reducers.reducer_name(F.col("kind"), content, registry) if config.tools.reduce_logs else F.lit(None).cast("string")
     rows = rows.withColumn("reducer", F.when(~F.col("is_pinned"), name))
-    cost = lambda which: F.when(F.col("reducer").isNull(), F.col("token_count")).otherwise(token_count(reducers.apply(which, F.col("reducer"), content, command, code, registry)))
+    cost = lambda which: F.when(F.col("reducer").isNull(), F.col("token_count")).otherwise(counter(reducers.apply(which, F.col("reducer"), content, command, code, registry)))
     rows = rows.withColumn("reduced_tokens", cost("reduce")).withColumn("extracted_tokens", cost("extract"))
     can = F.lit(config.tools.externalize_large_results) & scoring.flag("recoverable") & (F.col("token_count") >= config.tools.large_result_tokens)
-    rows = rows.withColumn("external_tokens", F.when(can, token_count(artifact_uri(slug(F.col("kind")), F.col("item_id")))).otherwise(F.col("extracted_tokens")))
+    rows = rows.withColumn("external_tokens", F.when(can, counter(artifact_uri(slug(F.col("kind")), F.col("item_id")))).otherwise(F.col("extracted_tokens")))
     dedup = F.lit(config.tools.deduplicate) & ~F.col("is_pinned") & (F.col("dup_count") > 1) & ~F.col("is_canonical")
     return scored(rows, config).withColumn("deduplicated", dedup)
 
@@ -97,7 +97,7 @@ def taken(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_taken", F.col("_first") | second).drop("_first", "_then", "_left")
 
 
-def plan(items: DataFrame, config: Config | None = None, model: Model | None = None, *, extra: int | DataFrame = 0, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS) -> tuple[DataFrame, DataFrame]:
+def plan(items: DataFrame, config: Config | None = None, model: Model | None = None, *, extra: int | DataFrame = 0, registry: tuple[reducers.Reducer, ...] = reducers.REDUCERS, counter: Counter = token_count) -> tuple[DataFrame, DataFrame]:
     """(actions, headers): an action for each item in order, and a header for each session.
 
     ``extra`` are the predicted tokens, one number or (session_id, extra_tokens). Items are those of an active view. One shuffle
@@ -106,7 +106,7 @@ def plan(items: DataFrame, config: Config | None = None, model: Model | None = N
     config = (config or Config()).validate()
     model = (model or Model.default(config)).check(config)
     own = W.partitionBy("session_id")
-    rows = candidates(items, config, registry)
+    rows = candidates(items, config, registry, counter)
     rows = rows.withColumn("before_tokens", F.sum("token_count").over(own))
     rows = rows.withColumn("current_tokens", F.sum(F.when(F.col("deduplicated"), 0).otherwise(F.col("token_count"))).over(own))
     more = F.lit(extra).cast("long") if isinstance(extra, int) else F.coalesce("_extra", F.lit(0)).cast("long")

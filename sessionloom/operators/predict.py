@@ -83,8 +83,19 @@ def ema(values: DataFrame, alpha: float, *, keys: tuple[str, ...] = ("session_id
     return rows.mapInArrow(_folds(tuple(keys), np.float32(max(0.0, min(1.0, alpha)))), values.select(*keys).schema.add("ema", "float").add("count", "long"))
 
 
-def token_stats(items: DataFrame, config: Config) -> DataFrame:
-    return ema(items.withColumn("event_type", event_type()), config.prediction.ema_alpha)
+def token_stats(items: DataFrame, config: Config, *, before: DataFrame | None = None, order: tuple[str, ...] = ("created_at", "item_id")) -> DataFrame:
+    """Averages and counts of the items' tokens by session and event type; ``before`` are those to go on from."""
+    rows = items.withColumn("event_type", event_type())
+    if before is None:
+        return ema(rows, config.prediction.ema_alpha, order=order)
+    # An average so far is the first value of its key: it stays as it is, and the others are folded into it.
+    keys = ["session_id", "event_type"]
+    rows = rows.select(*keys, *order, F.col("token_count").cast("float").alias("token_count"), F.lit(True).alias("_new"))
+    held = before.join(rows.select(*keys).distinct(), keys, "left_semi")
+    first = held.select(*keys, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order], F.col("ema").cast("float").alias("token_count"), F.lit(False).alias("_new"))
+    out = ema(rows.unionByName(first), config.prediction.ema_alpha, order=("_new", *order))
+    counts = held.select(*keys, (F.col("count") - 1).alias("_more"))
+    return out.join(counts, keys, "left").select(*keys, "ema", (F.col("count") + F.coalesce("_more", F.lit(0))).alias("count"))
 
 
 def prediction(stats: DataFrame, config: Config) -> DataFrame:

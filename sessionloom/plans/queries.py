@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from ..operators import materialize as apply_ops
 from ..operators import planner, predict, report
 from ..schema import IMPORTANCE, Config, Context, Model, Reserve, Tools
 from ..sources import jsonl, tables
+from ..sources.shared import shared_dir
 from ..streaming.ingest import latest_state, running_ema
 from .oracle import SCRIPTS
 
@@ -114,7 +114,7 @@ def stream_event_ema(spark, sf_dir):
     schema = _read(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("value", F.round("value"))
     updates = running_ema(rows, 0.25, {"user_id": "long", "event_type": "string"}, "value", ["ts", "event_id"])
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return latest_state(updates, ["user_id", "event_type"], folder).select("user_id", "event_type", *digits("ema"), "count")
 
 

@@ -39,8 +39,8 @@ TABLES = {
     "compaction_actions": "run_id STRING, session_id STRING, item_id STRING, action STRING, from_level STRING, to_level STRING, estimated_before BIGINT, estimated_after BIGINT, "
     "importance STRUCT<" + ", ".join(f"{c}: FLOAT" for c in ("total", *IMPORTANCE)) + ">, reason STRING",
     "token_stats": "session_id STRING, event_type STRING, ema FLOAT, count BIGINT",
-    "working_set_meta": "session_id STRING, materialized_at TIMESTAMP",
-    "working_set_items": "session_id STRING, pos INT, item_id STRING, parent_id STRING, kind STRING, content STRING, token_count BIGINT, compression_level STRING, artifact_ref STRING",
+    "working_set_meta": "session_id STRING, materialized_at TIMESTAMP, version BIGINT",
+    "working_set_items": "session_id STRING, pos INT, item_id STRING, parent_id STRING, kind STRING, content STRING, token_count BIGINT, compression_level STRING, artifact_ref STRING, version BIGINT",
 }
 CHECKPOINT = (
     "goal STRING, status STRING, summary STRING, decisions ARRAY<STRUCT<decision: STRING, rationale: STRING>>, "

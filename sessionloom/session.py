@@ -2,98 +2,131 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+from dataclasses import asdict
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import Counter, token_count
 from .operators import items as item_ops
 from .operators import materialize as apply_ops
 from .operators import planner, predict, report
 from .schema import Config, Model
 from .sources import jsonl
+from .sources.shared import fixed
 from .sources.store import Store
 
+#: Lines of a text stream that are stored at once.
+AT_ONCE = 50_000
+
+
+def add(store: Store, items: DataFrame, config: Config, *, session_id: str | None = None, commit: str | None = None) -> None:
+    """Stores items of any sessions, in order of ``arrival``: items, ``context.add`` events, statistics that go on from those stored, and working sets
+    where there are any. ``items`` must not change when they are read again. A commit that is run again replaces what it wrote.
+
+    With ``session_id``, that of all items, only that session's part of the store is read.
+    """
+    where = {"session_id": session_id, "commit": commit}
+    payload = F.to_json(F.struct(*[c for c in items.columns if c != "arrival"]))
+    store.append_events(items.select("session_id", F.lit("context.add").alias("type"), payload.alias("payload_json"), F.current_timestamp().alias("created_at"), "arrival"), **where)
+    if config.prediction.enabled:
+        before = fixed(store.token_stats(session_id, without=commit))
+        store.upsert_token_stats(predict.token_stats(items, config, before=before, order=("arrival",)), **where)
+    working, meta = store.working_set(session_id)
+    store.append_working_sets(fixed(apply_ops.appended(working, items, meta)), **where)
+    store.insert_items(items, **where)
+
 
 class Session:
     """``model`` overrides and is stored as an event; without one the last stored or the configured applies."""
 
-    def __init__(self, store: Store, session_id: str = "default", config: Config | None = None, model: Model | None = None):
-        self.store, self.id, self.config = store, session_id, (config or Config()).validate()
+    def __init__(self, store: Store, session_id: str = "default", config: Config | None = None, model: Model | None = None, counter: Counter = token_count):
+        self.store, self.id, self.config, self.counter = store, session_id, (config or Config()).validate(), counter
         self.model = (model or store.load_model(session_id, self.config)).check(self.config)
+        self.last_plan: tuple[DataFrame, DataFrame] | None = None
         spark: SparkSession = store.spark
-        store.ensure_sessions(spark.createDataFrame([(session_id,)], "session_id string").withColumn("created_at", F.current_timestamp()))
+        row = spark.createDataFrame([(session_id, json.dumps(asdict(self.config)))], "session_id string, config_json string")
+        store.ensure_sessions(row.withColumn("created_at", F.current_timestamp()), session_id)
         store.save_model(session_id, self.model)
 
     def ingest(self, records: DataFrame, *, adapter: str | None = None) -> int:
-        """Adds wire records: items, ``context.add`` events, statistics, and the working set if there is one. How many."""
-        made = _fixed(item_ops.enrich(records, adapter=adapter))
-        self.store.insert_items(made)
-        self.store.append_events(made.select("session_id", F.lit("context.add").alias("type"), F.to_json(F.struct("*")).alias("payload_json"), F.current_timestamp().alias("created_at")))
-        if self.config.prediction.enabled:
-            self.store.upsert_token_stats(predict.token_stats(self.store.items(self.id), self.config))
-        working, meta = self.store.working_set()
-        own = meta.where(F.col("session_id") == self.id)
-        if own.first():
-            mine = working.where(F.col("session_id") == self.id)
-            self.store.replace_working_sets(apply_ops.appended(mine, made, own), own)
-        return made.count()
+        """Adds wire records (see ``add``). How many."""
+        if "arrival" not in records.columns:
+            records = records.withColumn("arrival", F.monotonically_increasing_id())
+        return self._add(fixed(item_ops.enrich(records, adapter=adapter, counter=self.counter)))
+
+    def _add(self, items: DataFrame) -> int:
+        keys = Store.KEYS["context_items"]
+        if bad := items.join(self.store.read("context_items", self.id).select(*keys), keys, "left_semi").select(*keys).first():
+            raise ValueError(f"the session already has {bad.asDict()}")
+        add(self.store, items, self.config, session_id=self.id)
+        self.last_plan = None
+        return items.count()
 
     def ingest_file(self, path: str) -> int:
-        """A JSON-lines file; a bad line fails before anything is written."""
-        return self.ingest(jsonl.records(jsonl.read_lines(self.store.spark, path), F.lit(self.id)))
+        """A JSON-lines file; a bad line fails, by its number, before anything is written."""
+        lines = jsonl.read_lines(self.store.spark, path)
+        jsonl.check(lines)
+        return self.ingest(jsonl.records(lines, F.lit(self.id)))
+
+    def ingest_lines(self, lines: Iterable[str]) -> int:
+        """JSON lines as they come, AT_ONCE at a time; those before the part with a bad line stay."""
+        lines, total, seen = iter(lines), 0, 0
+        while part := list(islice(lines, AT_ONCE)):
+            rows = self.store.spark.createDataFrame([("", line.rstrip("\n"), i) for i, line in enumerate(part)], "path string, value string, arrival long")
+            jsonl.check(rows, seen)
+            total += self.ingest(jsonl.records(rows, F.lit(self.id)))
+            seen += len(part)
+        return total
 
     def ingest_checkpoint(self, checkpoint: DataFrame) -> int:
-        """Rows with item_id, created_at and a struct ``checkpoint``."""
-        rows = _fixed(item_ops.checkpoint_items(checkpoint.withColumn("session_id", F.lit(self.id))))
-        self.store.insert_items(rows)
-        return rows.count()
+        """Rows with item_id, created_at and a struct ``checkpoint``, added as any other items."""
+        made = item_ops.checkpoint_items(checkpoint.withColumn("session_id", F.lit(self.id)), counter=self.counter)
+        return self._add(fixed(made.withColumn("arrival", F.monotonically_increasing_id())))
 
     def view(self) -> DataFrame:
-        working, meta = (t.where(F.col("session_id") == self.id) for t in self.store.working_set())
-        return apply_ops.active_view(self.store.items(self.id), working, meta)
+        return apply_ops.active_view(self.store.items(self.id), *self.store.working_set(self.id))
 
     def predicted(self) -> int:
-        row = predict.prediction(self.store.token_stats().where(F.col("session_id") == self.id), self.config).first()
+        row = predict.prediction(self.store.token_stats(self.id), self.config).first()
         return row.expected_input + row.expected_tool_output + row.expected_assistant_output if row and self.config.prediction.enabled else 0
 
     def plan(self, predicted_extra: int = 0) -> tuple[DataFrame, DataFrame]:
-        """Actions and header; a positive ``predicted_extra`` replaces the prediction from statistics."""
-        return planner.plan(self.view(), self.config, self.model, extra=predicted_extra or self.predicted())
+        """Actions and header; a positive ``predicted_extra`` replaces the prediction from statistics. Kept for ``status`` until items or working set change."""
+        actions, headers = planner.plan(self.view(), self.config, self.model, extra=predicted_extra or self.predicted(), counter=self.counter)
+        self.last_plan = fixed(actions), fixed(headers)
+        return self.last_plan
 
     def materialize(self, predicted_extra: int = 0, plan: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         actions, _ = plan or self.plan(predicted_extra)
-        working, artifacts = apply_ops.materialize(self.view(), actions)
-        self.store.insert_artifacts(artifacts)
+        working, artifacts = apply_ops.materialize(self.view(), actions, counter=self.counter)
+        self.store.insert_artifacts(artifacts, self.id)
         own = self.store.spark.createDataFrame([(self.id,)], "session_id string")
-        self.store.replace_working_sets(_fixed(working), own)
-        return self.store.working_set()[0].where(F.col("session_id") == self.id).orderBy("pos")
+        self.store.replace_working_sets(fixed(working), own, self.id)
+        self.last_plan = None
+        return self.store.working_set(self.id)[0].orderBy("pos")
 
     def compact(self, predicted_extra: int = 0) -> DataFrame:
         """Plans, records the run, then materializes."""
-        actions, headers = (_fixed(t) for t in self.plan(predicted_extra))
-        self.store.record_runs(headers, actions)
+        actions, headers = self.plan(predicted_extra)
+        self.store.record_runs(headers, actions, self.id)
         return self.materialize(plan=(actions, headers))
 
     def status(self, predicted_extra: int = 0) -> DataFrame:
-        actions, headers = self.plan(predicted_extra)
+        """Pressure, composition and candidates by the last plan if it still holds and nothing else is asked, else by a new one."""
+        actions, headers = self.last_plan if self.last_plan and not predicted_extra else self.plan(predicted_extra)
         return report.status(self.view(), actions, headers, self.config, self.model)
 
     def stats(self) -> dict:
         """Totals of history, working set and runs."""
         history = report.history_totals(self.store.items(self.id)).first()
         runs = report.telemetry(self.store.runs(self.id)).first()
-        working = apply_ops.working_totals(self.store.working_set()[0].where(F.col("session_id") == self.id)).first()
+        working = apply_ops.working_totals(self.store.working_set(self.id)[0]).first()
         return {
             "session_id": self.id, "history_items": history.item_count if history else 0, "history_tokens": history.total_tokens if history else 0,
             "working_items": working.item_count if working else 0, "working_tokens": working.total_tokens if working else 0,
             "compactions": runs.compactions if runs else 0, "emergency_compactions": runs.emergency_compactions if runs else 0, "reclaimed_tokens": runs.reclaimed_tokens if runs else 0,
         }
-
-
-def _fixed(df: DataFrame) -> DataFrame:
-    """Written once to the shared folder, so that random ids and times stay what they are."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
-    return df.checkpoint(eager=True)

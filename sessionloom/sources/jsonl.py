@@ -9,8 +9,14 @@ from ..schema import KINDS, LEVELS, STATES, WIRE
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of every line."""
-    return spark.read.text(path).select(F.input_file_name().alias("path"), "value")
+    """(path, value, arrival) of every line; arrival rises through a file."""
+    return spark.read.text(path).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("arrival"))
+
+
+def _is_json(v: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. Parsers stop at its end, so it is put into an array and into an object."""
+    inside = F.concat(F.lit("["), v, F.lit("]"))
+    return F.try_parse_json(inside).isNotNull() & (F.json_array_length(inside) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).isNotNull()
 
 
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -23,22 +29,29 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
     kind = F.get_json_object(v, "$.type")
     body = F.when(kind == "context.add", F.get_json_object(v, "$.item")).otherwise(v)
     rows = lines.where(F.trim(v) != "").withColumn("type", kind).where("type IS NULL OR type <> 'session.start'")
-    rows = rows.withColumn("_ok", F.is_valid_json(v) if hasattr(F, "is_valid_json") else F.get_json_object(v, "$").isNotNull())
     rows = rows.withColumn("item", F.from_json(body, WIRE))
     unknown = lambda c, values: F.col(f"item.{c}").isNotNull() & ~F.col(f"item.{c}").isin(*values)
-    error = F.when(~F.coalesce("_ok", F.lit(False)), "not JSON").when(F.col("item.kind").isNull(), "no kind").when(unknown("kind", KINDS), "unknown kind")
+    error = F.when(~F.coalesce(_is_json(v), F.lit(False)), "not JSON").when(F.col("item.kind").isNull(), "no kind").when(unknown("kind", KINDS), "unknown kind")
     error = error.when(F.col("item.content").isNull(), "no content").when(unknown("state", STATES), "unknown state").when(unknown("compression_level", LEVELS), "unknown level")
-    return rows.withColumn("error", error).drop("_ok")
+    return rows.withColumn("error", error)
+
+
+def check(lines: DataFrame, before: int = 0) -> None:
+    """Raises a ValueError with the number, from 1, of the first bad line in its file; ``before`` lines came earlier."""
+    bad = parsed(lines).where("error IS NOT NULL").select(F.min(F.struct("path", "arrival", "error", F.substring("value", 1, 200).alias("value")))).first()[0]
+    if bad is not None:
+        number = before + lines.where((F.col("path") == bad.path) & (F.col("arrival") <= bad.arrival)).count()
+        raise ValueError(f"line {number}: {bad.error}: {bad.value}")
 
 
 def records(lines: DataFrame, session: Column, *, strict: bool = True) -> DataFrame:
-    """Wire records with session_id. A bad line fails the whole job if ``strict``, else it is left out (see ``bad_records``)."""
+    """Wire records with session_id, and arrival if the lines have it. A bad line fails the whole job if ``strict``, else it is left out (see ``bad_records``)."""
     rows = parsed(lines)
     if strict:
         rows = rows.withColumn("item", F.when(F.col("error").isNotNull(), F.raise_error(F.concat("error", F.lit(": "), F.substring("value", 1, 200)))).otherwise(F.col("item")))
     else:
         rows = rows.where("error IS NULL")
-    return rows.select(session.cast("string").alias("session_id"), "item.*")
+    return rows.select(session.cast("string").alias("session_id"), "item.*", *[c for c in ("arrival",) if c in lines.columns])
 
 
 def bad_records(lines: DataFrame) -> DataFrame:

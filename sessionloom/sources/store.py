@@ -1,76 +1,89 @@
-"""Append-only tables under one folder, with keyed inserts and per-session replacement."""
+"""Append-only tables under one folder, laid out by session, with keyed inserts and versions of what is replaced."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..operators.items import ORDER, active, loaded
 from ..schema import TABLES, Config, Model
+from .shared import shared_dir
+
+#: Folders that sessions are dealt to, by a hash; a query about one session reads one of them.
+BUCKETS = 64
+
+
+def _bucket(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
 
 
 class Store:
-    """Tables as Parquet folders. Replaced tables are written under a new version, and a pointer file names the one that counts."""
+    """Tables as Parquet folders, ``<table>/commit=<id>/bucket=<n>``. Nothing that is written is written again, so each call writes
+    only what it adds; a commit that is run again, as of a stream, replaces its own rows.
+
+    Of token statistics the row with the greatest count holds, of a working set the newest version: its items are written first, and one row in
+    working_set_meta then makes them count at once. Likewise a run counts once its row in compaction_runs is there, after its actions.
+    """
 
-    REPLACED = ("token_stats", "working_set_meta", "working_set_items")
     KEYS = {"context_items": ["session_id", "item_id"], "sessions": ["session_id"], "artifacts": ["session_id", "artifact_id"]}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folder(self, name: str) -> str | None:
-        if name not in self.REPLACED:
-            return f"{self.path}/{name}"
-        pointer = f"{self.path}/{name}/_current"
-        if not self._exists(pointer):
-            return None
-        versions = [r.value for r in self.spark.read.text(f"{pointer}/*").collect()]
-        return f"{self.path}/{name}/{max(versions)}" if versions else None
+    @staticmethod
+    def temporary(spark: SparkSession) -> Store:
+        """An empty store in the shared folder, for tests and trials."""
+        return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def read(self, name: str) -> DataFrame:
-        folder = self._folder(name)
-        if folder is None or not self._exists(folder):
+    def read(self, name: str, session_id: str | None = None, *, without: str | None = None) -> DataFrame:
+        """A table, or one session's rows of it, which lie in one bucket; ``without`` leaves a commit out."""
+        folder = f"{self.path}/{name}"
+        if not self._exists(folder):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(folder)
-
-    def append(self, name: str, rows: DataFrame, *, ignore: bool = False) -> None:
-        """Adds rows. A key that is there already is an error, or passed over if ``ignore``; so is a repeated one among them."""
+        rows = self.spark.read.schema(f"{TABLES[name]}, commit STRING, bucket INT").parquet(folder)
+        if session_id is not None:
+            rows = rows.where((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+        if without is not None:
+            rows = rows.where(F.col("commit") != without)
+        return rows.drop("commit", "bucket")
+
+    def append(self, name: str, rows: DataFrame, *, ignore: bool = False, session_id: str | None = None, commit: str | None = None) -> None:
+        """Adds rows. A key that is there already is an error, or passed over if ``ignore``; so is a repeated one among them.
+
+        If all rows are of one session, ``session_id`` spares reading the others' keys.
+        """
         keys = self.KEYS.get(name)
         if keys:
-            old = self.read(name).select(*keys)
+            old = self.read(name, session_id, without=commit).select(*keys)
             if ignore:
                 rows = rows.dropDuplicates(keys).join(old, keys, "left_anti")
             else:
                 clash = rows.join(old, keys, "left_semi").select(*keys).unionByName(rows.groupBy(*keys).count().where("count > 1").select(*keys))
                 if bad := clash.first():
                     raise ValueError(f"{name} already has {bad.asDict()}")
-        self._cast(name, rows).write.mode("append").parquet(f"{self.path}/{name}")
+        rows = self._cast(name, rows).withColumn("bucket", _bucket(F.col("session_id")))
+        rows = rows.coalesce(1) if session_id is not None else rows.hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/commit={commit or uuid.uuid4().hex}")
 
     def _cast(self, name: str, rows: DataFrame) -> DataFrame:
         columns = self.spark.createDataFrame([], TABLES[name]).schema
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        number = int((self._folder(name) or "/v0").rpartition("v")[2].split("-")[0]) + 1
-        version = f"v{number:012d}-{uuid.uuid4().hex[:8]}"
-        self._cast(name, rows).write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{self.path}/{name}/_current/{version}")
-
     # ---- items and events ----
 
-    def insert_items(self, items: DataFrame) -> None:
-        self.append("context_items", items.withColumn("content_hash", content_hash(F.col("content"))))
+    def insert_items(self, items: DataFrame, **where: str | None) -> None:
+        self.append("context_items", items.withColumn("content_hash", content_hash(F.col("content"))), **where)
 
     def items(self, session_id: str | None = None) -> DataFrame:
-        rows = loaded(self.read("context_items"))
-        return rows if session_id is None else rows.where(F.col("session_id") == session_id)
+        return loaded(self.read("context_items", session_id))
 
     def ordered_items(self, session_id: str) -> DataFrame:
         return self.items(session_id).orderBy(*ORDER)
@@ -78,66 +91,79 @@ class Store:
     def active_items(self, session_id: str | None = None) -> DataFrame:
         return active(self.items(session_id))
 
-    def item(self, item_id: str) -> DataFrame:
-        return self.items().where(F.col("item_id") == item_id)
+    def item(self, item_id: str, session_id: str | None = None) -> DataFrame:
+        return self.items(session_id).where(F.col("item_id") == item_id)
 
-    def append_events(self, events: DataFrame) -> None:
-        """Rows of session_id, type, payload_json and created_at get rising ids."""
-        last = self.read("events").agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
-        self.append("events", events.withColumn("event_id", F.monotonically_increasing_id() + F.lit(last + 1)))
+    def append_events(self, events: DataFrame, *, session_id: str | None = None, commit: str | None = None) -> None:
+        """Rows of session_id, type, payload_json and created_at, in order of a number ``arrival`` if they have it, get ids that rise within a session."""
+        last = self.read("events", session_id, without=commit).agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
+        number = F.col("arrival") if "arrival" in events.columns else F.monotonically_increasing_id()
+        self.append("events", events.withColumn("event_id", number + F.lit(last + 1)), session_id=session_id, commit=commit)
 
-    def ensure_sessions(self, sessions: DataFrame) -> None:
-        self.append("sessions", sessions, ignore=True)
+    def ensure_sessions(self, sessions: DataFrame, session_id: str | None = None) -> None:
+        self.append("sessions", sessions, ignore=True, session_id=session_id)
 
     # ---- models ----
 
     def save_model(self, session_id: str, model: Model) -> None:
         row = self.spark.createDataFrame([(session_id, "session.start", model.name, model.context_window, model.reserved_output_tokens)], "session_id string, type string, name string, context_window long, reserved_output_tokens long")
         payload = F.to_json(F.struct("name", "context_window", "reserved_output_tokens"))
-        self.append_events(row.select("session_id", "type", payload.alias("payload_json"), F.current_timestamp().alias("created_at")))
+        self.append_events(row.select("session_id", "type", payload.alias("payload_json"), F.current_timestamp().alias("created_at")), session_id=session_id)
 
     def load_model(self, session_id: str, config: Config) -> Model:
-        newest = self.read("events").where((F.col("session_id") == session_id) & (F.col("type") == "session.start")).agg(F.max_by("payload_json", "event_id").alias("p"))
+        newest = self.read("events", session_id).where(F.col("type") == "session.start").agg(F.max_by("payload_json", "event_id").alias("p"))
         row = newest.select(F.from_json("p", "name string, context_window long, reserved_output_tokens long").alias("m")).select("m.*").first()
         return Model.default(config) if row is None or row.name is None else Model(row.name, row.context_window, row.reserved_output_tokens)
 
     # ---- artifacts, runs, statistics, working sets ----
 
-    def insert_artifacts(self, artifacts: DataFrame) -> None:
+    def insert_artifacts(self, artifacts: DataFrame, session_id: str | None = None) -> None:
         """Artifacts that aren't stored yet; storing one plan's twice changes nothing."""
-        self.append("artifacts", artifacts.withColumn("created_at", F.current_timestamp()), ignore=True)
+        self.append("artifacts", artifacts.withColumn("created_at", F.current_timestamp()), ignore=True, session_id=session_id)
 
-    def artifact(self, artifact_id: str) -> DataFrame:
-        return self.read("artifacts").where(F.col("artifact_id") == artifact_id)
+    def artifact(self, artifact_id: str, session_id: str | None = None) -> DataFrame:
+        return self.read("artifacts", session_id).where(F.col("artifact_id") == artifact_id)
 
-    def record_runs(self, headers: DataFrame, actions: DataFrame) -> str:
-        """One run id for all sessions of a plan; actions are written first, so a run without them is never seen."""
-        run = uuid.uuid4().hex
-        self.append("compaction_actions", actions.withColumn("run_id", F.lit(run)))
+    def record_runs(self, headers: DataFrame, actions: DataFrame, session_id: str | None = None) -> str:
+        """One run id for all sessions of a plan, which sorts by time."""
+        run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+        self.append("compaction_actions", actions.withColumn("run_id", F.lit(run)), session_id=session_id)
         rows = headers.select(F.lit(run).alias("run_id"), "session_id", "before_tokens", F.col("expected_after_tokens").alias("after_tokens"), "pressure_state", F.current_timestamp().alias("created_at"))
-        self.append("compaction_runs", rows)
+        self.append("compaction_runs", rows, session_id=session_id)
         return run
 
     def runs(self, session_id: str | None = None) -> DataFrame:
-        rows = self.read("compaction_runs")
-        return (rows if session_id is None else rows.where(F.col("session_id") == session_id)).orderBy("created_at", "run_id")
+        return self.read("compaction_runs", session_id).orderBy("run_id", "session_id")
+
+    def actions(self, session_id: str | None = None) -> DataFrame:
+        """Actions of the runs that count."""
+        return self.read("compaction_actions", session_id).join(self.read("compaction_runs", session_id).select("run_id", "session_id"), ["run_id", "session_id"], "left_semi")
+
+    def token_stats(self, session_id: str | None = None, *, without: str | None = None) -> DataFrame:
+        newest = self.read("token_stats", session_id, without=without).groupBy("session_id", "event_type")
+        return newest.agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
 
-    def token_stats(self) -> DataFrame:
-        return self.read("token_stats")
+    def upsert_token_stats(self, stats: DataFrame, **where: str | None) -> None:
+        """Statistics of higher counts than those stored; lower ones never count again."""
+        self.append("token_stats", stats, **where)
 
-    def upsert_token_stats(self, stats: DataFrame) -> None:
-        keep = self.token_stats().join(stats.select("session_id", "event_type"), ["session_id", "event_type"], "left_anti")
-        self._replace("token_stats", keep.unionByName(self._cast("token_stats", stats)))
+    def _working_meta(self, session_id: str | None = None) -> DataFrame:
+        newest = self.read("working_set_meta", session_id).groupBy("session_id")
+        return newest.agg(F.max_by("materialized_at", "version").alias("materialized_at"), F.max("version").alias("version"))
 
-    def working_set(self) -> tuple[DataFrame, DataFrame]:
+    def working_set(self, session_id: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(rows, meta); a session that is in meta without rows was compacted to nothing."""
-        return self.read("working_set_items"), self.read("working_set_meta")
-
-    def replace_working_sets(self, working: DataFrame, sessions: DataFrame) -> None:
-        """Sets the working sets of ``sessions`` to these rows, leaving other sessions' alone; rows count once meta names the session."""
-        rows, meta = self.working_set()
-        rows = rows.join(sessions.select("session_id"), "session_id", "left_anti").unionByName(self._cast("working_set_items", working))
-        new = sessions.select("session_id", F.current_timestamp().alias("materialized_at"))
-        meta = meta.join(sessions.select("session_id"), "session_id", "left_anti").unionByName(new)
-        self._replace("working_set_items", rows)
-        self._replace("working_set_meta", meta)
+        meta = self._working_meta(session_id)
+        rows = self.read("working_set_items", session_id).join(meta.select("session_id", "version"), ["session_id", "version"], "left_semi")
+        return rows.drop("version"), meta.drop("version")
+
+    def replace_working_sets(self, working: DataFrame, sessions: DataFrame, session_id: str | None = None) -> None:
+        """Sets the working sets of ``sessions`` to these rows; other sessions' are neither read nor written."""
+        version = F.lit(time.time_ns())
+        self.append("working_set_items", working.withColumn("version", version), session_id=session_id)
+        self.append("working_set_meta", sessions.select("session_id", F.current_timestamp().alias("materialized_at"), version.alias("version")), session_id=session_id)
+
+    def append_working_sets(self, rows: DataFrame, *, session_id: str | None = None, commit: str | None = None) -> None:
+        """Adds rows to the working sets of sessions that have one."""
+        rows = rows.drop("version").join(self._working_meta(session_id).select("session_id", "version"), "session_id")
+        self.append("working_set_items", rows, session_id=session_id, commit=commit)

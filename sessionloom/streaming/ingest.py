@@ -12,13 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.items import enrich
 from ..operators.predict import event_type
 from ..schema import Config
+from ..session import add
 from ..sources.jsonl import records
+from ..sources.shared import fixed
 from ..sources.store import Store
 
 #: Rows of a key in a micro-batch that are sorted in memory; more are sorted in parts, on local disk, and merged.
@@ -108,10 +111,20 @@ def latest_state(updates: DataFrame, keys: list[str], folder: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
 
 
-def ingest_into(store: Store, items: DataFrame, config: Config, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Appends each micro-batch's items to the store; a batch that is run again adds nothing twice if records carry ids."""
+def ingest_into(store: Store, items: DataFrame, config: Config, checkpoint: str, *, name: str = "stream", **trigger: object) -> StreamingQuery:
+    """Adds each micro-batch's items to the store as any ingest does: items, events, statistics and working sets. Batches count in order of arrival,
+    items within one by created_at and id.
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.append("context_items", batch, ignore=True)
+    ``name`` tells a stream's commits from those of others: a batch that is run again replaces what it wrote. Items whose ids are stored already, or come again in
+    a batch, are passed over.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        keys, commit = store.KEYS["context_items"], f"{name}-{number}"
+        place = F.row_number().over(W.partitionBy("session_id").orderBy("created_at", "item_id")).cast("long")
+        batch = fixed(batch.withColumn("arrival", place))
+        first = batch.groupBy(*keys).agg(F.min("arrival").alias("arrival"))
+        new = batch.join(first, [*keys, "arrival"], "left_semi").join(store.read("context_items", without=commit).select(*keys), keys, "left_anti")
+        add(store, fixed(new), config, commit=commit)
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import os
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.memory import MemoryRef, NullMemory, RetrievalQuery
 from sessionloom.operators import predict
 from sessionloom.protocol import Server
-from sessionloom.schema import Config, Context, Model, Reserve
+from sessionloom.schema import WIRE, Config, Context, Model, Reserve
 from sessionloom.session import Session
 from sessionloom.sources.store import Store
 from sessionloom.streaming.ingest import ema_stream, in_order, ingest_into, item_stream
@@ -93,6 +94,87 @@ def test_ema_stream_equals_batch(spark, tmp_path):
     ingest_into(store, item_stream(spark, str(folder), "s"), config, str(tmp_path / "c2")).awaitTermination()
     want = {r.event_type: (r.ema, r["count"]) for r in predict.token_stats(store.items(), config).collect()}
     assert got == want and store.items().count() == 18
+    assert {r.event_type: (r.ema, r["count"]) for r in store.token_stats().collect()} == want
+    assert store.read("events").where("type = 'context.add'").count() == 18
+
+
+def test_streams_fill_working_sets_and_repeat_nothing(spark, tmp_path):
+    store = Store.temporary(spark)
+    config = Config()
+    Session(store, "s", config).compact()
+    assert store.working_set("s")[1].count() == 1
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.jsonl", [item(1), item(2, "UserMessage", "x"), item(1)])
+    for _ in range(2):  # as after a loss of the stream's checkpoint: the same commits again
+        ingest_into(store, item_stream(spark, str(folder), "s"), config, str(tmp_path / f"c{_}")).awaitTermination()
+        assert [r.item_id for r in store.working_set("s")[0].orderBy("pos").collect()] == ["i1", "i2"]
+        assert store.items().count() == 2 and store.read("events").where("type = 'context.add'").count() == 2
+        assert {(r.event_type, r["count"]) for r in store.token_stats().collect()} == {("file-read", 1), ("other", 1)}
+
+
+def test_checkpoints_and_late_items_are_ingested_as_others(spark):
+    store = Store.temporary(spark)
+    session = Session(store, "s")
+    rows = spark.createDataFrame([("i1", "AssistantMessage", "one two three four", "2024-01-02T00:00:00Z", "L2")], "id string, kind string, content string, created_at string, compression_level string")
+    columns = spark.createDataFrame([], WIRE).columns
+    wire = lambda df: df.unionByName(spark.createDataFrame([], WIRE), allowMissingColumns=True).select(F.lit("s").alias("session_id"), *columns)
+    session.ingest(wire(rows))
+    assert store.items("s").first().compression_level == "L0"
+    session.compact()
+    made = F.struct(F.lit("goal").alias("goal"), F.lit("open").alias("status"))
+    assert session.ingest_checkpoint(spark.range(1).select(F.lit("k1").alias("item_id"), F.timestamp_seconds(F.lit(0)).alias("created_at"), made.alias("checkpoint"))) == 1
+    # An item of an earlier time than those there: behind them in the working set, and last in the average.
+    session.ingest(wire(spark.createDataFrame([("i0", "AssistantMessage", "one two", "2020-01-01T00:00:00Z", "L2")], rows.schema)))
+    working = store.working_set("s")[0].orderBy("pos").collect()
+    assert [(r.item_id, r.compression_level) for r in working] == [("i1", "L0"), ("k1", "L0"), ("i0", "L0")]
+    stats = {r.event_type: (r.ema, r["count"]) for r in store.token_stats("s").collect()}
+    assert stats["assistant"] == (0.25 * 2 + 0.75 * 4, 2) and stats["other"][1] == 1
+    assert store.read("events", "s").where("type = 'context.add'").count() == 3
+    actions, _ = session.plan()
+    assert [(r.item_id, r.action) for r in actions.orderBy("idx").collect()] == [("k1", "Keep"), ("i0", "Keep"), ("i1", "Keep")]
+    assert session.last_plan is not None and session.status().first().item_count == 3
+
+
+def test_an_ingest_writes_its_sessions_part_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    many = spark.range(2_000).select(F.concat(F.lit("u"), "id").alias("session_id"))
+    sets = many.select("session_id", F.lit(1).alias("pos"), F.concat(F.lit("x"), "session_id").alias("item_id"), F.lit("Other").alias("kind"), F.lit("t").alias("content"), F.lit(1).alias("token_count"), F.lit("L0").alias("compression_level"))
+    store.replace_working_sets(sets, many)
+    parquet = lambda: {p for p in (tmp_path / "db").rglob("*.parquet")}
+    session = Session(store, "u7")
+    there, before = parquet(), {p: p.stat().st_mtime_ns for p in parquet()}
+    session.ingest_lines(['{"id": "n", "kind": "UserMessage", "content": "hi"}'])
+    new = parquet() - there
+    assert {p.relative_to(tmp_path / "db").parts[0] for p in new} == {"context_items", "events", "token_stats", "working_set_items"} and len(new) == 4
+    assert len({p.parent.name for p in new}) == 1 and all(p.stat().st_mtime_ns == t for p, t in before.items())
+    assert sum(p.stat().st_size for p in new) < 40_000
+    assert [r.item_id for r in store.working_set("u7")[0].orderBy("pos").collect()] == ["xu7", "n"]
+    assert store.working_set()[0].count() == 2_001
+    plan = store.working_set("u7")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_lines_from_a_stream_and_the_number_of_a_bad_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sessionloom.session.AT_ONCE", 2)
+    session = Session(Store.temporary(spark), "s")
+    good = [json.dumps(item(i)) for i in range(3)]
+    assert session.ingest_lines([good[0] + "\n", "\n", good[1] + "\n"]) == 2
+    with pytest.raises(ValueError, match="line 4: no kind"):
+        session.ingest_lines([good[2], "", "", '{"content": "x"}'])
+    assert session.store.items("s").count() == 3
+    with pytest.raises(ValueError, match="line 3: not JSON"):
+        session.ingest_file(write(tmp_path / "bad.jsonl", ["", item(7), json.dumps(item(8)) + " rubbish", "{"]))
+    with pytest.raises(Exception, match="hash"):
+        session.ingest_lines([json.dumps(item(9, content="x", content_hash=hashlib.sha256(b"x").hexdigest().upper()))])
+
+
+def test_another_token_counter(spark):
+    words = lambda c: F.size(F.split(F.trim(c), r"\s+")).cast("long")
+    store = Store.temporary(spark)
+    session = Session(store, "s", counter=words)
+    session.ingest_lines([json.dumps(item(1, content="a, b, c."))])
+    assert store.items("s").first().token_count == 3 and session.compact().first().token_count == 3
 
 
 def test_ema_values(spark):
