@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: White space and words as the corpus operators understand them.
@@ -49,6 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of at most about BATCH_BYTES: the session's ``spark.sql.execution.arrow.maxBytesPerBatch``
+    is lowered to that if it is higher, as a batch is held by Spark and by the worker, for each of an executor's cores. What Arrow
+    keeps for reuse at the end of a task goes back to the machine, as workers live on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores put before it until no column has it."""
     while name.lower() in {c.lower() for c in taken}:
@@ -132,7 +153,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``limit`` bytes of ``text`` each; a longer row stands alone."""
     _, offsets = flat_bytes(batch.column(text))
     a = 0

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import flat_bytes, fresh, slices
+from ._shared import flat_bytes, fresh, mapped, slices
 
 #: Rows a language (expected) that train, and characters of each, from a place that depends on its id.
 TRAIN_ROWS, TRAIN_CHARS = 128, 400
+#: Languages at most: each takes about 1.2 MB of a model, and a model is sent to every executor.
+MOST_LANGUAGES = 200
 #: A longer text is parsed in blocks of so many bytes; a block's end also ends a phrase.
 BLOCK = 1024
 
@@ -57,13 +59,50 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of transitions laid over one another: row s goes by class c to target[base[s] + c] if owner[base[s] + c] is s, else it has none.
+
+    Rows with several transitions go first, where they fit; single ones fill the gaps, so nearly every place is in use.
+    """
+    size = sum(map(len, rows)) * 2 + 2 * width
+    base, owner, target = np.zeros(len(rows), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    used = bytearray(size)
+    hint = 0
+
+    def put(s: int, at: int) -> None:
+        base[s] = at
+        for c, to in rows[s].items():
+            used[at + c] = 1
+            owner[at + c], target[at + c] = s, to
+
+    for s in sorted((s for s, to in enumerate(rows) if len(to) > 1), key=lambda s: -len(rows[s])):
+        at, classes = hint, list(rows[s])
+        while any(used[at + c] for c in classes):
+            at += 1
+        hint = max(hint, at - width)
+        put(s, at)
+    free = width
+    for s, to in enumerate(rows):
+        if len(to) == 1:
+            free = used.index(0, free)
+            put(s, free - next(iter(to)))
+    end = len(used.rstrip(b"\0")) + width
+    return base, owner[:end].copy(), target[:end].copy()
+
+
 @dataclass
 class Model:
-    """classes: of each byte. walk: for state * n_classes + class, twice the next such start, plus 1 where a phrase begins."""
+    """classes: of each byte. base, owner, target: the automata's transitions (see ``displaced``), in all about 8 bytes each and 4 a state.
+
+    start: by language and class, the state of a phrase that begins so; fresh: by language, where none has begun.
+    """
 
     languages: list[str]
     classes: np.ndarray
-    walk: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    start: np.ndarray
     fresh: np.ndarray
     bits: np.ndarray
 
@@ -83,9 +122,11 @@ class Model:
         count = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
         for p, m in enumerate(live.tolist()):
-            step = self.walk.take(state[:, :m] + cls.take(start[:m] + p))
-            count[:, :m] += step & 1
-            np.right_shift(step, 1, out=state[:, :m])
+            c, now = cls.take(start[:m] + p), state[:, :m]
+            at = self.base.take(now) + c
+            begins = self.owner.take(at) != now
+            count[:, :m] += begins
+            state[:, :m] = np.where(begins, self.start.take(c, axis=1), self.target.take(at))
         out = np.zeros((len(self.languages), n), np.int64)
         for k, c in enumerate(count):
             out[k] = np.bincount(owner, c, n)
@@ -121,34 +162,34 @@ def build_model(samples: dict[str, bytes]) -> Model:
     classes[0x80:] = 27
     classes[used] = np.arange(28, 28 + len(used))
     width = 28 + len(used)
-    parts, fresh, bits, base = [], [], [], 0
-    blank = Model(languages, classes, np.zeros(0), np.zeros(0), np.zeros(0))
-    for name in languages:
+    rows: list[dict[int, int]] = []
+    start, fresh, bits, none = np.zeros((len(languages), width), np.int32), [], [], np.zeros(0, np.int32)
+    blank = Model(languages, classes, none, none, none, start, none, none)
+    for k, name in enumerate(languages):
         raw = np.frombuffer(samples[name], np.uint8)
         text, _ = blank.normal(raw, np.array([0, len(raw)]))
         moves = suffix_automaton(text.tolist())
-        n = len(moves)  # row n is where no phrase has begun
-        table = np.full((n + 1, width), -1, np.int64)
-        for s, to in enumerate(moves):
-            table[s, list(to)] = list(to.values())
-        begin = np.where(table[0] >= 0, table[0], n)
-        begin = (begin * width + base) * 2 + 1
-        table = np.where(table >= 0, (table * width + base) * 2, begin)
-        table[n] = begin
-        parts.append(table.ravel())
-        fresh.append(base + n * width)
+        first = len(rows)
+        rows += [{c: first + to for c, to in row.items()} for row in moves] + [{}]
+        fresh.append(len(rows) - 1)
+        start[k] = fresh[-1]
+        start[k, list(moves[0])] = [first + to for to in moves[0].values()]
         bits.append(math.log2(max(2, len(text))))
-        base += (n + 1) * width
-    kind = np.int32 if base * 2 < 2**31 else np.int64
-    return Model(languages, classes.astype(kind), np.concatenate(parts or [np.zeros(0)]).astype(kind), np.array(fresh, kind), np.array(bits))
+    return Model(languages, classes, *displaced(rows, width), start, np.array(fresh, np.int32), np.array(bits))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
-    """Learns from rows with text and lang that are not held out: about ``train_rows`` a language, those of lowest hash."""
+    """Learns from rows with text and lang that are not held out: about ``train_rows`` a language, those of lowest hash.
+
+    Null texts, languages and held-out rows teach nothing; repeated rows count each; an empty table gives a model without languages.
+    More than MOST_LANGUAGES languages are an error.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return build_model({})
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     chance = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, train_rows / n))])
     mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("language"))
     place = F.pmod(mark, F.greatest(F.lit(1), F.length(text_col) - train_chars + 1)).cast("int") + 1
@@ -165,7 +206,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text where nothing was learned. The
     score is 1 - cost of the best / cost of the second language (1 where only one was learned); a tie goes to the
-    smaller name with score 0. Columns of these names that are there already are replaced. The whole text counts.
+    smaller name with score 0. Columns of these names that are there already are replaced. The whole text counts. Repeated rows give
+    equal results, an empty table an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -188,4 +230,4 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
                 columns = [some.column(c) for c in keep]
                 yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(mapped, run, schema)

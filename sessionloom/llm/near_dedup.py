@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import cut, flat_bytes, keyed_groups, slices, with_rows
+from ._shared import cut, flat_bytes, keyed_groups, mapped, slices, with_rows
 from ._spans import runs
 from .components import connected_components
 
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     least = (least_shared(percent / 100, sketch)[0] - 1e-6) / sketch
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = cut(texts.mapInArrow(_sketches(words, sketch), "id long, n long, f1 long, f2 long, sketch array<long>"))
+    rows = cut(texts.transform(mapped, _sketches(words, sketch), "id long, n long, f1 long, f2 long, sketch array<long>"))
     classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")))
 
     values = classes.select("id", "f1", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
@@ -244,15 +244,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = shared.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_nth", F.row_number().over(own.orderBy("lists", "v")))
     rare = shared.where(F.col("_nth") <= F.col("_all") - F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("s"))) + 1)
     lists = rare.join(classes.select("id", "f1", "sketch"), ["id", "f1"]).select("v", "id", "sketch", F.ceil(F.col("lists") / BLOCK_DOCS).alias("parts"))
-    candidates = _in_blocks(lists, "v").mapInArrow(_similar_sketches(least, sketch), "a long, b long")
+    candidates = _in_blocks(lists, "v").transform(mapped, _similar_sketches(least, sketch), "a long, b long")
     clusters = connected_components(candidates, "a", "b")
 
     members = cut(clusters.join(classes.groupBy("id").agg(F.sum("n").alias("n")), F.col("node") == F.col("id")).select("id", "n", F.col("component").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     members = members.join(sizes, "cluster").select("id", "cluster", "parts")
     found = texts.join(members.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", "cluster", "parts", "_text")
-    full = found.mapInArrow(_full_sets(words), "id long, cluster long, parts long, full binary")
-    links = _in_blocks(full, "cluster").mapInArrow(_similar_sets(percent), "a long, b long")
+    full = found.transform(mapped, _full_sets(words), "id long, cluster long, parts long, full binary")
+    links = _in_blocks(full, "cluster").transform(mapped, _similar_sets(percent), "a long, b long")
     joined = connected_components(links, "a", "b")
 
     ends = classes.join(joined, F.col("id") == F.col("node"), "left").select(

@@ -9,22 +9,24 @@ import bisect
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, ranks_within
+from ._shared import cut, mapped, ranks_within, slices
 
 #: A group of equal sequences: how many, and (length, how often) of what each holds, longest first.
 Group = tuple[int, list[tuple[int, int]]]
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of each of the two tables of an encoder; they only save time.
-CACHE_WORDS = 600_000
-_encoders: dict[str, "Encoder"] = {}
+#: Entries of each of the two tables of an encoder, and bytes of the longest key; they only save time. Both hold at most about 100 MB a task.
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 40
+#: Bytes of a text that are split into words at once.
+AT_ONCE = 1 << 18
+_SPACE = re.compile(rb"\s")
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,11 +47,29 @@ _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+class Lately(dict):
+    """Keys of at most CACHE_BYTES with what ``make`` made of them; once half of CACHE_ENTRIES are new, those not asked for since the last time go."""
+
+    def __init__(self, make: Callable[[object], bytes]):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: object) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_BYTES:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer that splits at white space and parts of words.
 
     Its normalizer (NFC, white space, lower case) and splitting never look past white space, so the ids of a text are those
-    of its words in turn. Words and parts seen before come from two tables of at most CACHE_WORDS entries a worker.
+    of its words in turn. Short words and parts seen lately come from two tables of at most CACHE_ENTRIES entries.
     """
 
     def __init__(self, path: str):
@@ -57,39 +77,29 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Lately(self.word), Lately(self.part)
         self.chars = {chr(b): c for b, c in _byte_chars().items()}
         self.table = str.maketrans(self.chars)
 
     def part(self, s: str) -> bytes:
-        ids = self.parts.get(s)
-        if ids is None:
-            tokens = self.model.tokenize(s.encode().decode("latin-1").translate(self.table))
-            ids = self.parts[s] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids
+        tokens = self.model.tokenize(s.encode().decode("latin-1").translate(self.table))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def word(self, w: bytes) -> bytes:
         s = w.decode()
-        if _SIMPLE.fullmatch(s) and "<|" not in s:
-            return b"".join(map(self.part, _PARTS.findall(s.lower())))
+        if (s.isascii() and s.isprintable() or _SIMPLE.fullmatch(s)) and "<|" not in s:
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(s.lower())))
         ids = self.tok.encode(s, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: bytes) -> bytes:
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        words = text.split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join(map(known.__getitem__, words))
+        out, a = [], 0
+        while a < len(text):
+            at = _SPACE.search(text, min(len(text), a + AT_ONCE))
+            b = at.start() if at else len(text)
+            out += map(self.words.__getitem__, text[a:b].split())
+            a = b
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, path: str | None = None, end_id: int = 0) -> DataFrame:
@@ -102,12 +112,9 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encode = _encoders[path]
+        encode = Encoder(path)  # a task's own: a reused worker keeps nothing of it
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for some in slices(batch, "_text", 1 << 20):
                 texts = some.column(1).fill_null("").cast(pa.binary()).to_pylist()
                 out = [], [], [], [], []
                 for i, text in zip(some.column(0).to_pylist(), texts, strict=True):
@@ -119,7 +126,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
                 types = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).transform(mapped, run, PIECES)
 
 
 def _fitting(lengths: list[int], count: dict[int, int], room: int, less: dict[int, int]) -> list[int]:
@@ -276,4 +283,4 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long")).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long")).transform(mapped, run, f"{PIECES}, sequence_id long, offset long")

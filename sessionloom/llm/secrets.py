@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spans import FOUND, FOUND_TYPE, Span, lookup, rows_of, runs
-from ._shared import flat_bytes, fresh, slices
+from ._shared import flat_bytes, fresh, mapped, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -169,4 +169,4 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                     found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
                 yield pa.record_batch([*(some.column(c) for c in keep), pa.array(found, FOUND)], [*keep, "found"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias(name)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(name)).transform(mapped, run, schema)
