@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, keyed_groups
+from ._shared import cut, keyed_groups, mapped
 from .components import connected_components
 from .near_dedup import BLOCK_DOCS, _forest, _in_blocks
 
-#: Hyperplanes a table, and tables. A pair at cosine c collides in one with probability (1 - arccos(c) / pi) ** BITS.
-BITS, TABLES = 12, 20
+#: Vectors of the largest label that a bucket holds on average if they are spread at random, and the chance at most that a pair at the threshold collides in no table.
+BUCKET, MISS = 64, 1e-6
+
+
+def tables_for(largest: int, cosine: float) -> tuple[int, int]:
+    """Hyperplanes a table, and tables: so many buckets that the largest label's vectors lie about BUCKET in each, so that work grows
+    in proportion to vectors, and so many tables that a pair at ``cosine`` is missed with a chance of MISS.
+
+    A pair at cosine c has the same side of a hyperplane with probability 1 - arccos(c) / pi.
+    """
+    bits = min(24, max(4, math.floor(math.log2(max(1, largest) / BUCKET))))
+    together = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
+    return bits, 1 if together >= 1 else max(1, math.ceil(math.log(MISS) / math.log1p(-max(together, 1e-3))))
 
 
 def usable(vector: str) -> Column:
@@ -83,7 +95,7 @@ def _similar(cosine: float, dtype: np.dtype):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, bits: int = BITS, tables: int = TABLES, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, bits: int | None = None, tables: int | None = None, seed: int = 7) -> DataFrame:
     """One row a row of ``vectors``: vec_id, n_links, component_id and kept.
 
     Vectors of one label and length link at a cosine of at least ``cosine`` in double precision. Null, empty or zero
@@ -91,8 +103,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     component the own id. component_id is the smallest id reachable, kept whether it is the own one (false for a null id). Equal rows
     count as vectors of their own. Equal vectors of a label are one class, hashed once.
 
-    A pair is found if it collides in a table: at cosine 0.98 with probability 1 - 6e-6 by default, closer ones more often. It is counted
-    in the first table where it collides, so pairs are never listed. Large buckets are compared in pairs of blocks.
+    A pair is found if it collides in a table: at the threshold with probability 1 - MISS by default (see tables_for), closer ones more often. It is counted
+    in the first table where it collides, so pairs are never listed. Large buckets are compared in pairs of blocks. Only the largest
+    label's number of distinct vectors reaches the driver.
     """
     element = vectors.schema[vector_col].dataType.elementType.simpleString()
     dtype = np.dtype(np.float32 if element == "float" else np.float64)
@@ -104,7 +117,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     classes = rows.where("ok").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("label", "x"), "id").alias("_v"))
     classes = classes.select("id", "f1", "f2", "copies", "_v.label", "_v.x")
     classes = cut(classes)
-    signed = cut(classes.select("id", "copies", "label", "x").mapInArrow(_sign(bits, tables, seed, dtype), "id long, copies long, label string, dim int, raw binary, signs array<int>"))
+    if bits is None or tables is None:
+        largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        bits, tables = tables_for(largest, cosine)
+    signed = cut(classes.select("id", "copies", "label", "x").transform(mapped, _sign(bits, tables, seed, dtype), "id long, copies long, label string, dim int, raw binary, signs array<int>"))
 
     light = signed.select("id", "label", "dim", F.posexplode("signs").alias("t", "sign"))
     large = light.groupBy("label", "dim", "t", "sign").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_DOCS)
@@ -113,7 +129,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     placed = signed.join(large, F.col("id") == F.col("_id"), "left").select("id", "copies", "label", "dim", "raw", "signs", "_parts", F.posexplode("signs").alias("t", "sign"))
     bucket = F.concat_ws(":", "t", "sign", "dim", "label")
     placed = placed.select("id", "copies", "raw", "signs", "t", bucket.alias("bucket"), F.coalesce(F.element_at("_parts", F.col("t")), F.lit(1)).alias("parts"))
-    found = cut(_in_blocks(placed, "bucket").mapInArrow(_similar(cosine, dtype), "a long, n long, b long"))
+    found = cut(_in_blocks(placed, "bucket").transform(mapped, _similar(cosine, dtype), "a long, n long, b long"))
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("n"))
     joined = connected_components(found.where("b IS NOT NULL"), "a", "b")
