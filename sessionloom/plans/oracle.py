@@ -91,17 +91,23 @@ def goals(usable: int, extra: int) -> str:
 
 # No reducer applies to these kinds, so a first step is an artifact (where one may be made) or eviction.
 def plan(usable: int, extra: int, large: int, scored: str = SCORED) -> str:
-    return f"""{scored}, candidates AS (
-  SELECT *, NOT is_pinned AND dup_count > 1 AND NOT is_canonical AS deduplicated,
+    candidates = f"""SELECT *, 0 AS from_n, NOT is_pinned AND dup_count > 1 AND NOT is_canonical AS deduplicated, token_count AS reduced_tokens, token_count AS extracted_tokens,
          CASE WHEN recoverable AND token_count >= {large} THEN {count("'artifact://file/' || item_id")} ELSE token_count END AS external_tokens,
          greatest(1::FLOAT - importance, 0.01::FLOAT) AS loss
-  FROM scored
-), {goals(usable, extra)}, steps AS (
-  SELECT session_id, item_id, idx, loss, 1 AS k, 'L4' AS level, external_tokens AS after, token_count - external_tokens AS savings, 4 AS ordinal
-  FROM candidates WHERE NOT is_pinned AND NOT deduplicated AND external_tokens < token_count AND from_n < 4
-  UNION ALL
-  SELECT session_id, item_id, idx, loss, CASE WHEN external_tokens < token_count AND from_n < 4 THEN 2 ELSE 1 END, 'L5', 0, CASE WHEN from_n < 4 THEN least(external_tokens, token_count) ELSE token_count END, 5
-  FROM candidates WHERE NOT is_pinned AND NOT deduplicated AND CASE WHEN from_n < 4 THEN least(external_tokens, token_count) ELSE token_count END > 0
+  FROM scored"""
+    return f"{scored}, candidates AS ({candidates}\n), {chosen(usable, extra)}"
+
+
+def chosen(usable: int, extra: int) -> str:
+    """From candidates with costs by level: every level that costs less than all before it is a step; a step's rank is the smallest utility so far."""
+    return f"""{goals(usable, extra)}, costs AS (
+  SELECT session_id, item_id, idx, loss, from_n, token_count, unnest([1, 2, 4, 5]) AS ordinal, unnest([reduced_tokens, extracted_tokens, external_tokens, 0]) AS after
+  FROM candidates WHERE NOT is_pinned AND NOT deduplicated AND from_n < 5
+), lows AS (
+  SELECT *, least(token_count, coalesce(min(after) OVER (PARTITION BY session_id, idx ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), token_count)) AS before
+  FROM costs WHERE ordinal > from_n
+), steps AS (
+  SELECT session_id, item_id, idx, loss, ordinal, 'L' || ordinal AS level, after, before - after AS savings, row_number() OVER (PARTITION BY session_id, idx ORDER BY ordinal) AS k FROM lows WHERE after < before
 ), valued AS (
   SELECT *, savings::FLOAT / (loss * (1::FLOAT + ordinal::FLOAT * 0.15::FLOAT)) AS utility FROM steps
 ), chained AS (
@@ -118,13 +124,13 @@ def plan(usable: int, extra: int, large: int, scored: str = SCORED) -> str:
   SELECT session_id, idx, arg_max(level, k) AS level, arg_max(after, k) AS after FROM second_pass WHERE taken OR (level <> 'L5' AND spent < due) GROUP BY session_id, idx
 ), actions AS (
   SELECT c.session_id, c.item_id, c.idx, c.kind, c.content,
-         CASE WHEN is_pinned THEN 'Pin' WHEN deduplicated THEN 'Deduplicate' WHEN l.level = 'L4' THEN 'Externalize' WHEN l.level = 'L5' THEN 'Evict' ELSE 'Keep' END AS action,
+         CASE WHEN is_pinned THEN 'Pin' WHEN deduplicated THEN 'Deduplicate' WHEN l.level IS NULL THEN 'Keep' ELSE ['Reduce', 'Extract', '', 'Externalize', 'Evict'][substr(l.level, 2)::INTEGER] END AS action,
          'L' || from_n AS from_level, CASE WHEN is_pinned THEN 'L' || from_n WHEN deduplicated THEN 'L5' ELSE coalesce(l.level, 'L' || from_n) END AS to_level, c.token_count AS estimated_before,
          CASE WHEN is_pinned THEN c.token_count WHEN deduplicated THEN 0 ELSE coalesce(l.after, c.token_count) END::BIGINT AS estimated_after,
-         CASE WHEN is_pinned THEN 'pin: mandatory or user constraint' WHEN deduplicated THEN 'deduplicate: repeated content' WHEN l.level = 'L4' THEN 'externalize: recoverable content'
-              WHEN l.level = 'L5' THEN 'evict: low importance' ELSE 'keep: baseline' END AS reason
+         CASE WHEN is_pinned THEN 'pin: mandatory or user constraint' WHEN deduplicated THEN 'deduplicate: repeated content' WHEN l.level IS NULL THEN 'keep: baseline'
+              ELSE ['reduce: structural cleanup', 'extract: keep only key parts', '', 'externalize: recoverable content', 'evict: low importance'][substr(l.level, 2)::INTEGER] END AS reason
   FROM candidates c LEFT JOIN last_step l USING (session_id, idx)
-)""".replace("SELECT *, NOT is_pinned AND dup_count", "SELECT *, 0 AS from_n, NOT is_pinned AND dup_count", 1)
+)"""
 
 
 FILE_PLAN = f"WITH {files()}, {plan(12_000, 1_500, 400)}"
@@ -141,7 +147,7 @@ WORKING = f"""{FILE_PLAN}, working AS (
 def again() -> str:
     """The plan of the working sets: its names get a suffix so that both plans fit one query."""
     second = plan(5_000, 0, 400).replace("0 AS from_n,", "substr(compression_level, 2)::INTEGER AS from_n,", 1)
-    for name in ("items", "indexed", "grouped", "parts", "scored", "candidates", "sums", "pressures", "states", "goals", "steps", "valued", "chained", "first_pass", "second_pass", "last_step", "actions"):
+    for name in ("items", "indexed", "grouped", "parts", "scored", "candidates", "sums", "pressures", "states", "goals", "costs", "lows", "steps", "valued", "chained", "first_pass", "second_pass", "last_step", "actions"):
         for before in ("FROM ", "JOIN "):
             second = second.replace(f"{before}{name} ", f"{before}{name}_2 ").replace(f"{before}{name}\n", f"{before}{name}_2\n")
         second = second.replace(f"{name} AS (", f"{name}_2 AS (")
@@ -155,31 +161,93 @@ def r5(*names: str) -> str:
     return ", ".join(f"round({n}::DOUBLE, 5) AS {n}" for n in names)
 
 
+# Logs are made, as the tables have none, with the whole text behind; every 50th is long.
 _LOG = """WITH logs AS (
-  SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 8) AS w FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS text, substr(sha256(coalesce(text, '')), 1, 8) AS w FROM documents
 ), build AS (
-  SELECT doc_id, array_to_string(list_transform(range(1, 13 + doc_id % 9), lambda i: CASE (i * 7 + doc_id) % 11
-    WHEN 0 THEN '' WHEN 1 THEN '| / -' WHEN 2 THEN 'Downloading ' || w WHEN 3 THEN i || '% done' WHEN 4 THEN 'error[E04' || i % 10 || ']: bad ' || w
+  SELECT doc_id, source, array_to_string(list_transform(range(1, CASE WHEN doc_id % 50 = 7 THEN 401 ELSE 13 + doc_id % 9 END), lambda i: CASE (i * 7 + doc_id) % 11
+    WHEN 0 THEN '' WHEN 1 THEN '| / -' WHEN 2 THEN 'Downloading ' || w WHEN 3 THEN i || '% done' WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'error[E04' || i % 10 || ']: bad ' ELSE 'error: bad ' END || w
     WHEN 5 THEN '  --> src/' || w || '.rs:' || i || ':5' WHEN 6 THEN 'same line' WHEN 7 THEN 'same line' WHEN 8 THEN chr(27) || '[32mstep ' || i || chr(27) || '[0m'
-    WHEN 9 THEN 'fatal: it failed' ELSE 'note ' || w END), chr(10)) AS content
+    WHEN 9 THEN 'fatal: it failed' ELSE 'note ' || w END), chr(10)) || chr(10) || text AS content
   FROM logs
 ), tests AS (
-  SELECT doc_id, array_to_string(list_transform(range(1, 4 + doc_id % 5), lambda i: 'test case_' || i || CASE WHEN doc_id % 3 = 0 AND i % 4 = 1 THEN ' ... FAILED' ELSE ' ... ok' END), chr(10)) || chr(10)
-         || CASE WHEN doc_id % 3 = 0 THEN 'failures:' || chr(10) || '---- case_1 ----' || chr(10) || 'test result: FAILED. finished' ELSE 'test result: ok. finished in 0.01s' END AS content
-  FROM documents
+  SELECT doc_id, source, array_to_string(list_transform(range(1, CASE WHEN doc_id % 50 = 9 THEN 1001 ELSE 4 + doc_id % 5 END), lambda i: 'test case_' || i || CASE WHEN doc_id % 3 = 0 AND i % 4 = 1 THEN ' ... FAILED' ELSE ' ... ok' END), chr(10)) || chr(10)
+         || CASE WHEN doc_id % 3 = 0 THEN 'failures:' || chr(10) || '---- case_1 ----' || chr(10) || 'test result: FAILED. finished' ELSE 'test result: ok. finished in 0.01s' END || chr(10) || text AS content
+  FROM logs
 )"""
-_SHELL = _LOG + r""", clean AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(content, '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), chr(10)),
-    lambda x: NOT regexp_matches(x, '^[\s\|/\\\-]*$') AND NOT regexp_matches(x, '(?i)\b\d+%|\[={0,50}>\s*\]|\b(eta|downloading|extracting)\b')) AS xs
-  FROM build
-), kept AS (
-  SELECT doc_id, list_filter(xs, lambda x, i: i = 1 OR x <> xs[i - 1]) AS xs FROM clean
-), errors AS (
-  SELECT doc_id, xs, list_filter(xs, lambda x: regexp_matches(x, '(?i)error|fail|fatal|panic')) AS es FROM kept
-), single AS (
-  SELECT doc_id, xs, list_filter(es, lambda x, i: i = 1 OR x <> es[i - 1])[1:20] AS es FROM errors
+
+
+def lines(content: str) -> str:
+    return f"regexp_split_to_array(regexp_replace({content}, '\\r?\\n$', ''), '\\r?\\n')"
+
+
+def single(xs: str) -> str:
+    return f"list_filter({xs}, lambda x, i: i = 1 OR x <> ({xs})[i - 1])"
+
+
+_CLEAN = r"""list_filter(LINES, lambda x: NOT regexp_matches(x, '^[\s\|/\\\-]*$') AND NOT regexp_matches(x, '(?i)\b\d+%|\[={0,50}>\s*\]|\b(eta|downloading|extracting)\b'))""".replace("LINES", lines(r"regexp_replace(content, '\x1b\[[0-9;]*[A-Za-z]', '', 'g')"))
+_MARKS = rf"""list_filter({lines('content')}, lambda x: regexp_matches(x, '(?i)^\s*error(\[.*\])?\s*:.*$') OR regexp_matches(x, '^\s*-->\s*([^\s]+):(\d+):(\d+)'))"""
+
+
+def reduced(rows: str, keep: str) -> str:
+    """CTEs that end with ``shell`` (xs, es), ``compiler`` and ``tested`` (reduced) over a CTE with doc_id and content."""
+    return rf"""clean AS (SELECT {keep}, content, {_CLEAN} AS xs FROM {rows}
+), kept AS (SELECT {keep}, content, {single('xs')} AS xs FROM clean
+), errors AS (SELECT {keep}, content, xs, list_filter(xs, lambda x: regexp_matches(x, '(?i)error|fail|fatal|panic')) AS es FROM kept
+), shell AS (SELECT {keep}, content, xs, ({single('es')})[1:20] AS es FROM errors
+), marks AS (SELECT {keep}, content, {_MARKS} AS xs FROM {rows}
+), compiler AS (SELECT {keep}, array_to_string({single('xs')}, chr(10)) AS reduced FROM marks
+), counted AS (
+  SELECT {keep}, xs, len(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. ok$'))) AS p, len(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. FAILED$'))) AS f,
+         list_filter(xs, lambda x: regexp_matches(x, 'test result: .*\.|ran for|time:.*s|duration'))[-1] AS d FROM (SELECT {keep}, {lines('content')} AS xs FROM {rows})
+), tested AS (
+  SELECT {keep}, CASE WHEN f = 0 AND p > 0 THEN rtrim(p || ' tests passed' || chr(10) || '0 failed' || chr(10) || coalesce('duration ' || d, ''))
+    ELSE array_to_string(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. FAILED$') OR regexp_matches(x, '(?i)failures:') OR starts_with(x, '----'))[1:201], chr(10)) END AS reduced FROM counted
 )"""
 
+
+def extracted(command: str, code: str) -> str:
+    return f"""array_to_string(list_concat(['command: ' || {command}, 'exit_code: ' || {code}, 'errors:'],
+  CASE WHEN len(es) > 0 THEN list_transform(es, lambda x: '  ' || x) ELSE ['  <none>'] END,
+  CASE WHEN len(xs) > 0 THEN list_concat(['final_status:'], list_transform(xs[greatest(len(xs) - 2, 1):], lambda x: '  ' || x)) ELSE [] END), chr(10))"""
+
+
+# Sessions of command outputs, test results and errors: a reducer applies to most, some errors are resolved, some items have parents.
+_LOG_PLAN = f"""{_LOG}, items AS (
+  SELECT coalesce(b.source, '') AS session_id, 'd-' || lpad(b.doc_id::VARCHAR, 12, '0') AS item_id, b.doc_id AS seq, b.doc_id,
+         CASE b.doc_id % 4 WHEN 1 THEN 'TestResult' WHEN 2 THEN 'Error' ELSE 'CommandOutput' END AS kind,
+         CASE WHEN b.doc_id % 4 IN (0, 2) THEN b.content ELSE t.content END AS content, b.doc_id % 3 AS exit_code, 'make ' || b.doc_id AS command,
+         CASE WHEN b.doc_id % 5 = 0 THEN 'Resolved' ELSE 'Active' END AS state, b.doc_id % 3 = 0 AS has_parent
+  FROM build b JOIN tests t USING (doc_id)
+), hashed AS (
+  SELECT *, sha256(content) AS content_hash, {count('content')} AS token_count FROM items
+), indexed AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, item_id) - 1 AS idx, count(*) OVER (PARTITION BY session_id) AS n_items,
+         count(*) OVER (PARTITION BY session_id, kind, content_hash) AS dup_count, max(seq) OVER (PARTITION BY session_id, kind, content_hash) = seq AS is_canonical FROM hashed
+), parts AS (
+  SELECT *, state = 'Active' AND kind = 'Error' AS is_pinned,
+         (CASE kind WHEN 'Error' THEN 0.9 WHEN 'TestResult' THEN 0.4 ELSE 0.35 END)::FLOAT AS relevance, idx::FLOAT / n_items::FLOAT AS recency,
+         (CASE WHEN has_parent THEN 0.8 ELSE 0 END)::FLOAT AS dependency, (CASE WHEN state = 'Active' AND (kind = 'Error' OR exit_code <> 0) THEN 1 ELSE 0 END)::FLOAT AS unresolved, 0::FLOAT AS authority,
+         (CASE WHEN dup_count <= 1 THEN 1 WHEN is_canonical THEN 0.7 ELSE 0.1 END)::FLOAT AS uniqueness, (CASE kind WHEN 'CommandOutput' THEN 0.8 ELSE 0.3 END)::FLOAT AS recoverability_penalty,
+         (CASE WHEN dup_count > 1 THEN 1 ELSE 0 END)::FLOAT AS redundancy_penalty
+  FROM indexed
+), scored AS (
+  SELECT *, CASE WHEN is_pinned THEN 1::FLOAT ELSE greatest(least(
+           relevance * 0.15::FLOAT + recency * 0.15::FLOAT + dependency * 0.10::FLOAT + unresolved * 0.20::FLOAT + authority * 0.15::FLOAT
+           + uniqueness * 0.10::FLOAT - recoverability_penalty * 0.10::FLOAT - redundancy_penalty * 0.15::FLOAT, 1::FLOAT), 0::FLOAT) END AS importance
+  FROM parts
+), {reduced('items', 'doc_id')}, texts AS (
+  SELECT s.*, CASE WHEN kind <> 'TestResult' AND contains(s.content, 'error[') THEN c.reduced WHEN kind = 'Error' THEN s.content
+                   WHEN kind = 'TestResult' OR contains(s.content, 'test result:') OR p + f > 0 THEN t.reduced ELSE array_to_string(l.xs, chr(10)) END AS short,
+         CASE WHEN kind <> 'TestResult' AND contains(s.content, 'error[') THEN c.reduced WHEN kind = 'Error' THEN s.content
+              WHEN kind = 'TestResult' OR contains(s.content, 'test result:') OR p + f > 0 THEN t.reduced ELSE {extracted('command', 'exit_code')} END AS shorter
+  FROM scored s JOIN compiler c USING (doc_id) JOIN tested t USING (doc_id) JOIN (SELECT doc_id, p, f FROM counted) n USING (doc_id) JOIN shell l USING (doc_id)
+), candidates AS (
+  SELECT *, 0 AS from_n, NOT is_pinned AND dup_count > 1 AND NOT is_canonical AS deduplicated, {count('short')} AS reduced_tokens, {count('shorter')} AS extracted_tokens, {count('shorter')} AS external_tokens,
+         greatest(1::FLOAT - importance, 0.01::FLOAT) AS loss
+  FROM texts
+), {chosen(5_000, 1_500)}"""
+
 _E = "SELECT user_id, event_type, round(value)::FLOAT AS v, ts, event_id FROM events"
 _STATS = f"""WITH {CHATS}, typed AS (
   SELECT session_id, CASE kind WHEN 'AssistantMessage' THEN 'assistant' WHEN 'ToolResult' THEN 'tool' ELSE 'other' END AS event_type, token_count::FLOAT AS v, seq, item_id FROM items
@@ -222,17 +290,16 @@ SELECT session_id, rank, item_id, from_level AS kind, kind AS item_kind, action,
     "latest_event": "SELECT user_id AS session_id, event_type AS type, arg_max(props, event_id) AS payload_json, max(event_id) AS event_id FROM events GROUP BY user_id, event_type",
     "checkpoint_items": "SELECT conv_id::VARCHAR AS session_id, 'k-' || conv_id AS item_id, 'Checkpoint' AS kind, count(*) || ' turns' AS summary, 'compaction' AS source_type FROM conversations GROUP BY conv_id",
     "reducer_choice": f"""{_LOG}
-SELECT doc_id, 'CommandOutput' AS kind, CASE WHEN contains(content, 'error[') THEN 'compiler' ELSE 'shell' END AS reducer FROM build UNION ALL SELECT doc_id, 'TestResult', 'test' FROM tests""",
-    "shell_reduce": f"{_SHELL} SELECT doc_id, array_to_string(xs, chr(10)) AS reduced FROM kept",
-    "shell_extract": f"""{_SHELL} SELECT doc_id, array_to_string(list_concat(['command: make ' || doc_id, 'exit_code: ' || doc_id % 3, 'errors:'],
-  CASE WHEN len(es) > 0 THEN list_transform(es, lambda x: '  ' || x) ELSE ['  <none>'] END,
-  CASE WHEN len(xs) > 0 THEN list_concat(['final_status:'], list_transform(xs[greatest(len(xs) - 2, 1):], lambda x: '  ' || x)) ELSE [] END), chr(10)) AS reduced FROM single""",
-    "compiler_reduce": _LOG + r""", hits AS (SELECT doc_id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(?i)^\s*error(\[.*\])?\s*:.*$') OR regexp_matches(x, '^\s*-->\s*([^\s]+):(\d+):(\d+)')) AS xs FROM build)
-SELECT doc_id, array_to_string(list_filter(xs, lambda x, i: i = 1 OR x <> xs[i - 1]), chr(10)) AS reduced FROM hits""",
-    "test_reduce": _LOG + r""", ls AS (SELECT doc_id, string_split(content, chr(10)) AS xs FROM tests), n AS (
-  SELECT doc_id, xs, len(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. ok$'))) AS p, len(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. FAILED$'))) AS f,
-         list_filter(xs, lambda x: regexp_matches(x, 'test result: .*\.|ran for|time:.*s|duration'))[-1] AS d FROM ls)
-SELECT doc_id, CASE WHEN f = 0 AND p > 0 THEN p || ' tests passed' || chr(10) || '0 failed' || chr(10) || 'duration ' || d
-  ELSE array_to_string(list_filter(xs, lambda x: regexp_matches(x, '^test .* \.\.\. FAILED$') OR regexp_matches(x, '(?i)failures:') OR starts_with(x, '----'))[1:201], chr(10)) END AS reduced FROM n""",
+SELECT doc_id, 'CommandOutput' AS kind, CASE WHEN contains(content, 'error[') THEN 'compiler' WHEN contains(content, 'test result:') THEN 'test' ELSE 'shell' END AS reducer FROM build
+UNION ALL SELECT doc_id, 'TestResult', 'test' FROM tests""",
+    "shell_reduce": f"{_LOG}, {reduced('build', 'doc_id')} SELECT doc_id, array_to_string(xs, chr(10)) AS reduced FROM shell",
+    "shell_extract": f"""{_LOG}, {reduced('build', 'doc_id')} SELECT doc_id, {extracted("'make ' || doc_id", "doc_id % 3")} AS reduced FROM shell""",
+    "compiler_reduce": f"{_LOG}, {reduced('build', 'doc_id')} SELECT doc_id, reduced FROM compiler",
+    "test_reduce": f"{_LOG}, {reduced('tests', 'doc_id')} SELECT doc_id, reduced FROM tested",
+    "log_scores": f"{_LOG_PLAN} SELECT session_id, item_id, is_pinned, {r5('dependency', 'unresolved', 'relevance', 'recoverability_penalty', 'importance')}, CASE WHEN is_pinned THEN 0 ELSE reduced_tokens END AS reduced_tokens, CASE WHEN is_pinned THEN 0 ELSE extracted_tokens END AS extracted_tokens FROM candidates",
+    "log_plan": f"{_LOG_PLAN} SELECT session_id, item_id, action, from_level, to_level, estimated_before, estimated_after, reason FROM actions",
+    "log_working_set": f"""{_LOG_PLAN}, working AS (
+  SELECT a.*, CASE a.action WHEN 'Reduce' THEN c.short WHEN 'Extract' THEN c.shorter ELSE a.content END AS now FROM actions a JOIN candidates c USING (session_id, item_id) WHERE to_level <> 'L5'
+) SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS pos, item_id, sha256(now) AS content_hash, greatest({count('now')}, 1) AS token_count, to_level AS compression_level FROM working""",
 }
 ORACLES["stream_event_ema"] = ORACLES["event_type_ema"]

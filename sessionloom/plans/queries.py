@@ -24,6 +24,7 @@ CHAT = Config(context=Context(max_context_window=900), reserve=Reserve(100, 50))
 CHAT_MODEL = Model("chat", 900, 100)
 FILES = Config(context=Context(max_context_window=15_000), reserve=Reserve(2_000, 1_000), tools=Tools(large_result_tokens=400))
 FILES_MODEL = Model("files", 15_000, 2_000)
+LOGS_MODEL = Model("logs", 8_000, 2_000)
 EXTRA = 1_500
 
 
@@ -198,33 +199,66 @@ def checkpoint_items(spark, sf_dir):
 
 
 def build_logs(docs: DataFrame) -> DataFrame:
-    """A log a document, as the tables have none: coloured steps, progress, spinners, blank lines, errors and repeats."""
+    """A log a document, as the tables have none: coloured steps, progress, spinners, blank lines, errors and repeats, then the whole text. Every 50th is long."""
     w = F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 8)
     esc = F.lit("\x1b[3")
+    size = F.when(F.col("doc_id") % 50 == 7, 400).otherwise(F.lit(12) + F.col("doc_id") % 9).cast("int")
 
     def line(i):
         kind = (i * 7 + F.col("doc_id")) % 11
+        error = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("error[E04"), (i % 10).cast("string"), F.lit("]: bad "), w)).otherwise(F.concat(F.lit("error: bad "), w))
         return (
             F.when(kind == 0, F.lit("")).when(kind == 1, F.lit("| / -")).when(kind == 2, F.concat(F.lit("Downloading "), w)).when(kind == 3, F.concat(i.cast("string"), F.lit("% done")))
-            .when(kind == 4, F.concat(F.lit("error[E04"), (i % 10).cast("string"), F.lit("]: bad "), w)).when(kind == 5, F.concat(F.lit("  --> src/"), w, F.lit(".rs:"), i.cast("string"), F.lit(":5")))
+            .when(kind == 4, error).when(kind == 5, F.concat(F.lit("  --> src/"), w, F.lit(".rs:"), i.cast("string"), F.lit(":5")))
             .when(kind == 6, F.lit("same line")).when(kind == 7, F.lit("same line")).when(kind == 8, F.concat(esc, F.lit("2mstep "), i.cast("string"), F.lit("\x1b[0m")))
             .when(kind == 9, F.lit("fatal: it failed")).otherwise(F.concat(F.lit("note "), w))
         )
 
-    log = F.array_join(F.transform(F.sequence(F.lit(1), (F.lit(12) + F.col("doc_id") % 9).cast("int")), line), "\n")
-    return docs.select("doc_id", log.alias("content"))
+    log = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), size), line), "\n"), F.lit("\n"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select("doc_id", "source", log.alias("content"))
 
 
 def test_logs(docs: DataFrame) -> DataFrame:
-    """Results of tests, some with failures."""
+    """Results of tests, some with failures, then the whole text. Every 50th is long."""
     bad = F.col("doc_id") % 3 == 0
+    size = F.when(F.col("doc_id") % 50 == 9, 1000).otherwise(F.lit(3) + F.col("doc_id") % 5).cast("int")
 
     def line(i):
         return F.when(bad & (i % 4 == 1), F.concat(F.lit("test case_"), i.cast("string"), F.lit(" ... FAILED"))).otherwise(F.concat(F.lit("test case_"), i.cast("string"), F.lit(" ... ok")))
 
     tail = F.when(bad, F.lit("failures:\n---- case_1 ----\ntest result: FAILED. finished")).otherwise(F.lit("test result: ok. finished in 0.01s"))
-    log = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), (F.lit(3) + F.col("doc_id") % 5).cast("int")), line), "\n"), F.lit("\n"), tail)
-    return docs.select("doc_id", log.alias("content"))
+    log = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), size), line), "\n"), F.lit("\n"), tail, F.lit("\n"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select("doc_id", "source", log.alias("content"))
+
+
+def log_items(docs: DataFrame) -> DataFrame:
+    """A session a source, an item a document by its number: command outputs, test results and errors, some resolved, some with a parent."""
+    d = F.col("doc_id")
+    built = build_logs(docs).where(d % 4 % 2 == 0).withColumn("kind", F.when(d % 4 == 2, "Error").otherwise("CommandOutput"))
+    tested = test_logs(docs).where(d % 4 % 2 == 1).withColumn("kind", F.when(d % 4 == 1, "TestResult").otherwise("CommandOutput"))
+    name = lambda i: F.concat(F.lit("d-"), F.lpad(i.cast("string"), 12, "0"))
+    meta = item_ops.metadata(command=F.concat(F.lit("make "), d), exit_code=(d % 3).cast("int"))
+    rows = built.unionByName(tested)
+    made = item_ops.new_items(rows, F.coalesce("source", F.lit("")), name(d), F.col("kind"), F.col("content"), F.timestamp_seconds("doc_id"), parent_id=F.when(d % 3 == 0, name(d - 1)), meta=meta)
+    return made.withColumn("state", F.when(F.unix_seconds("created_at") % 5 == 0, "Resolved").otherwise("Active"))
+
+
+def log_scores(spark, sf_dir):
+    """Costs by level are those of items that aren't pinned, 0 for the rest."""
+    rows = planner.candidates(log_items(_read(spark, sf_dir, "documents")), FILES)
+    costs = [F.when(F.col("is_pinned"), 0).otherwise(F.col(c)).alias(c) for c in ("reduced_tokens", "extracted_tokens")]
+    return rows.select("session_id", "item_id", "is_pinned", *digits("dependency", "unresolved", "relevance", "recoverability_penalty", "importance"), *costs)
+
+
+def log_plan(spark, sf_dir):
+    actions, _ = planner.plan(log_items(_read(spark, sf_dir, "documents")), FILES, LOGS_MODEL, extra=EXTRA)
+    return actions.select("session_id", "item_id", "action", "from_level", "to_level", "estimated_before", "estimated_after", "reason")
+
+
+def log_working_set(spark, sf_dir):
+    items = log_items(_read(spark, sf_dir, "documents"))
+    working, _ = apply_ops.materialize(items, planner.plan(items, FILES, LOGS_MODEL, extra=EXTRA)[0])
+    return working.select("session_id", F.col("pos").cast("long").alias("pos"), "item_id", F.sha2("content", 256).alias("content_hash"), "token_count", "compression_level")
 
 
 def _reduced(which: str, name: str, logs: Callable[[DataFrame], DataFrame]):
@@ -247,7 +281,7 @@ QUERIES = {
     for f in (
         script_token_counts, items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
         event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
-        latest_event, checkpoint_items, reducer_choice,
+        latest_event, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set,
     )
 } | {
     "shell_reduce": _reduced("reduce", "shell", build_logs),
