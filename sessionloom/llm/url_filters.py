@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import let
+from ._shared import cut
+
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
 
 
@@ -22,13 +25,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 2)
 
 
-def patterns_of(host: Column, path: Column) -> Column:
-    """Every pattern that covers a URL: the host and its parent domains, and the host with each leading part of the path."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+def patterns_of(host: Column, path: Column, labels: list[int], depths: list[int]) -> Column:
+    """Patterns that cover a URL, of those sizes that occur: domains of so many labels, and the host with so many leading parts of the path.
+
+    Each size costs one pass over the URL, so a long one takes time in proportion to its length, whatever its depth.
+    """
+    sizes = lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
+    domains = let(F.split(host, r"\."), lambda all_: F.transform(F.filter(sizes(labels), lambda n: n <= F.size(all_)), lambda n: F.array_join(F.slice(all_, F.size(all_) - n + 1, n), ".")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    paths = F.transform(parts, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
-    return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, paths)))
+    paths = let(parts, lambda all_: F.transform(F.filter(sizes(depths), lambda n: n <= F.size(all_)), lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(all_, F.lit(1), n), "/"))))
+    return F.when(host.isNotNull(), F.concat(domains, paths))
 
 
 def normal(pattern: Column) -> Column:
@@ -55,20 +61,31 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", following).where("_add").select("pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
+def pattern_sizes(valid: DataFrame) -> tuple[list[int], list[int]]:
+    """Distinct numbers of labels of the domains, and of path parts of the other patterns; a list of n labels and parts in all has at most about 2 * sqrt(n)."""
+    path = F.contains("pattern", F.lit("/"))
+    size = F.when(path, F.size(F.split("pattern", "/")) - 1).otherwise(F.size(F.split("pattern", r"\.")))
+    rows = valid.select(path.alias("path"), size.alias("n")).distinct().collect()
+    return sorted(r.n for r in rows if not r.path), sorted(r.n for r in rows if r.path)
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """One row a capture: its id, url and time, host, blocked, n_entries, pattern and since.
 
     Entries are (pattern, action, at): a domain covers its subdomains, ``host/path`` what lies below it. A capture is blocked if
     an entry that covers it is active at its time; pattern is the longest such (ties: the smaller), since its begin. A null time or
-    a null or malformed URL matches nothing. Equal rows give equal results. Other columns are not read.
+    a null or malformed URL matches nothing; a null id is an id. Equal rows give equal results. An empty table or list gives no match. Other
+    columns are not read. A URL of any length is matched whole, in time proportional to it.
 
+    The list's intervals are written once, as they are read twice: for the sizes of patterns that occur, and for the join.
     Captures are spread by pattern: matches only, once a capture and pattern, are gathered again. A hot host is left to the
     splitting of skewed joins; nothing is broadcast unless the engine finds it small.
     """
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_time"))
     keyed = rows.withColumn("_host", host_of(F.col("_url"))).where("_host IS NOT NULL AND _time IS NOT NULL").distinct()
-    keyed = keyed.select("_id", "_url", "_time", F.explode(patterns_of(F.col("_host"), path_of(F.col("_url")))).alias("_pattern"))
-    valid = intervals(entries)
+    valid = cut(intervals(entries))
+    covering = patterns_of(F.col("_host"), path_of(F.col("_url")), *pattern_sizes(valid))
+    keyed = keyed.select("_id", "_url", "_time", F.explode(covering).alias("_pattern"))
     active = (F.col("_pattern") == F.col("pattern")) & (F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to")))
     hits = keyed.join(valid, active).groupBy(F.col("_id").alias("_id2"), F.col("_url").alias("_url2"), F.col("_time").alias("_time2"))
     hits = hits.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.length("pattern")).alias("size"), "pattern", F.col("valid_from").alias("since"))).alias("best"))
