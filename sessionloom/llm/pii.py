@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field over whole candidate spans.
 
 The field scores segments of at most MOST_TOKENS tokens by features of the whole segment; dynamic programming chooses
-boundaries and types together. It is trained by maximum likelihood with exact segment marginals.
+boundaries and types together, in one pass that holds a bounded stretch of a text. It is trained by maximum likelihood with exact segment marginals.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import flat_bytes, fresh, slices
+from ._shared import flat_bytes, fresh, mapped, slices
 from ._spans import FOUND, FOUND_TYPE, Span, lookup, rows_of
 
 TYPES = ("email", "ip", "card", "phone")
 KINDS = (*TYPES, *(f"crf_{t}" for t in TYPES))
 MOST_TOKENS = 16
+#: Tokens before a segment that may hold its cue, and tokens after which a long stretch gives up those whose segmentation is settled.
+CUE_TOKENS, HELD = 4, 4096
 #: Rows (expected) of which those with digits or @ train the field, characters of each, and examples made besides.
 TRAIN_ROWS, TRAIN_CHARS, MADE = 3000, 4000, 240
 
@@ -104,84 +107,162 @@ class Window:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """Stretches around digits and @ with their candidates; whole texts, stretches end where 16 tokens have neither."""
+    """Stretches around digits and @ with their candidates; they end where 16 tokens have neither. For training texts."""
     if not re.search("[0-9@]", text):
         return
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    hot = [i for i, (a, _) in enumerate(tokens) if text[a] in "0123456789@"]
+    hot = [i for i, (a, _) in enumerate(tokens) if text[a] in _HOT]
     i = 0
     while i < len(hot):
         j = i
         while j + 1 < len(hot) and hot[j + 1] - hot[j] <= MOST_TOKENS:
             j += 1
-        lo, hi = max(0, hot[i] - MOST_TOKENS), min(len(tokens), hot[j] + MOST_TOKENS + 1)
-        part = tokens[lo:hi]
-        if segments := _candidates(text, part):
+        part = tokens[max(0, hot[i] - MOST_TOKENS - CUE_TOKENS) : hot[j] + MOST_TOKENS + 1]
+        kinds = [kind_of(text[a]) for a, _ in part]
+        if segments := [(k, end, f) for k in range(len(part)) for end, f in candidates(text, part, kinds, k)]:
             yield Window([a for a, _ in part], [b for _, b in part], segments)
         i = j + 1
 
 
-def _candidates(text: str, part: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-    kind = ["d" if text[a] in "0123456789" else "a" if text[a].isascii() and text[a].isalpha() else "s" if text[a].isspace() else text[a] for a, _ in part]
-    out = []
-    for i, k in enumerate(kind):
-        if k not in "da+(":
-            continue
-        digits = ats = letters = dots = 0
-        for j in range(i, min(len(part), i + MOST_TOKENS)):
-            c = kind[j]
-            a, b = part[j]
-            if c == "d":
-                digits += b - a
-            elif c == "@":
-                ats += 1
-            elif c == "a":
-                letters += 1
-            elif c == ".":
-                dots += 1
-            elif c not in "+()-_%s":
-                break
-            if c == "s" and (ats or letters or text[a] == "\n"):
-                break
-            if ats > 1 or digits > 24:
-                break
-            if c in "da" and (ats == 1 and i < j or not letters and (digits >= 7 or dots == 3 and digits >= 4)):
-                s = text[part[i][0] : b]
-                if s[0] not in "+(" or not ats:
-                    before = [text[x:y].lower() for x, y in part[max(0, i - 4) : i]]
-                    cue = next((w for w in reversed(before) if w.isalpha()), "")
-                    out.append((i, j + 1, features(s, text[max(0, part[i][0] - 2) : part[i][0]], text[b : b + 2], cue)))
-    return out
+_HOT = "0123456789@"
+
+
+def kind_of(c: str) -> str:
+    """A token's kind by its first character: a digit, letter, white space or the character itself."""
+    return "d" if c in "0123456789" else "a" if c.isascii() and c.isalpha() else "s" if c.isspace() else c
+
+
+def candidates(text: str, part: list[tuple[int, int]], kind: list[str], i: int) -> Iterator[tuple[int, list[int]]]:
+    """Candidate segments that begin with token ``i`` of a stretch: the end token and the features of each."""
+    if kind[i] not in "da+(":
+        return
+    digits = ats = letters = dots = 0
+    for j in range(i, min(len(part), i + MOST_TOKENS)):
+        c = kind[j]
+        a, b = part[j]
+        if c == "d":
+            digits += b - a
+        elif c == "@":
+            ats += 1
+        elif c == "a":
+            letters += 1
+        elif c == ".":
+            dots += 1
+        elif c not in "+()-_%s":
+            break
+        if c == "s" and (ats or letters or text[a] == "\n"):
+            break
+        if ats > 1 or digits > 24:
+            break
+        if c in "da" and (ats == 1 and i < j or not letters and (digits >= 7 or dots == 3 and digits >= 4)):
+            first = part[i][0]
+            if text[first] not in "+(" or not ats:
+                before = [text[x:y].lower() for x, y in part[max(0, i - CUE_TOKENS) : i]]
+                cue = next((w for w in reversed(before) if w.isalpha()), "")
+                yield j + 1, features(text[first:b], text[max(0, first - 2) : first], text[b : b + 2], cue)
 
 
 def scores(w: Window, weights: np.ndarray) -> np.ndarray:
     return np.array([weights[:, f].sum(1) for _, _, f in w.segments])
 
 
-def best(w: Window, weights: np.ndarray) -> list[Span]:
-    """The highest-scoring segmentation's spans; tokens outside score 0, a tie goes to fewer spans."""
-    score = scores(w, weights)
-    n = len(w.starts)
-    by_end: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, (_, e, _) in enumerate(w.segments):
-        by_end[e].append(k)
-    top = [0.0] * (n + 1)
-    back: list[tuple[int, int] | None] = [None] * (n + 1)
-    for e in range(1, n + 1):
-        top[e] = top[e - 1]
-        for k in by_end[e]:
-            y = int(score[k].argmax())
-            if (v := top[w.segments[k][0]] + score[k, y]) > top[e]:
-                top[e], back[e] = v, (k, y)
-    found, e = [], n
-    while e > 0:
-        if back[e] is None:
-            e -= 1
-        else:
-            k, y = back[e]
-            found.append((w.starts[w.segments[k][0]], w.ends[e - 1], y))
-            e = w.segments[k][0]
-    return found[::-1]
+class Stretch:
+    """The highest-scoring segmentation of tokens that come one by one; tokens outside score 0, a tie goes to no span, then to the earlier start.
+
+    A token's segments are scored once MOST_TOKENS tokens follow it. ``back`` holds, by place between tokens, where the best segmentation up to there
+    comes from and with which type (-1: outside). After HELD tokens the part that all open segmentations share is given out.
+    """
+
+    def __init__(self, text: str, weights: np.ndarray):
+        self.text, self.weights = text, weights
+        self.tokens: list[tuple[int, int]] = []
+        self.kinds: list[str] = []
+        self.top, self.back = [0.0], [(0, -1)]
+        self.done, self.most = 0, HELD
+
+    def add(self, token: tuple[int, int]) -> list[Span]:
+        self.tokens.append(token)
+        self.kinds.append(kind_of(self.text[token[0]]))
+        if len(self.tokens) - self.done >= MOST_TOKENS:
+            self._score()
+        return self._settled() if len(self.tokens) >= self.most else []
+
+    def _score(self) -> None:
+        """Best ways that go on from place ``done``, outside or by a segment."""
+        i, top, back = self.done, self.top, self.back
+        while len(top) < i + MOST_TOKENS + 1:
+            top.append(-np.inf)
+            back.append((0, -1))
+        if top[i] >= top[i + 1]:
+            top[i + 1], back[i + 1] = top[i], (i, -1)
+        for end, found in candidates(self.text, self.tokens, self.kinds, i):
+            each = self.weights[:, found].sum(1)
+            y = int(each.argmax())
+            if (v := top[i] + float(each[y])) > top[end]:
+                top[end], back[end] = v, (i, y)
+        self.done += 1
+
+    def _until(self, end: int) -> list[Span]:
+        found = []
+        while end > 0:
+            start, y = self.back[end]
+            if y >= 0:
+                found.append((self.tokens[start][0], self.tokens[end - 1][1], y))
+            end = start
+        return found[::-1]
+
+    def _settled(self) -> list[Span]:
+        """Spans of the part that is the same in all segmentations still open, which goes but for the tokens that a cue may need."""
+        open_ = {e for e in range(self.done, len(self.top)) if self.top[e] > -np.inf}
+        while len(open_) > 1:
+            last = max(open_)
+            open_.remove(last)
+            open_.add(self.back[last][0])
+        at = open_.pop()
+        spans = self._until(at)
+        cut = at - CUE_TOKENS
+        if cut > HELD // 2:
+            base = self.top[at]
+            self.tokens, self.kinds = self.tokens[cut:], self.kinds[cut:]
+            self.top = [0.0] * (CUE_TOKENS + 1) + [v - base for v in self.top[at + 1 :]]
+            self.back = [(max(0, k - 1), -1) for k in range(CUE_TOKENS + 1)] + [(start - cut, y) for start, y in self.back[at + 1 :]]
+            self.done -= cut
+            self.most = max(HELD, 2 * len(self.tokens))
+            return spans
+        self.most = 2 * len(self.tokens)
+        return []
+
+    def finish(self) -> list[Span]:
+        while self.done < len(self.tokens):
+            self._score()
+        return self._until(len(self.tokens))
+
+
+def field_spans(text: str, weights: np.ndarray) -> Iterator[Span]:
+    """The field's spans in a whole text. Stretches around digits and @ end where 16 tokens have neither."""
+    recent: deque[tuple[int, int]] = deque(maxlen=MOST_TOKENS + CUE_TOKENS)
+    stretch, cold, end = None, 0, 0
+    for m in _TOKEN.finditer(text):
+        token = m.span()
+        hot = text[token[0]] in _HOT
+        if stretch is None and hot:
+            stretch = Stretch(text, weights)
+            for t in recent:
+                if t[0] >= end:
+                    stretch.add(t)
+        if stretch is None:
+            recent.append(token)
+            continue
+        found = stretch.add(token)
+        recent.append(token)
+        cold = 0 if hot else cold + 1
+        if cold > MOST_TOKENS:
+            found, stretch = found + stretch.finish(), None
+        for span in found:
+            end = span[1]
+            yield span
+    if stretch is not None:
+        yield from stretch.finish()
 
 
 def marginals(w: Window, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -273,7 +354,7 @@ def spans_of(text: str, weights: np.ndarray) -> list[Span]:
     taken = np.zeros(len(text) + 1, bool)
     for a, b, _ in base:
         taken[a:b] = True
-    more = [(a, b, len(TYPES) + y) for w in windows(text) for a, b, y in best(w, weights) if not taken[a:b].any()]
+    more = [(a, b, len(TYPES) + y) for a, b, y in field_spans(text, weights) if not taken[a:b].any()]
     return sorted(base + more, key=lambda s: (s[0], s[2]))
 
 
@@ -291,7 +372,8 @@ def scan(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_c
     """``keep`` (the id by default) with found: an array of (kind, start, end), in code points, end exclusive.
 
     ``email``, ``ip``, ``card`` and ``phone`` come from the patterns, leftmost and non-overlapping each; ``crf_<type>`` are
-    the field's further spans. A null or empty text has none. Rows without @ and with under four digits are passed over.
+    the field's further spans. A null or empty text has none; repeated rows give equal results, an empty table an empty one. Rows without @ and with
+    under four digits are passed over. The field holds a bounded stretch of a text, so besides the text itself memory grows with its spans only.
     """
     keep = [c for c in (keep or [id_col]) if c != "found"]
     name = fresh("text", keep)
@@ -307,13 +389,14 @@ def scan(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_c
                     found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans_of(text, weights)]
                 yield pa.record_batch([*(some.column(c) for c in keep), pa.array(found, FOUND)], [*keep, "found"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias(name)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(name)).transform(mapped, run, schema)
 
 
 def redact(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each span of personal data replaced by its type in angle brackets; ``length_col`` follows if it is there.
 
-    Overlapping spans are replaced as one, named after the first. Other rows and columns stay as they are.
+    Overlapping spans are replaced as one, named after the first. Other rows and columns stay as they are: null and empty texts, null ids,
+    repeated rows each for itself; an empty table gives an empty result.
     """
     schema = docs.schema
     names = docs.columns
@@ -343,4 +426,4 @@ def redact(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", leng
                         columns[names.index(length_col)] = pa.array(sizes, columns[names.index(length_col)].type)
                 yield pa.record_batch(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
