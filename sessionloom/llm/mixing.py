@@ -19,17 +19,14 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     full: dict[str | None, Fraction] = {}
-    left, open_ = Fraction(sum(sizes.values())), list(order)
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        above = [s for s in open_ if share * weight[s] > max_epochs * sizes[s]]
-        if not above:
-            return full | {s: share * weight[s] for s in open_}
-        for s in above:
+    left, open_weight = Fraction(sum(sizes.values())), sum(weight.values())
+    for s in sorted(order, key=lambda s: Fraction(sizes[s], weight[s])):  # the share of a weight only grows as sources are filled
+        if left * weight[s] > max_epochs * sizes[s] * open_weight:
             full[s] = Fraction(max_epochs * sizes[s])
-            left -= full[s]
-            open_.remove(s)
-    return full
+            left, open_weight = left - full[s], open_weight - weight[s]
+        else:
+            break
+    return full | {s: left * weight[s] / open_weight for s in order if s not in full}
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", row_col: str | None = None) -> DataFrame:
@@ -44,7 +41,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     ``row_col``, a unique number a row that must not change when it is read again, is kept if it is given; a null id then
     hashes as its text's MD5, so that many of them spread over the ranges.
 
-    Only one row a source reaches the driver. A hot source is cut into about sqrt(n) key ranges (see ranks_within).
+    Only one row a source reaches the driver, and goes back as a table that Spark broadcasts only if it is under its threshold. A hot source is cut into about sqrt(n) key ranges (see ranks_within).
     """
     unnamed = F.lit("") if row_col is None else F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     kept = [] if row_col is None else [row_col]
@@ -64,7 +61,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rest = F.col("_budget") - F.expr("CASE WHEN source_size = 0 THEN 0 ELSE _budget div source_size END") * F.col("source_size")
     epochs = F.expr("CASE WHEN source_size = 0 THEN 0L ELSE _budget div source_size END")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    out = ranked.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source")))
+    out = ranked.join(planned, F.col("source").eqNullSafe(F.col("_source")))
     return out.select(*kept, "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
