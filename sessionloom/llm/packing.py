@@ -22,8 +22,8 @@ from ._shared import cut, mapped, ranks_within, slices
 Group = tuple[int, list[tuple[int, int]]]
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of each of the two tables of an encoder, and bytes of the longest key; they only save time. Both hold at most about 100 MB a task.
-CACHE_ENTRIES, CACHE_BYTES = 300_000, 40
+#: Entries of each of the two tables of an encoder, and bytes of the longest key; they only save time. Both hold at most about 170 MB a task, if it meets so many different words.
+CACHE_ENTRIES, CACHE_BYTES = 500_000, 40
 #: Bytes of a text that are split into words at once.
 AT_ONCE = 1 << 18
 _SPACE = re.compile(rb"\s")
