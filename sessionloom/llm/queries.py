@@ -11,16 +11,19 @@ from ._shared import table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, empty and wordless texts: n_shingles 0, own component, kept. Null ids: no component. Rows of one id are one document; an empty table gives no rows."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and ones without a letter are ``und`` with score 0; a null id is never held out; repeated rows get equal results; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "text")
     return language_id.identify(rows, language_id.train(docs), keep=["doc_id", "held_out"])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no spans and the digest of an empty string; repeated rows get equal results; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return digests(secrets.scan(docs, secrets.train(docs)), secrets.KINDS, 3)
 
@@ -51,27 +54,33 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null role or text is empty; a turn with a null id is a conversation of its own; repeated rows are turns of their own; an empty table gives no rows."""
     return chat_format.render(table(spark, sf_dir, "conversations"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null vectors, ones with null or non-finite components and null ids take no part; equal rows each count; ties go to the smaller id; an empty table gives no rows."""
     return exact_topk.search(table(spark, sf_dir, "embeddings"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, empty, zero and non-finite vectors and null labels link with nothing; repeated rows are vectors of their own; an empty table gives no rows."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no spans and the digest of an empty string; repeated rows get equal results; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return digests(pii.scan(docs, pii.train(docs)), pii.KINDS, 4)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has size 0 and takes 0; a null source is one of its own; rows of one id are ordered by size; an empty table gives no rows."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is one piece of one id; null ids stay; repeated rows get places of their own; an empty table gives no rows."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
@@ -196,11 +205,16 @@ OP7_SQL = """
 WITH convs AS (
   SELECT conv_id, count(*) AS n_turns, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, sha256(text)) AS said,
          string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text)) AS chat
-  FROM conversations GROUP BY conv_id
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), alone AS (
+  SELECT DISTINCT coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NULL
 )
 SELECT a.conv_id, a.n_turns, a.chat FROM convs a
 WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE b.said[1] = a.said[1] AND b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)
   AND NOT EXISTS (SELECT 1 FROM convs b WHERE b.said = a.said AND b.conv_id < a.conv_id)
+UNION ALL
+SELECT NULL, 1, '<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10) FROM alone
+WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE b.said[1].r = alone.r AND b.said[1].t = alone.t)
 """
 
 QUERIES = {

@@ -130,7 +130,7 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     ``assign``, ``access`` and ``hex`` come from the patterns, leftmost and non-overlapping each; ``random`` are maximal
     strings of at least LEAST characters, or what these spans leave of one in parts of that length, that by the models are
     random, each on its own. A null or empty text has
-    no spans. Rows with nothing to look at are passed over through whole-batch byte masks.
+    no spans; repeated rows give equal results, an empty table an empty one. Rows with nothing to look at are passed over through whole-batch byte masks.
     """
     keep = [c for c in (keep or [id_col]) if c != "found"]
     name = fresh("text", keep)

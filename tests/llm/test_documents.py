@@ -1,8 +1,11 @@
 """Operators over documents, on small tables with awkward rows and against brute force."""
 
 import hashlib
+import itertools
 import json
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -264,6 +267,42 @@ def test_secrets_beside_base_spans(spark):
     }
 
 
+def plain_secrets(text, model):
+    """Base spans by the patterns one by one; then each run of token characters between them, scored pair by pair."""
+    base = [(m.start(), m.end(), 0) for m in re.finditer("""(?i:password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[1]) >= 6]
+    base += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    base += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    free = [c in secrets.TOKEN for c in text]
+    for a, b, _ in base:
+        free[a:b] = [False] * (b - a)
+    found, start = list(base), None
+    for i, ok in enumerate([*free, False]):
+        if ok and start is None:
+            start = i
+        if not ok and start is not None:
+            if i - start >= secrets.LEAST:
+                score, before = 0.0, 0
+                for c in text[start:i]:
+                    now = secrets.TOKEN.index(c) + 1
+                    score += model.ratio[before, now]
+                    before = now
+                if score >= secrets.AHEAD:
+                    found.append((start, i, 3))
+            start = None
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def test_scan_equals_plain_patterns_and_sums(spark):
+    r = random.Random(8)
+    model = secrets.fit(secrets.made_strings(200), [w + x for ws in WORDS.values() for w in ws for x in ws])
+    bits = ["password", "Secret", "api_key", "TOKEN", ":", "=", " ", '"', "'", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "abc", "é", "日", "_", "/", "-", "hunter22", "ordinary", "\n", *secrets.made_strings(12, seed=5)]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    got = {x.doc_id: [(s.start, s.end, secrets.KINDS.index(s.kind)) for s in x.found] for x in secrets.scan(docs(spark, list(enumerate(texts))), model).collect()}
+    wrong = [(t, got[i], plain_secrets(t, model)) for i, t in enumerate(texts) if got[i] != plain_secrets(t, model)]
+    assert not wrong, wrong[0]
+    assert sum(k == 3 for f in got.values() for *_, k in f) > 200
+
+
 def test_markov_models_tell_random_strings_from_words():
     import numpy as np
 
@@ -303,7 +342,7 @@ def field():
 def test_field_on_new_examples(field):
     right = wrong = missed = 0
     for text, gold in pii.made_examples(150, seed=11):
-        got = {s for w in pii.windows(text) for s in pii.best(w, field)}
+        got = set(pii.field_spans(text, field))
         right, wrong, missed = right + len(got & set(gold)), wrong + len(got - set(gold)), missed + len(set(gold) - got)
     assert right >= 0.95 * (right + missed) and wrong <= 0.05 * right
 
@@ -329,7 +368,29 @@ def test_field_dynamic_programs_equal_enumeration(field):
     assert z == pytest.approx(np.logaddexp.reduce([v for v, _ in every]))
     assert p[0, 3] == pytest.approx(sum(np.exp(v - z) for v, s in every if (0, 3) in s))
     top = max(every)[1]
-    assert pii.best(w, field) == sorted((w.starts[w.segments[k][0]], w.ends[w.segments[k][1] - 1], y) for k, y in top)
+    assert list(pii.field_spans("call 555-123-4567 or 10.0.0.1", field)) == sorted((w.starts[w.segments[k][0]], w.ends[w.segments[k][1] - 1], y) for k, y in top)
+
+
+def test_field_gives_out_what_is_settled(field, monkeypatch):
+    """A short memory changes nothing; texts are numbers without end, with and without personal data."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["12", "555-123-4567", "4242", "+1 (555) 010-9999", "10.0.0.1", "a@b.cd", "77", "x", "-", "3.5"]) for _ in range(600)), "1 2 3 4 5 6 7 " * 500, "5" * 20_000]
+    whole = [list(pii.field_spans(t, field)) for t in texts]
+    monkeypatch.setattr(pii, "HELD", 64)
+    assert [list(pii.field_spans(t, field)) for t in texts] == whole
+    assert all(a[1] <= b[0] for spans in whole for a, b in itertools.pairwise(spans))
+
+
+def test_pii_of_a_long_numeric_text_in_bounded_memory(field):
+    text = "".join(f"{i * 7919 % 100_003} {i % 97}.{i % 13}-{i % 1000:03d} " for i in range(2_500))
+    few, many = text[:9_000], text
+    peaks = []
+    for t in (few, many):
+        tracemalloc.start()
+        n = sum(1 for _ in pii.field_spans(t, field))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert n >= 0 and peaks[1] < 1.5 * peaks[0] + 1_000_000 and peaks[1] < 20_000_000
 
 
 def test_pii(spark, awkward, empty, field):

@@ -1,6 +1,7 @@
 """Operators over embeddings, pages and conversations."""
 
 import random
+import time
 from datetime import date
 
 import numpy as np
@@ -116,6 +117,18 @@ def test_url_filters(spark):
     assert url_filters.evaluate(df.where("false"), ent).count() == 0 and url_filters.evaluate(df, ent.where("false")).where("blocked").count() == 0
 
 
+def test_long_urls_and_null_ids(spark):
+    """One URL of a million characters, in path parts, one of as many labels, and a list that reaches deep into the first."""
+    deep = "http://deep.org/" + "a/" * 500_000 + "end"
+    wide = "http://" + "x." * 200_000 + "bad.com/"
+    pages = spark.createDataFrame([(1, deep, date(2024, 1, 2)), (2, wide, date(2024, 1, 2)), (None, "http://bad.com/z", date(2024, 1, 2)), (None, None, None)], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("deep.org/a", "add", date(2024, 1, 1)), ("deep.org/" + "a/" * 999 + "a", "add", date(2024, 1, 1)), ("deep.org/a/b", "add", date(2024, 1, 1)), ("bad.com", "add", date(2024, 1, 1))], "pattern string, action string, at date")
+    start = time.perf_counter()
+    got = sorted((r.page_id or 0, r.blocked, r.n_entries) for r in url_filters.evaluate(pages, entries).collect())
+    assert got == [(0, False, 0), (0, True, 1), (1, True, 2), (2, True, 1)]
+    assert time.perf_counter() - start < 60
+
+
 def test_url_patterns_are_brought_into_normal_form(spark):
     day = date(2024, 1, 1)
     entries = [("Bad.COM", "add", day), ("bad.com.", "remove", date(2024, 1, 3)), ("OK.org//Ads/", "add", day), ("late.net./x", "add", day), ("/ads", "add", day), ("slash.de/", "add", day), ("", "add", day)]
@@ -140,3 +153,6 @@ def test_chat_format(spark):
     assert chat_format.render(df.where("false")).count() == 0
     odd = spark.createDataFrame([(None, 0, "user", "n"), (1, None, "user", "q"), (1, 2, "user", "r"), (1, 2, "user", "r")], "conv_id long, turn long, role string, text string")
     assert {(x.conv_id, x.n_turns) for x in chat_format.render(odd).collect()} == {(None, 1), (1, 3)}
+    # Turns without an id: each for itself, equal ones once, none that begins a conversation.
+    loose = spark.createDataFrame([(None, i, "user", t) for i, t in enumerate(["hi", "hi", "go", "stay", None])] + [(7, 0, "user", "go"), (7, 1, "assistant", "ok"), (8, 0, "user", "stay")], odd.schema)
+    assert sorted((x.conv_id or 0, x.n_turns, x.chat.count("<|im_start|>"), "hi" in x.chat) for x in chat_format.render(loose).collect()) == [(0, 1, 1, False), (0, 1, 1, True), (7, 2, 2, False), (8, 1, 1, False)]
