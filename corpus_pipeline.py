@@ -11,34 +11,42 @@ from pyspark.sql import functions as F
 from sessionloom.llm import language_id, mixing, near_dedup, packing, pii
 from sessionloom.llm._shared import cut, table
 
-#: A text of at least so many characters is rejected if no language is told apart by at least this score; in a shorter one a near tie says little.
-LEAST_SCORE, LEAST_CHARS = 0.01, 200
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; those without letters and longer ones as near to another language go. A null lang is filled in."""
-    found = language_id.identify(docs, language_id.train(docs))
-    found = found.where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)))
+    """Documents with an identified language; those without a letter, so without one, go, null and empty texts among them. A null lang is filled in.
+
+    Repeated rows and null ids fare as their texts do; an empty table gives an empty result, as does one from whose rows no
+    language can be learned. Ties between languages keep the document.
+    """
+    found = language_id.identify(docs, language_id.train(docs)).where(F.col("lang_pred") != "und")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates (five words, similarity 0.8)."""
+    """One document, that with the smallest id, of each group of near-duplicates (five words, similarity 0.8).
+
+    Null, empty and wordless texts are like no other and stay; of repeated rows one stays; a null id counts as the largest. An empty table
+    gives an empty result.
+    """
     return near_dedup.dedup(docs, words=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its type."""
+    """All documents, personal data replaced by its type; null and empty texts, repeated rows and null ids stay as they are."""
     return pii.redact(docs, pii.train(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; at most one copy a source is cut, at the source's exact budget."""
+    """Documents as often as the mix takes them; at most one copy a source is cut, at the source's exact budget.
+
+    A null source is a source of its own; null, empty and wordless texts have no words to take and go; repeated rows and null ids
+    count each for itself. An empty table gives an empty result.
+    """
     return mixing.mixed_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenized documents with their sequence and offset."""
+    """Pieces of tokenized documents with their sequence and offset; a null or empty text is one piece of one id, an empty table has none."""
     return packing.pack(docs)
 
 
