@@ -286,9 +286,21 @@ SELECT session_id, trunc(i)::BIGINT AS expected_input, trunc(coalesce(t, 0))::BI
     "second_compaction": again(),
     "top_candidates": f"""{FILE_PLAN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY estimated_before - estimated_after DESC, idx) AS rank FROM actions WHERE action NOT IN ('Keep', 'Pin'))
 SELECT session_id, rank, item_id, from_level AS kind, kind AS item_kind, action, estimated_before AS before_tokens, estimated_after AS after_tokens FROM ranked WHERE rank <= 5""",
+    "appended_set": f"""WITH {CHATS.replace("FROM conversations", "FROM conversations WHERE turn < 2")}, {plan(750, 0, 6_000)}, working AS (
+  SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS pos, item_id, greatest(estimated_before, 1) AS token_count, to_level AS compression_level FROM actions WHERE to_level <> 'L5'
+), later AS (
+  SELECT conv_id::VARCHAR AS session_id, turn, 'c-' || conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS item_id, {count("coalesce(text, '')")} AS token_count FROM conversations WHERE turn >= 2
+), ends AS (SELECT session_id, max(pos) AS p FROM working GROUP BY session_id)
+SELECT session_id, pos, item_id, token_count, compression_level FROM working
+UNION ALL SELECT l.session_id, coalesce(p, 0) + row_number() OVER (PARTITION BY l.session_id ORDER BY turn), item_id, token_count, 'L0' FROM later l LEFT JOIN ends USING (session_id)""",
+    "session_status": f"""{FILE_PLAN}, after AS (SELECT session_id, sum(estimated_after)::BIGINT AS expected_after_tokens, count(*) AS item_count, arg_min(item_id, (estimated_after - estimated_before) * 1000000 + idx) FILTER (action NOT IN ('Keep', 'Pin')) AS first_candidate FROM actions GROUP BY session_id)
+SELECT session_id, before_tokens AS current_tokens, item_count,
+       CASE WHEN pressure_before >= 0.90::FLOAT THEN 'Emergency' WHEN pressure_before >= 0.82::FLOAT THEN 'Aggressive' WHEN pressure_before >= 0.72::FLOAT THEN 'Compact' WHEN pressure_before >= 0.60::FLOAT THEN 'Trim' WHEN pressure_before >= 0.45::FLOAT THEN 'Observe' ELSE 'Green' END AS pressure_state,
+       pressure_state AS predicted_state, target_tokens, expected_after_tokens, 'FileContent' AS most_kind, first_candidate
+FROM goals JOIN after USING (session_id)""",
     "telemetry": f"{FILE_PLAN}, after AS (SELECT session_id, sum(estimated_after) AS a FROM actions GROUP BY session_id) SELECT session_id, count(*) AS compactions, count(*) FILTER (pressure_state = 'Emergency') AS emergency_compactions, sum(greatest(before_tokens - a, 0))::BIGINT AS reclaimed_tokens FROM goals JOIN after USING (session_id) GROUP BY session_id",
     "latest_event": "SELECT user_id AS session_id, event_type AS type, arg_max(props, event_id) AS payload_json, max(event_id) AS event_id FROM events GROUP BY user_id, event_type",
-    "checkpoint_items": "SELECT conv_id::VARCHAR AS session_id, 'k-' || conv_id AS item_id, 'Checkpoint' AS kind, count(*) || ' turns' AS summary, 'compaction' AS source_type FROM conversations GROUP BY conv_id",
+    "checkpoint_items": "SELECT conv_id::VARCHAR AS session_id, 'k-' || conv_id AS item_id, 'Checkpoint' AS kind, arg_min(text, turn) AS goal, 'open' AS status, count(*) || ' turns' AS summary, 'compaction' AS source_type FROM conversations GROUP BY conv_id",
     "reducer_choice": f"""{_LOG}
 SELECT doc_id, 'CommandOutput' AS kind, CASE WHEN contains(content, 'error[') THEN 'compiler' WHEN contains(content, 'test result:') THEN 'test' ELSE 'shell' END AS reducer FROM build
 UNION ALL SELECT doc_id, 'TestResult', 'test' FROM tests""",

@@ -175,6 +175,22 @@ def second_compaction(spark, sf_dir):
     return again.select("session_id", "item_id", "action", "from_level", "to_level", "estimated_before", "estimated_after")
 
 
+def appended_set(spark, sf_dir):
+    """Working sets of the first two turns, and the later turns behind them."""
+    items = chats(spark, sf_dir)
+    turn = F.unix_seconds("created_at")
+    actions, headers = planner.plan(items.where(turn < 2), CHAT, CHAT_MODEL)
+    working, _ = apply_ops.materialize(items.where(turn < 2), actions)
+    later = apply_ops.appended(working, items.where(turn >= 2).withColumn("arrival", turn), headers)
+    return working.unionByName(later).select("session_id", F.col("pos").cast("long").alias("pos"), "item_id", "token_count", "compression_level")
+
+
+def session_status(spark, sf_dir):
+    items, actions, headers = _file_plan(spark, sf_dir)
+    rows = report.status(items, actions, headers, FILES, FILES_MODEL)
+    return rows.select("session_id", "current_tokens", "item_count", "pressure_state", "predicted_state", "target_tokens", "expected_after_tokens", F.get("composition", F.lit(0))["kind"].alias("most_kind"), F.get("candidates", F.lit(0))["item_id"].alias("first_candidate"))
+
+
 def top_candidates(spark, sf_dir):
     _, actions, _ = _file_plan(spark, sf_dir)
     return report.top_candidates(actions).select("session_id", F.col("rank").cast("long").alias("rank"), "item_id", "kind", "item_kind", "action", "before_tokens", "after_tokens")
@@ -195,7 +211,7 @@ def checkpoint_items(spark, sf_dir):
     made = F.struct(F.col("goal"), F.lit("open").alias("status"), F.format_string("%d turns", "n").alias("summary"))
     rows = c.select(F.col("conv_id").alias("session_id"), F.concat(F.lit("k-"), F.col("conv_id")).alias("item_id"), F.timestamp_seconds("n").alias("created_at"), made.alias("checkpoint"))
     out = item_ops.checkpoint_items(rows)
-    return out.select("session_id", "item_id", "kind", F.get_json_object("content", "$.summary").alias("summary"), F.col("source.type").alias("source_type"))
+    return out.select("session_id", "item_id", "kind", *[F.get_json_object("content", f"$.{c}").alias(c) for c in ("goal", "status", "summary")], F.col("source.type").alias("source_type"))
 
 
 def build_logs(docs: DataFrame) -> DataFrame:
@@ -281,7 +297,7 @@ QUERIES = {
     for f in (
         script_token_counts, items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
         event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
-        latest_event, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set,
+        latest_event, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, session_status,
     )
 } | {
     "shell_reduce": _reduced("reduce", "shell", build_logs),
