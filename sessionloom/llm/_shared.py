@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,20 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..sources.shared import shared_dir
+
 #: White space and words as the corpus operators understand them.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: dict[str, list[str]] = {}
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = _written.setdefault("own", [tempfile.mkdtemp(prefix="sessionloom-")])[0]
-    return found.rstrip("/")
-
-
 def _clean(spark: SparkSession, app: str) -> None:
     for path in _written.pop(app, []):
         try:
@@ -40,7 +33,7 @@ def _clean(spark: SparkSession, app: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: no recomputation when an executor is lost."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/sessionloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sessionloom-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
     if app not in _written:
         _written[app] = []
