@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -80,6 +81,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_file(path: str, limit: int) -> str:
+    """``path``, if the file is of at most ``limit`` bytes, so that what it holds may be sent to all executors."""
+    if (size := os.path.getsize(path)) > limit:
+        raise ValueError(f"{path} has {size} bytes, more than {limit}")
+    return path
+
+
 def ranks_within(df: DataFrame, key: str, spread: Column, order: list[str], weight: Column, before: str, total: str) -> DataFrame:
     """Adds ``before``: the sum of ``weight`` over the rows of the same ``key`` that come earlier, and ``total`` of the key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_topk, language_id, mixing, near_dedup, packing, pii, secrets, url_filters
+from . import byte_bpe, chat_format, chat_repair, embedding_dedup, exact_topk, language_id, mixing, near_dedup, packing, pii, secrets, spelling, url_filters
 from ._spans import digests
 from ._shared import table
 
@@ -84,6 +84,38 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no words, a null id counts as an empty one in the checksum, repeated rows count each; ties go to the smaller word; an empty table gives no rows."""
+    return spelling.variants(spelling.words_of(table(spark, sf_dir, "documents")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no ids and the digests of nothing; null ids stay; repeated rows get equal results; an empty table gives no rows."""
+    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return found.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults where the checksum of ``conv_id:turn`` says so; a null is one space throughout, but keeps its place in order."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("h")).where("h <> 0")
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null roles and texts are one space, null turns come first, a null id is a conversation; rows of one turn go by a hash of role and text; an empty table gives no rows."""
+    turns = table(spark, sf_dir, "conversations")
+    audits, repaired = chat_repair.repair(damaged(turns))
+    digest = chat_repair.digests(repaired).select(F.col("conv_id").alias("_digest_of"), "sha256")
+    audits = audits.withColumnRenamed("conv_id", "_audit_of")
+    rows = turns.select("conv_id").distinct().join(audits, F.col("conv_id").eqNullSafe(F.col("_audit_of")), "left")
+    rows = rows.join(digest, F.col("conv_id").eqNullSafe(F.col("_digest_of")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 #: The water level that fills the targets is found from the order of size / weight, as shares grow by weight alone.
 OP4_SQL = r"""
 WITH rows AS (
@@ -217,6 +249,95 @@ SELECT NULL, 1, '<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10) F
 WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE b.said[1].r = alone.r AND b.said[1].t = alone.t)
 """
 
+#: The checksum's table, and the checksum of a list of bytes by it.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc_of(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents
+), lower AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs WHERE length(run) >= 7
+), distinct_runs AS (
+  SELECT id, run, count(*) AS n FROM lower GROUP BY id, run
+), checked AS (
+  SELECT run, n, {crc_of("flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c) - 64] END))")} AS h
+  FROM distinct_runs, crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN run[:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, n FROM checked)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+  SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS x, b.word AS y, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON l.rest = w.word
+), best AS (
+  SELECT x, count(*) AS n_near, min(struct_pack(m := -m, y := y)) AS b FROM pairs GROUP BY x
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 10 * w.n THEN b.y END AS form, CASE WHEN -b.m >= 10 * w.n THEN -b.m END::BIGINT AS form_n
+  FROM words w LEFT JOIN best ON x = w.word
+), paths AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT p.word, p.next, f.form FROM paths p JOIN forms f ON f.word = p.next
+)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN (SELECT word, root FROM paths WHERE next IS NULL) USING (word)
+"""
+
+#: From a conversation's end to its beginning: the cheapest audit from each state, with the lines that it makes. States: nothing yet, system, user, assistant.
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc_of("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)")} % 20 AS h
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM told
+), placed AS (
+  SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS n_rows,
+         left(role, 1) AS r, lag(left(role, 1)) OVER o AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy)
+), rows AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+         role || ':' || text || chr(10) AS line, 'user:' || text || chr(10) AS as_user, 'assistant:' || text || chr(10) AS as_assistant
+  FROM placed
+), solved AS (
+  SELECT conv_id, n_rows + 1 AS i, [struct_pack(c := 0, a := '', s := ''), struct_pack(c := 6, a := 'II', s := 'user:' || chr(10) || 'assistant:' || chr(10)),
+         struct_pack(c := 3, a := 'I', s := 'assistant:' || chr(10)), struct_pack(c := 0, a := '', s := '')] AS v
+  FROM (SELECT DISTINCT conv_id, n_rows FROM rows)
+  UNION ALL
+  SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda s: list_min([w[s],
+           struct_pack(c := w3[CASE s WHEN 3 THEN 4 ELSE 3 END].c + 3, a := 'I' || w3[CASE s WHEN 3 THEN 4 ELSE 3 END].a, s := CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || chr(10) || w3[CASE s WHEN 3 THEN 4 ELSE 3 END].s)]))
+  FROM (
+    SELECT conv_id, i, w, list_transform([1, 2, 3, 4], lambda s: list_min([w[s],
+             struct_pack(c := w[CASE s WHEN 3 THEN 4 ELSE 3 END].c + 3, a := 'I' || w[CASE s WHEN 3 THEN 4 ELSE 3 END].a, s := CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || chr(10) || w[CASE s WHEN 3 THEN 4 ELSE 3 END].s)])) AS w3
+    FROM (
+      SELECT r.conv_id, r.i, list_transform([1, 2, 3, 4], lambda s: list_min(list_concat(
+               [struct_pack(c := v[s].c + 4, a := 'D' || v[s].a, s := v[s].s)],
+               CASE WHEN r.fault NOT IN (1, 2) AND (s = 1 AND r.r IN ('s', 'u') OR s IN (2, 4) AND r.r = 'u' OR s = 3 AND r.r = 'a')
+                    THEN [struct_pack(c := v[CASE r.r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + r.fault, a := 'K' || v[CASE r.r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a, s := r.line || v[CASE r.r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].s)] ELSE [] END,
+               CASE WHEN r.fault NOT IN (1, 2)
+                    THEN [struct_pack(c := v[CASE s WHEN 3 THEN 4 ELSE 3 END].c + 3 + r.fault, a := 'R' || v[CASE s WHEN 3 THEN 4 ELSE 3 END].a, s := CASE s WHEN 3 THEN r.as_assistant ELSE r.as_user END || v[CASE s WHEN 3 THEN 4 ELSE 3 END].s)] ELSE [] END))) AS w
+      FROM solved p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i - 1
+    )
+  )
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(v[1].s[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN solved p ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.i = 1
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -228,6 +349,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_chat_repair": op13_chat_repair,
 }
 ORACLES = {
     "op1_near_dedup": OP1_SQL,
@@ -236,4 +360,6 @@ ORACLES = {
     "op5_exact_topk": OP5_SQL,
     "op7_chat_format": OP7_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op11_spelling": OP11_SQL,
+    "op13_chat_repair": OP13_SQL,
 }
