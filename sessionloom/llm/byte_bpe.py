@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import mapped, table_file
+from ._shared import fresh, mapped, table_file
 
 #: Code points of texts whose pre-tokens are resolved together, and bytes that a task's memo of resolved pre-tokens may hold, about. Both only save time.
 AT_ONCE, MEMO_BYTES = 1 << 19, 80 << 20
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", out: str = "ids", keep: l
             ids = pa.array([b"".join(x) for x in found], pa.binary())
             yield pa.record_batch([*batch.columns[:n], ids], [*keep, out])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(fresh("_text", keep)))
     return mapped(rows, run, T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
@@ -294,5 +294,5 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", out: str = "decoded", path:
             yield pa.record_batch([*batch.columns[:n], pa.array(texts, pa.binary())], [*keep, out])
 
     kept = rows.select(*[F.col(f"`{c}`") for c in keep])
-    ready = rows.select(*kept.columns, F.col(f"`{rows.columns[at]}`").alias("_ids"))
+    ready = rows.select(*kept.columns, F.col(f"`{rows.columns[at]}`").alias(fresh("_ids", keep)))
     return mapped(ready, run, T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())]))
