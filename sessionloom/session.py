@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import asdict
 from itertools import islice
@@ -16,28 +17,31 @@ from .operators import materialize as apply_ops
 from .operators import planner, predict, report
 from .schema import Config, Model
 from .sources import jsonl
-from .sources.shared import fixed
+from .sources.shared import Scratch
 from .sources.store import Store
 
 #: Lines of a text stream that are stored at once.
 AT_ONCE = 50_000
+#: Plans of a session whose files are kept.
+PLANS = 8
 
 
-def add(store: Store, items: DataFrame, config: Config, *, session_id: str | None = None, commit: str | None = None) -> None:
+def add(store: Store, items: DataFrame, config: Config, *, session_id: str | None = None, name: str = "add") -> None:
     """Stores items of any sessions, in order of ``arrival``: items, ``context.add`` events, statistics that go on from those stored, and working sets
-    where there are any. ``items`` must not change when they are read again. A commit that is run again replaces what it wrote.
+    where there are any. All of it counts at once, or nothing; so an id that is there already, or comes twice, changes nothing. ``items`` must
+    not change when they are read again.
 
-    With ``session_id``, that of all items, only that session's part of the store is read.
+    Only the sessions' parts of the store are read. ``session_id`` is that of all items, if they have one.
     """
-    where = {"session_id": session_id, "commit": commit}
-    payload = F.to_json(F.struct(*[c for c in items.columns if c != "arrival"]))
-    store.append_events(items.select("session_id", F.lit("context.add").alias("type"), payload.alias("payload_json"), F.current_timestamp().alias("created_at"), "arrival"), **where)
-    if config.prediction.enabled:
-        before = fixed(store.token_stats(session_id, without=commit))
-        store.upsert_token_stats(predict.token_stats(items, config, before=before, order=("arrival",)), **where)
-    working, meta = store.working_set(session_id)
-    store.append_working_sets(fixed(apply_ops.appended(working, items, meta)), **where)
-    store.insert_items(items, **where)
+    with store.commit(session_id, rows=items, name=name) as change:
+        change.insert_items(items)
+        payload = F.to_json(F.struct(*[c for c in items.columns if c != "arrival"]))
+        change.append_events(items.select("session_id", F.lit("context.add").alias("type"), payload.alias("payload_json"), F.current_timestamp().alias("created_at"), "arrival"))
+        if config.prediction.enabled:
+            before = store.token_stats(session_id, buckets=change.buckets)
+            change.upsert_token_stats(predict.token_stats(items, config, before=before, order=("arrival",)))
+        working, meta = store.working_set(session_id, buckets=change.buckets)
+        change.append_working_sets(apply_ops.appended(working, items, meta))
 
 
 class Session:
@@ -47,24 +51,25 @@ class Session:
         self.store, self.id, self.config, self.counter = store, session_id, (config or Config()).validate(), counter
         self.model = (model or store.load_model(session_id, self.config)).check(self.config)
         self.last_plan: tuple[DataFrame, DataFrame] | None = None
+        self._plans: deque[Scratch] = deque()
         spark: SparkSession = store.spark
         row = spark.createDataFrame([(session_id, json.dumps(asdict(self.config)))], "session_id string, config_json string")
-        store.ensure_sessions(row.withColumn("created_at", F.current_timestamp()), session_id)
-        store.save_model(session_id, self.model)
+        with store.commit(session_id, name="open") as change:
+            change.ensure_sessions(row.withColumn("created_at", F.current_timestamp()))
+            change.save_model(session_id, self.model)
 
     def ingest(self, records: DataFrame, *, adapter: str | None = None) -> int:
         """Adds wire records (see ``add``). How many."""
         if "arrival" not in records.columns:
             records = records.withColumn("arrival", F.monotonically_increasing_id())
-        return self._add(fixed(item_ops.enrich(records, adapter=adapter, counter=self.counter)))
+        return self._add(item_ops.enrich(records, adapter=adapter, counter=self.counter))
 
     def _add(self, items: DataFrame) -> int:
-        keys = Store.KEYS["context_items"]
-        if bad := items.join(self.store.read("context_items", self.id).select(*keys), keys, "left_semi").select(*keys).first():
-            raise ValueError(f"the session already has {bad.asDict()}")
-        add(self.store, items, self.config, session_id=self.id)
-        self.last_plan = None
-        return items.count()
+        with Scratch(self.store.spark) as scratch:
+            items = scratch.keep(items)
+            add(self.store, items, self.config, session_id=self.id)
+            self.last_plan = None
+            return items.count()
 
     def ingest_file(self, path: str) -> int:
         """A JSON-lines file; a bad line fails, by its number, before anything is written."""
@@ -85,7 +90,7 @@ class Session:
     def ingest_checkpoint(self, checkpoint: DataFrame) -> int:
         """Rows with item_id, created_at and a struct ``checkpoint``, added as any other items."""
         made = item_ops.checkpoint_items(checkpoint.withColumn("session_id", F.lit(self.id)), counter=self.counter)
-        return self._add(fixed(made.withColumn("arrival", F.monotonically_increasing_id())))
+        return self._add(made.withColumn("arrival", F.monotonically_increasing_id()))
 
     def view(self) -> DataFrame:
         return apply_ops.active_view(self.store.items(self.id), *self.store.working_set(self.id))
@@ -95,26 +100,36 @@ class Session:
         return row.expected_input + row.expected_tool_output + row.expected_assistant_output if row and self.config.prediction.enabled else 0
 
     def plan(self, predicted_extra: int = 0) -> tuple[DataFrame, DataFrame]:
-        """Actions and header; a positive ``predicted_extra`` replaces the prediction from statistics. Kept for ``status`` until items or working set change."""
+        """Actions and header; a positive ``predicted_extra`` replaces the prediction from statistics. Kept for ``status`` until items or working set change.
+
+        A plan is written once; the files of the last PLANS of a session stay.
+        """
         actions, headers = planner.plan(self.view(), self.config, self.model, extra=predicted_extra or self.predicted(), counter=self.counter)
-        self.last_plan = fixed(actions), fixed(headers)
+        self._plans.append(Scratch(self.store.spark))
+        while len(self._plans) > PLANS:
+            self._plans.popleft().close()
+        self.last_plan = self._plans[-1].keep(actions), self._plans[-1].keep(headers)
         return self.last_plan
 
     def materialize(self, predicted_extra: int = 0, plan: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-        actions, _ = plan or self.plan(predicted_extra)
-        working, artifacts = apply_ops.materialize(self.view(), actions, counter=self.counter)
-        self.store.insert_artifacts(artifacts, self.id)
+        return self._apply(plan or self.plan(predicted_extra), recorded=False)
+
+    def compact(self, predicted_extra: int = 0) -> DataFrame:
+        """Plans, records the run and materializes; run, artifacts and working set count at once."""
+        return self._apply(self.plan(predicted_extra), recorded=True)
+
+    def _apply(self, plan: tuple[DataFrame, DataFrame], recorded: bool) -> DataFrame:
+        actions, headers = plan
         own = self.store.spark.createDataFrame([(self.id,)], "session_id string")
-        self.store.replace_working_sets(fixed(working), own, self.id)
+        with self.store.commit(self.id, name="apply") as change:
+            working, artifacts = apply_ops.materialize(self.view(), actions, counter=self.counter)
+            if recorded:
+                change.record_runs(headers, actions)
+            change.insert_artifacts(artifacts)
+            change.replace_working_sets(working, own)
         self.last_plan = None
         return self.store.working_set(self.id)[0].orderBy("pos")
 
-    def compact(self, predicted_extra: int = 0) -> DataFrame:
-        """Plans, records the run, then materializes."""
-        actions, headers = self.plan(predicted_extra)
-        self.store.record_runs(headers, actions, self.id)
-        return self.materialize(plan=(actions, headers))
-
     def status(self, predicted_extra: int = 0) -> DataFrame:
         """Pressure, composition and candidates by the last plan if it still holds and nothing else is asked, else by a new one."""
         actions, headers = self.last_plan if self.last_plan and not predicted_extra else self.plan(predicted_extra)

@@ -1,9 +1,11 @@
-"""Append-only tables under one folder, laid out by session, with keyed inserts and versions of what is replaced."""
+"""Append-only tables under one folder, laid out by session, with commits that count as one, keyed inserts and versions of what is replaced."""
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,76 +13,153 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators.items import ORDER, active, loaded
 from ..schema import TABLES, Config, Model
+from .commits import Files, Log, to_merge
 from .shared import shared_dir
 
 #: Folders that sessions are dealt to, by a hash; a query about one session reads one of them.
 BUCKETS = 64
+#: Commits of one level that are merged into one of the next, and seconds that readers have before what was merged is removed.
+MERGE_AT, GRACE = 16, 3600.0
+KEYS = {"context_items": ["session_id", "item_id"], "sessions": ["session_id"], "artifacts": ["session_id", "artifact_id"]}
+#: Columns for point lookups, which get Bloom filters in merged files.
+LOOKUPS = {"context_items": "item_id", "artifacts": "artifact_id"}
 
 
-def _bucket(session: Column) -> Column:
+def bucket_of(session: Column) -> Column:
     return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
 
 
-class Store:
-    """Tables as Parquet folders, ``<table>/commit=<id>/bucket=<n>``. Nothing that is written is written again, so each call writes
-    only what it adds; a commit that is run again, as of a stream, replaces its own rows.
+class Commit:
+    """What one change writes, to any of its buckets' tables; all of it counts once the change ends without an error, and nothing before."""
 
-    Of token statistics the row with the greatest count holds, of a working set the newest version: its items are written first, and one row in
-    working_set_meta then makes them count at once. Likewise a run counts once its row in compaction_runs is there, after its actions.
-    """
+    def __init__(self, store: Store, buckets: list[int], session_id: str | None, name: str):
+        self.store, self.buckets, self.session_id, self.id = store, buckets, session_id, f"{name}.{uuid.uuid4().hex[:12]}"
+        self.read_at = {b: store.log.last(b) for b in buckets}
 
-    KEYS = {"context_items": ["session_id", "item_id"], "sessions": ["session_id"], "artifacts": ["session_id", "artifact_id"]}
+    def old(self, name: str) -> DataFrame:
+        """The table as it was before this commit, in its buckets."""
+        return self.store.read(name, self.session_id, buckets=self.buckets)
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def append(self, name: str, rows: DataFrame, *, ignore: bool = False) -> None:
+        """Adds rows. A key that is there already is an error, or passed over if ``ignore``; so is a repeated one among them."""
+        keys = KEYS.get(name)
+        if keys and ignore:
+            rows = rows.dropDuplicates(keys).join(self.old(name).select(*keys), keys, "left_anti")
+        elif keys:
+            self.refuse_repeats(name, rows)
+        self.store._write(name, self.store._cast(name, rows), self.id, self.buckets if len(self.buckets) == 1 else None)
 
-    @staticmethod
-    def temporary(spark: SparkSession) -> Store:
-        """An empty store in the shared folder, for tests and trials."""
-        return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    def refuse_repeats(self, name: str, rows: DataFrame) -> None:
+        keys = KEYS[name]
+        clash = rows.join(self.old(name).select(*keys), keys, "left_semi").select(*keys).unionByName(rows.groupBy(*keys).count().where("count > 1").select(*keys))
+        if bad := clash.first():
+            raise ValueError(f"{name} already has {bad.asDict()}")
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def insert_items(self, items: DataFrame) -> None:
+        self.append("context_items", items.withColumn("content_hash", content_hash(F.col("content"))))
 
-    def read(self, name: str, session_id: str | None = None, *, without: str | None = None) -> DataFrame:
-        """A table, or one session's rows of it, which lie in one bucket; ``without`` leaves a commit out."""
-        folder = f"{self.path}/{name}"
-        if not self._exists(folder):
-            return self.spark.createDataFrame([], TABLES[name])
-        rows = self.spark.read.schema(f"{TABLES[name]}, commit STRING, bucket INT").parquet(folder)
-        if session_id is not None:
-            rows = rows.where((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
-        if without is not None:
-            rows = rows.where(F.col("commit") != without)
-        return rows.drop("commit", "bucket")
+    def append_events(self, events: DataFrame) -> None:
+        """Rows of session_id, type, payload_json and created_at, in order of a number ``arrival`` if they have it, get ids that rise within a session."""
+        last = self.old("events").agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
+        number = F.col("arrival") if "arrival" in events.columns else F.monotonically_increasing_id()
+        self.append("events", events.withColumn("event_id", number + F.lit(last + 1)))
 
-    def append(self, name: str, rows: DataFrame, *, ignore: bool = False, session_id: str | None = None, commit: str | None = None) -> None:
-        """Adds rows. A key that is there already is an error, or passed over if ``ignore``; so is a repeated one among them.
+    def ensure_sessions(self, sessions: DataFrame) -> None:
+        self.append("sessions", sessions, ignore=True)
 
-        If all rows are of one session, ``session_id`` spares reading the others' keys.
-        """
-        keys = self.KEYS.get(name)
-        if keys:
-            old = self.read(name, session_id, without=commit).select(*keys)
-            if ignore:
-                rows = rows.dropDuplicates(keys).join(old, keys, "left_anti")
-            else:
-                clash = rows.join(old, keys, "left_semi").select(*keys).unionByName(rows.groupBy(*keys).count().where("count > 1").select(*keys))
-                if bad := clash.first():
-                    raise ValueError(f"{name} already has {bad.asDict()}")
-        rows = self._cast(name, rows).withColumn("bucket", _bucket(F.col("session_id")))
-        rows = rows.coalesce(1) if session_id is not None else rows.hint("rebalance", "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/commit={commit or uuid.uuid4().hex}")
+    def save_model(self, session_id: str, model: Model) -> None:
+        row = self.store.spark.createDataFrame([(session_id, "session.start", model.name, model.context_window, model.reserved_output_tokens)], "session_id string, type string, name string, context_window long, reserved_output_tokens long")
+        payload = F.to_json(F.struct("name", "context_window", "reserved_output_tokens"))
+        self.append_events(row.select("session_id", "type", payload.alias("payload_json"), F.current_timestamp().alias("created_at")))
 
-    def _cast(self, name: str, rows: DataFrame) -> DataFrame:
-        columns = self.spark.createDataFrame([], TABLES[name]).schema
-        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
+    def insert_artifacts(self, artifacts: DataFrame) -> None:
+        """Artifacts that aren't stored yet; storing one plan's twice changes nothing."""
+        self.append("artifacts", artifacts.withColumn("created_at", F.current_timestamp()), ignore=True)
+
+    def record_runs(self, headers: DataFrame, actions: DataFrame) -> str:
+        """One run id for all sessions of a plan, which sorts by time."""
+        run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+        self.append("compaction_actions", actions.withColumn("run_id", F.lit(run)))
+        self.append("compaction_runs", headers.select(F.lit(run).alias("run_id"), "session_id", "before_tokens", F.col("expected_after_tokens").alias("after_tokens"), "pressure_state", F.current_timestamp().alias("created_at")))
+        return run
+
+    def upsert_token_stats(self, stats: DataFrame) -> None:
+        """Statistics of higher counts than those stored; lower ones never count again."""
+        self.append("token_stats", stats)
+
+    def replace_working_sets(self, working: DataFrame, sessions: DataFrame) -> None:
+        """Sets the working sets of ``sessions`` to these rows; other sessions' are neither read nor written."""
+        version = F.lit(time.time_ns())
+        self.append("working_set_items", working.withColumn("version", version))
+        self.append("working_set_meta", sessions.select("session_id", F.current_timestamp().alias("materialized_at"), version.alias("version")))
+
+    def append_working_sets(self, rows: DataFrame) -> None:
+        """Adds rows to the working sets of sessions that have one."""
+        meta = newest_meta(self.old("working_set_meta"))
+        self.append("working_set_items", rows.drop("version").join(meta.select("session_id", "version"), "session_id"))
 
-    # ---- items and events ----
 
-    def insert_items(self, items: DataFrame, **where: str | None) -> None:
-        self.append("context_items", items.withColumn("content_hash", content_hash(F.col("content"))), **where)
+def newest_meta(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id").agg(F.max_by("materialized_at", "version").alias("materialized_at"), F.max("version").alias("version"))
+
+
+def newest_stats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id", "event_type").agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
+
+
+class Store:
+    """Tables as Parquet folders, ``<table>/bucket=<n>/commit=<id>``, and a log of the commits that count (see ``Log``).
+
+    A reader of one session lists its bucket's marks and reads the folders that these name, whatever else the store holds. Nothing that is
+    written is written again, but small commits are merged: MERGE_AT of one level become one of the next, without dead versions, so a bucket has a
+    number of commits that grows with the logarithm of all there ever were. What was merged goes after a time of grace. Of two writers of one
+    bucket at once the second gets a ``Conflict``, where the file system can create a file exclusively.
+
+    Of token statistics the row with the greatest count holds, of a working set the newest version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, grace: float = GRACE):
+        self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
+        self.files, self.log = Files(spark), Log(spark, f"{self.path}/log")
+        self._there: dict[str, bool] = {}
+        self._bucket: dict[str, int] = {}
+
+    @staticmethod
+    def temporary(spark: SparkSession) -> Store:
+        """An empty store in the shared folder, for tests and trials."""
+        return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+    def bucket(self, session_id: str) -> int:
+        if session_id not in self._bucket:
+            self._bucket[session_id] = self.spark.range(1).select(bucket_of(F.lit(session_id))).first()[0]
+        return self._bucket[session_id]
+
+    def buckets(self, rows: DataFrame) -> list[int]:
+        """Buckets of the rows' sessions."""
+        return sorted(r[0] for r in rows.select(bucket_of(F.col("session_id")).alias("bucket")).distinct().collect())
+
+    # ---- reading ----
+
+    def _folders(self, name: str, buckets: list[int] | None, commits: dict[int, list[str]] | None = None) -> list[str]:
+        out = []
+        for b in range(BUCKETS) if buckets is None else buckets:
+            for commit in self.log.live(b) if commits is None else commits[b]:
+                folder = f"{self.path}/{name}/bucket={b}/commit={commit}"
+                if folder not in self._there:  # what a commit that counts has written never changes
+                    self._there[folder] = self.files.exists(folder)
+                if self._there[folder]:
+                    out.append(folder)
+        return out
+
+    def read(self, name: str, session_id: str | None = None, *, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or its rows of one session, or of some buckets, of the commits that count now."""
+        if buckets is None and session_id is not None:
+            buckets = [self.bucket(session_id)]
+        folders = self._folders(name, buckets)
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name])
+        rows = self.spark.read.schema(TABLES[name]).parquet(*folders)
+        return rows if session_id is None else rows.where(F.col("session_id") == session_id)
 
     def items(self, session_id: str | None = None) -> DataFrame:
         return loaded(self.read("context_items", session_id))
@@ -94,76 +173,117 @@ class Store:
     def item(self, item_id: str, session_id: str | None = None) -> DataFrame:
         return self.items(session_id).where(F.col("item_id") == item_id)
 
-    def append_events(self, events: DataFrame, *, session_id: str | None = None, commit: str | None = None) -> None:
-        """Rows of session_id, type, payload_json and created_at, in order of a number ``arrival`` if they have it, get ids that rise within a session."""
-        last = self.read("events", session_id, without=commit).agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
-        number = F.col("arrival") if "arrival" in events.columns else F.monotonically_increasing_id()
-        self.append("events", events.withColumn("event_id", number + F.lit(last + 1)), session_id=session_id, commit=commit)
-
-    def ensure_sessions(self, sessions: DataFrame, session_id: str | None = None) -> None:
-        self.append("sessions", sessions, ignore=True, session_id=session_id)
-
-    # ---- models ----
-
-    def save_model(self, session_id: str, model: Model) -> None:
-        row = self.spark.createDataFrame([(session_id, "session.start", model.name, model.context_window, model.reserved_output_tokens)], "session_id string, type string, name string, context_window long, reserved_output_tokens long")
-        payload = F.to_json(F.struct("name", "context_window", "reserved_output_tokens"))
-        self.append_events(row.select("session_id", "type", payload.alias("payload_json"), F.current_timestamp().alias("created_at")), session_id=session_id)
-
     def load_model(self, session_id: str, config: Config) -> Model:
         newest = self.read("events", session_id).where(F.col("type") == "session.start").agg(F.max_by("payload_json", "event_id").alias("p"))
         row = newest.select(F.from_json("p", "name string, context_window long, reserved_output_tokens long").alias("m")).select("m.*").first()
         return Model.default(config) if row is None or row.name is None else Model(row.name, row.context_window, row.reserved_output_tokens)
 
-    # ---- artifacts, runs, statistics, working sets ----
-
-    def insert_artifacts(self, artifacts: DataFrame, session_id: str | None = None) -> None:
-        """Artifacts that aren't stored yet; storing one plan's twice changes nothing."""
-        self.append("artifacts", artifacts.withColumn("created_at", F.current_timestamp()), ignore=True, session_id=session_id)
-
     def artifact(self, artifact_id: str, session_id: str | None = None) -> DataFrame:
         return self.read("artifacts", session_id).where(F.col("artifact_id") == artifact_id)
 
-    def record_runs(self, headers: DataFrame, actions: DataFrame, session_id: str | None = None) -> str:
-        """One run id for all sessions of a plan, which sorts by time."""
-        run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
-        self.append("compaction_actions", actions.withColumn("run_id", F.lit(run)), session_id=session_id)
-        rows = headers.select(F.lit(run).alias("run_id"), "session_id", "before_tokens", F.col("expected_after_tokens").alias("after_tokens"), "pressure_state", F.current_timestamp().alias("created_at"))
-        self.append("compaction_runs", rows, session_id=session_id)
-        return run
-
     def runs(self, session_id: str | None = None) -> DataFrame:
         return self.read("compaction_runs", session_id).orderBy("run_id", "session_id")
 
     def actions(self, session_id: str | None = None) -> DataFrame:
-        """Actions of the runs that count."""
-        return self.read("compaction_actions", session_id).join(self.read("compaction_runs", session_id).select("run_id", "session_id"), ["run_id", "session_id"], "left_semi")
+        return self.read("compaction_actions", session_id)
 
-    def token_stats(self, session_id: str | None = None, *, without: str | None = None) -> DataFrame:
-        newest = self.read("token_stats", session_id, without=without).groupBy("session_id", "event_type")
-        return newest.agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
+    def token_stats(self, session_id: str | None = None, *, buckets: list[int] | None = None) -> DataFrame:
+        return newest_stats(self.read("token_stats", session_id, buckets=buckets))
 
-    def upsert_token_stats(self, stats: DataFrame, **where: str | None) -> None:
-        """Statistics of higher counts than those stored; lower ones never count again."""
-        self.append("token_stats", stats, **where)
-
-    def _working_meta(self, session_id: str | None = None) -> DataFrame:
-        newest = self.read("working_set_meta", session_id).groupBy("session_id")
-        return newest.agg(F.max_by("materialized_at", "version").alias("materialized_at"), F.max("version").alias("version"))
-
-    def working_set(self, session_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    def working_set(self, session_id: str | None = None, *, buckets: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
         """(rows, meta); a session that is in meta without rows was compacted to nothing."""
-        meta = self._working_meta(session_id)
-        rows = self.read("working_set_items", session_id).join(meta.select("session_id", "version"), ["session_id", "version"], "left_semi")
+        meta = newest_meta(self.read("working_set_meta", session_id, buckets=buckets))
+        rows = self.read("working_set_items", session_id, buckets=buckets).join(meta.select("session_id", "version"), ["session_id", "version"], "left_semi")
         return rows.drop("version"), meta.drop("version")
 
-    def replace_working_sets(self, working: DataFrame, sessions: DataFrame, session_id: str | None = None) -> None:
-        """Sets the working sets of ``sessions`` to these rows; other sessions' are neither read nor written."""
-        version = F.lit(time.time_ns())
-        self.append("working_set_items", working.withColumn("version", version), session_id=session_id)
-        self.append("working_set_meta", sessions.select("session_id", F.current_timestamp().alias("materialized_at"), version.alias("version")), session_id=session_id)
+    # ---- writing ----
 
-    def append_working_sets(self, rows: DataFrame, *, session_id: str | None = None, commit: str | None = None) -> None:
-        """Adds rows to the working sets of sessions that have one."""
-        rows = rows.drop("version").join(self._working_meta(session_id).select("session_id", "version"), "session_id")
-        self.append("working_set_items", rows, session_id=session_id, commit=commit)
+    def _cast(self, name: str, rows: DataFrame) -> DataFrame:
+        columns = self.spark.createDataFrame([], TABLES[name]).schema
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
+
+    def _write(self, name: str, rows: DataFrame, commit: str, buckets: list[int] | None) -> None:
+        """Rows of one bucket, or of several if ``buckets`` is None, in files of the size that adaptive execution aims at."""
+        if buckets:
+            rows.hint("rebalance").write.parquet(f"{self.path}/{name}/bucket={buckets[0]}/commit={commit}")
+            return
+        rows = rows.withColumn("bucket", bucket_of(F.col("session_id"))).hint("rebalance", "bucket").withColumn("commit", F.lit(commit))
+        rows.write.mode("append").partitionBy("bucket", "commit").parquet(f"{self.path}/{name}")
+
+    @contextmanager
+    def commit(self, session_id: str | None = None, *, rows: DataFrame | None = None, name: str = "c") -> Iterator[Commit]:
+        """A change to one session, to the sessions of ``rows``, or to any; it counts as a whole at the end, unless that isn't reached.
+
+        ``name`` is any name that ``has`` may be asked for later.
+        """
+        buckets = [self.bucket(session_id)] if session_id is not None else list(range(BUCKETS)) if rows is None else self.buckets(rows)
+        self.log.finish()
+        change = Commit(self, buckets, session_id, name)
+        yield change
+        if buckets:
+            self.log.publish(change.id, change.read_at)
+            self.merge(buckets)
+
+    def has(self, name: str) -> bool:
+        """Whether a commit of this name counts; known for as long as it isn't merged and removed."""
+        found = [c for c, _ in self.log.pending()] + [m.commit for b in range(BUCKETS) for m in self.log.marks(b)]
+        return any(c.rpartition(".")[0] == name for c in found)
+
+    # ---- upkeep ----
+
+    def merge(self, buckets: list[int] | None = None, *, at: int = MERGE_AT) -> int:
+        """Merges the last commits of each bucket that has ``at`` of one level. In how many buckets it did."""
+        runs = {b: run for b in (range(BUCKETS) if buckets is None else buckets) if (run := to_merge(self.log.marks(b), at))}
+        if not runs:
+            return 0
+        commit, old = f"m.{uuid.uuid4().hex[:12]}", {b: [m.commit for m in run] for b, run in runs.items()}
+        for name, columns in TABLES.items():
+            if folders := self._folders(name, list(runs), old):
+                rows = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{columns}, bucket INT, commit STRING").parquet(*folders).drop("commit", "bucket")
+                rows = self._without_dead(name, rows, list(runs)).withColumn("bucket", bucket_of(F.col("session_id")))
+                rows = rows.hint("rebalance", "bucket").withColumn("commit", F.lit(commit)).sortWithinPartitions("bucket", "commit", "session_id")
+                write = rows.write.mode("append").partitionBy("bucket", "commit")
+                if column := LOOKUPS.get(name):
+                    write = write.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+                write.parquet(f"{self.path}/{name}")
+        for b, run in runs.items():
+            low, high = min(m.number if m.low < 0 else m.low for m in run), max(m.number for m in run)
+            # If another commit came first, what was merged is an orphan, and the next merge takes it in.
+            self.log.put(b, self.log.last(b) + 1, commit, run[0].level + 1, low, high)
+        self.vacuum(list(runs), orphans=False)
+        return len(runs)
+
+    def _without_dead(self, name: str, rows: DataFrame, buckets: list[int]) -> DataFrame:
+        if name == "token_stats":
+            return newest_stats(rows)
+        if name == "working_set_meta":
+            return newest_meta(rows)
+        if name == "working_set_items":
+            return rows.join(newest_meta(self.read("working_set_meta", buckets=buckets)).select("session_id", "version"), ["session_id", "version"], "left_semi")
+        return rows
+
+    def vacuum(self, buckets: list[int] | None = None, *, grace: float | None = None, orphans: bool = True) -> int:
+        """Removes folders of commits that were merged, and with ``orphans`` of ones that never came to count, older than ``grace`` seconds. How many."""
+        now, grace, gone = time.time(), self.grace if grace is None else grace, 0
+        pending = {c for c, _ in self.log.pending()}
+        for b in range(BUCKETS) if buckets is None else buckets:
+            marks = self.log.marks(b)
+            for m in marks:
+                over = [o for o in marks if o.covers(m)]
+                mark = lambda x: f"{self.log.path}/bucket={b}/{x.number:012d}"  # noqa: B023, E731
+                if over and max(self.files.age(mark(o), now) for o in over) > grace:
+                    gone += sum(self._remove(f"{self.path}/{name}/bucket={b}/commit={m.commit}") for name in TABLES if m.commit)
+                    self.files.delete(mark(m))
+            known = {m.commit for m in marks} | pending
+            for name in TABLES if orphans else ():
+                for folder in self.files.names(f"{self.path}/{name}/bucket={b}"):
+                    path = f"{self.path}/{name}/bucket={b}/{folder}"
+                    if folder.removeprefix("commit=") not in known and self.files.age(path, now) > grace:
+                        gone += self._remove(path)
+        return gone
+
+    def _remove(self, folder: str) -> bool:
+        self._there.pop(folder, None)
+        if there := self.files.exists(folder):
+            self.files.delete(folder)
+        return there

@@ -21,8 +21,8 @@ from ..operators.predict import event_type
 from ..schema import Config
 from ..session import add
 from ..sources.jsonl import records
-from ..sources.shared import fixed
-from ..sources.store import Store
+from ..sources.shared import Scratch
+from ..sources.store import KEYS, Store
 
 #: Rows of a key in a micro-batch that are sorted in memory; more are sorted in parts, on local disk, and merged.
 RUN_ROWS, CHUNK_ROWS = 1 << 18, 1 << 13
@@ -112,19 +112,23 @@ def latest_state(updates: DataFrame, keys: list[str], folder: str) -> DataFrame:
 
 
 def ingest_into(store: Store, items: DataFrame, config: Config, checkpoint: str, *, name: str = "stream", **trigger: object) -> StreamingQuery:
-    """Adds each micro-batch's items to the store as any ingest does: items, events, statistics and working sets. Batches count in order of arrival,
+    """Adds each micro-batch's items to the store as any ingest does: items, events, statistics and working sets, all at once. Batches count in order of arrival,
     items within one by created_at and id.
 
-    ``name`` tells a stream's commits from those of others: a batch that is run again replaces what it wrote. Items whose ids are stored already, or come again in
-    a batch, are passed over.
+    ``name`` tells a stream's commits from those of others: a batch that counts already is passed over when it is run again. So are items whose ids are
+    stored already, or come again in a batch. A batch reads its sessions' part of the store only, and leaves no files but its commit's.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        keys, commit = store.KEYS["context_items"], f"{name}-{number}"
-        place = F.row_number().over(W.partitionBy("session_id").orderBy("created_at", "item_id")).cast("long")
-        batch = fixed(batch.withColumn("arrival", place))
-        first = batch.groupBy(*keys).agg(F.min("arrival").alias("arrival"))
-        new = batch.join(first, [*keys, "arrival"], "left_semi").join(store.read("context_items", without=commit).select(*keys), keys, "left_anti")
-        add(store, fixed(new), config, commit=commit)
+        if store.has(f"{name}-{number}"):
+            return
+        with Scratch(store.spark) as scratch:
+            keys = KEYS["context_items"]
+            place = F.row_number().over(W.partitionBy("session_id").orderBy("created_at", "item_id")).cast("long")
+            batch = scratch.keep(batch.withColumn("arrival", place))
+            first = batch.groupBy(*keys).agg(F.min("arrival").alias("arrival"))
+            there = store.read("context_items", buckets=store.buckets(batch)).select(*keys)
+            new = scratch.keep(batch.join(first, [*keys, "arrival"], "left_semi").join(there, keys, "left_anti"))
+            add(store, new, config, name=f"{name}-{number}")
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -33,15 +33,18 @@ def test_store_tables(spark, tmp_path):
     rows, meta = store.working_set()
     assert rows.count() == 0 and meta.count() == 0
     only = spark.createDataFrame([("s",)], "session_id string")
-    store.replace_working_sets(spark.createDataFrame([], TABLES["working_set_items"]), only)
+    with store.commit("s") as change:
+        change.replace_working_sets(spark.createDataFrame([], TABLES["working_set_items"]), only)
     assert [r.session_id for r in store.working_set()[1].collect()] == ["s"]
     stats = spark.createDataFrame([("s", "tool", 1.5, 2)], "session_id string, event_type string, ema double, count long")
-    store.upsert_token_stats(stats)
-    store.upsert_token_stats(stats.selectExpr("session_id", "event_type", "ema + 1 AS ema", "count + 1 AS count"))
+    for more in (0, 1):
+        with store.commit("s") as change:
+            change.upsert_token_stats(stats.selectExpr("session_id", "event_type", f"ema + {more} AS ema", f"count + {more} AS count"))
     assert [(r.ema, r["count"]) for r in store.token_stats().collect()] == [(2.5, 3)]
     art = spark.createDataFrame([("s", "artifact://file/i", "i", "text")], "session_id string, artifact_id string, item_id string, content string")
-    store.insert_artifacts(art)
-    store.insert_artifacts(art)
+    for _ in range(2):
+        with store.commit("s") as change:
+            change.insert_artifacts(art)
     assert store.artifact("artifact://file/i").count() == 1
     assert spark.createDataFrame([], CHECKPOINT).columns[0] == "goal"
 
