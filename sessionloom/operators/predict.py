@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scoring import meta
 from ..functions.text import f32
 from ..schema import Config
+from .prefix import ranged, same
 
 
 def event_type() -> Column:
@@ -21,66 +20,56 @@ def event_type() -> Column:
     return out.when(F.col("kind") == "AssistantMessage", "assistant").otherwise("other")
 
 
-def fold(values: pa.Array, a: np.float32, before: np.float32 | None) -> np.float32 | None:
-    """The average after these float32 values; a null starts it anew."""
-    if values.null_count:
-        values, before = values.slice(int(np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False))[-1]) + 1), None
-    new = values.to_numpy(zero_copy_only=False)
-    if before is None and len(new):
-        before, new = new[0], new[1:]
-    rest = np.float32(1) - a
-    for step in list(a * new):
-        before = step + rest * before
-    return before
-
-
-def _folds(keys: tuple[str, ...], a: np.float32) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Average and count of each key, of rows that arrive sorted by keys and order; holds a batch, and one key's average and count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(all="ignore")
-        out: list[tuple] = []
-        key, now, count, schema = None, None, 0, None
-
-        def packed() -> pa.RecordBatch:
-            columns = [pa.array([x[j] for x in out], schema.field(c).type) for j, c in enumerate(keys)]
-            emas = pa.array([x[-2] for x in out], pa.float32())
-            return pa.record_batch([*columns, emas, pa.array([x[-1] for x in out], pa.int64())], [*keys, "ema", "count"])
-
-        for batch in batches:
-            n, schema = batch.num_rows, batch.schema
-            change = np.zeros(n, bool)
-            change[:1] = True
-            for column in (batch.column(c) for c in keys):
-                x, y = column.slice(1), column.slice(0, max(0, n - 1))
-                differ = pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(x.is_null(), y.is_null()))
-                change[1:] |= differ.to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(change).tolist()
-            for at, end in zip(starts, [*starts[1:], n], strict=True):
-                this = tuple(batch.column(c)[at].as_py() for c in keys)
-                if this != key:
-                    if count:
-                        out.append((*key, now, count))
-                    key, now, count = this, None, 0
-                now, count = fold(batch.column("_value").slice(at, end - at), a, now), count + end - at
-            if len(out) > 10_000:
-                yield packed()
-                out = []
-        if count:
-            out.append((*key, now, count))
-            yield packed()
-
-    return run
+#: Binary digits by which an average's start must shrink before it is left out; single precision has 24.
+DIGITS = 60
+#: Rows that Spark ranks within a task, before the shuffle, at most.
+RANKED = 1000
+
+
+def memory(alpha: float) -> int | None:
+    """How many of the last values decide an average in single precision; None if all do, as nothing is forgotten."""
+    a = max(0.0, min(1.0, alpha))
+    return 1 if a == 1 else math.ceil(DIGITS * math.log(2) / -math.log1p(-a)) + 1 if a > 1e-9 else None
 
 
 def ema(values: DataFrame, alpha: float, *, keys: tuple[str, ...] = ("session_id", "event_type"), value: str = "token_count", order: tuple[str, ...] = ("created_at", "item_id")) -> DataFrame:
-    """Keys with ema and count: alpha * value + (1 - alpha) * before, from the first value on, in order and single precision.
+    """Keys with ema and count: alpha * value + (1 - alpha) * before, from the first value on, in order and single precision; a null starts it anew.
 
-    Rows are sorted by Spark and folded as they come, so a key of any size takes one task but no more memory.
+    What lies more than ``memory`` values back has no weight left, so only the last ones of a key are folded. Each task keeps as many of its own
+    before the shuffle: no task meets all rows of a hot key. Where alpha is so small that there would be more than RANKED, ranges of rows in order become one
+    affine map each, in double precision, and a key's maps are composed.
     """
+    a, last = max(0.0, min(1.0, alpha)), memory(alpha)
     rows = values.select(*keys, *order, F.col(value).cast("float").alias("_value"))
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "_value").select(*keys, "_value")
-    return rows.mapInArrow(_folds(tuple(keys), np.float32(max(0.0, min(1.0, alpha)))), values.select(*keys).schema.add("ema", "float").add("count", "long"))
+    if last is None or last > RANKED:
+        return _mapped_ranges(rows, a, keys, order)
+    back = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(c) for c in (*order, "_value")]))
+    ranked = rows.select(*keys, "_value", back.alias("_back")).where(F.col("_back") <= last)
+    told = F.transform(F.sort_array(F.collect_list(F.struct("_back", "_value")), asc=False), lambda x: x["_value"])
+    step = lambda now, v: F.when(now.isNull() | v.isNull(), v).otherwise((f32(a) * v + (f32(1.0) - f32(a)) * now).cast("float"))
+    folded = ranked.groupBy(*keys).agg(F.aggregate(told, F.lit(None).cast("float"), step).alias("ema"))
+    counts = rows.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("count"))
+    return folded.join(counts, same(folded, counts, {k: f"_of_{k}" for k in keys})).select(*keys, "ema", "count")
+
+
+def _mapped_ranges(rows: DataFrame, a: float, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """A range of a key's n rows in order takes an average e to e * (1 - a) ** n + more; a null in it forgets e and what came before."""
+    place = [*order, "_value"]
+    parts = ranged(rows, list(keys), place)
+    own = W.partitionBy(*keys, "_range").orderBy(*[F.desc(c) for c in place])
+    parts = parts.withColumn("_back", F.row_number().over(own)).withColumn("_nulls", F.sum(F.col("_value").isNull().cast("int")).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    kept = F.when(F.col("_nulls") == 0, F.col("_value").cast("double"))
+    weight = F.lit(a) * F.pow(F.lit(1.0 - a), F.col("_back") - 1)
+    maps = parts.groupBy(*keys, "_range").agg(
+        F.sum(weight * kept).alias("more"), F.count(kept).alias("n"), F.max_by(kept, F.when(kept.isNotNull(), F.col("_back"))).alias("first"), F.max(F.col("_value").isNull()).alias("anew"), F.count(F.lit(1)).alias("rows")
+    )
+    told = F.sort_array(F.collect_list(F.struct("_range", "more", "n", "first", "anew")))
+
+    def step(now: Column, m: Column) -> Column:
+        now = F.when(~m["anew"], now)
+        return F.when(m["n"] == 0, now).otherwise(F.coalesce(now, m["first"]) * F.pow(F.lit(1.0 - a), m["n"]) + m["more"])
+
+    return maps.groupBy(*keys).agg(F.aggregate(told, F.lit(None).cast("double"), step).cast("float").alias("ema"), F.sum("rows").alias("count"))
 
 
 def token_stats(items: DataFrame, config: Config, *, before: DataFrame | None = None, order: tuple[str, ...] = ("created_at", "item_id")) -> DataFrame:

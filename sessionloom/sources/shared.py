@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,3 +44,23 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         self.close()
+
+
+_kept: dict[str, Scratch] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back, for plans that read it several times or need its rows' partitions to stay; it goes when the program ends."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _kept:
+        _kept[app] = Scratch(spark)
+        atexit.register(_close, app)
+    return _kept[app].keep(df)
+
+
+def _close(app: str) -> None:
+    try:
+        _kept.pop(app).close()
+    except Exception:  # the JVM may have gone first
+        return

@@ -2,101 +2,102 @@
 
 from __future__ import annotations
 
-import heapq
-import pickle
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.items import enrich
-from ..operators.predict import event_type
+from ..operators.predict import event_type, memory
 from ..schema import Config
 from ..session import add
 from ..sources.jsonl import records
 from ..sources.shared import Scratch
 from ..sources.store import KEYS, Store
 
-#: Rows of a key in a micro-batch that are sorted in memory; more are sorted in parts, on local disk, and merged.
-RUN_ROWS, CHUNK_ROWS = 1 << 18, 1 << 13
-
-
 def item_stream(spark: SparkSession, path: str, session: str = "default", *, adapter: str = "stdio", per_trigger: int = 100) -> DataFrame:
     """Items of JSON-lines files as they appear in a folder. Records without an id get a random one."""
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", per_trigger).text(path)
     return enrich(records(lines, F.lit(session)), adapter=adapter)
 
 
-def _read_run(path: Path, order: list[str], value: str) -> Iterator[tuple[tuple, float]]:
-    with path.open("rb") as file:
-        while True:
-            try:
-                chunk = pickle.load(file)
-            except EOFError:
-                return
-            places = [[(1, 0) if gone else (0, x) for x, gone in zip(chunk[c], chunk[c].isna(), strict=True)] for c in order]
-            yield from zip(zip(*places, strict=True), chunk[value].to_numpy(np.float32), strict=True)
-
-
-def in_order(batches: Iterator[pd.DataFrame], order: list[str], value: str, limit: int = RUN_ROWS) -> Iterator[np.float32]:
-    """The values of all batches in stable ``order``, nulls last; holds about ``limit`` rows, and a chunk of each run on disk."""
-    held: list[pd.DataFrame] = []
-    with tempfile.TemporaryDirectory() as folder:
-        paths: list[Path] = []
-
-        def write() -> None:
-            run = pd.concat(held).sort_values(order, kind="stable")
-            paths.append(Path(folder) / str(len(paths)))
-            with paths[-1].open("wb") as file:
-                for at in range(0, len(run), CHUNK_ROWS):
-                    pickle.dump(run.iloc[at : at + CHUNK_ROWS], file)
-            held.clear()
-
-        for batch in batches:
-            held.append(batch[[*order, value]])
-            if sum(map(len, held)) >= limit:
-                write()
-        if not paths:
-            yield from pd.concat(held).sort_values(order, kind="stable")[value].to_numpy(np.float32)
-            return
-        if held:
-            write()
-        for _, v in heapq.merge(*(_read_run(p, order, value) for p in paths), key=lambda row: row[0]):
-            yield v
+class _Averages(StatefulProcessor):
+    """A key's average and count, kept as state; see ``running_ema``."""
 
+    def __init__(self, alpha: float, value: str, order: list[str], idle_ms: int | None):
+        self.alpha, self.value, self.order, self.idle_ms = np.float32(max(0.0, min(1.0, alpha))), value, order, idle_ms
+        self.last = memory(alpha)
 
-def running_ema(rows: DataFrame, alpha: float, keys: dict[str, str], value: str, order: list[str]) -> DataFrame:
-    """The keys (name to type) with ema and count after each micro-batch, of keys that it touched.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("average", "ema double, count long", self.idle_ms)
 
-    Values of a key are folded in ``order`` within a micro-batch, batches in order of arrival: equal to the batch
-    operator if rows arrive in that order. A key of any size takes bounded memory (see in_order). State survives restarts through the query's checkpoint.
-    """
-    a = np.float32(max(0.0, min(1.0, alpha)))
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        self.state.update((float(initialState["ema"].iloc[0]), int(initialState["count"].iloc[0])))
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, count = state.get if state.exists else (None, 0)
-        ema = None if ema is None else np.float32(ema)
-        for v in in_order(batches, order, value):
-            ema = v if ema is None else np.float32(a * v + (np.float32(1) - a) * ema)
-            count += 1
-        state.update((float(ema), count))
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "ema": [ema], "count": [count]})
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, count = self.state.get() if self.state.exists() else (None, 0)
+        held, new = None, 0
+        for part in rows:
+            part = part[[*self.order, self.value]]
+            held = (part if held is None else pd.concat([held, part])).sort_values(self.order, kind="stable", na_position="first")
+            # Where nothing is forgotten, alpha is 0 and a first value stays what it is.
+            held, new = held.head(1) if self.last is None else held.tail(self.last), new + len(part)
+        if self.last is not None and new > self.last:
+            now = None
+        rest = np.float32(1) - self.alpha
+        now = None if now is None else np.float32(now)
+        for v in held[self.value].to_numpy(np.float32, na_value=np.nan):
+            now = None if np.isnan(v) else v if now is None else now if self.last is None else np.float32(self.alpha * v + rest * now)
+        self.state.update((None if now is None else float(now), count + new))
+        yield pd.DataFrame({**dict(zip(key_names(len(key)), [[k] for k in key], strict=True)), "ema": [now], "count": [count + new]})
 
-    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", ema float, count long"
-    return rows.select(*keys, *order, value).groupBy(*keys).applyInPandasWithState(fold, schema, "ema double, count long", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def ema_stream(items: DataFrame, config: Config) -> DataFrame:
-    """Running averages of items' tokens by session and event type, in order of created_at and id."""
+def key_names(n: int) -> list[str]:
+    return [f"key{i}" for i in range(n)]
+
+
+def running_ema(rows: DataFrame, alpha: float, keys: dict[str, str], value: str, order: list[str], *, before: DataFrame | None = None, idle: timedelta | None = None) -> DataFrame:
+    """The keys (name to type) with ema and count after each micro-batch, of keys that it touched.
+
+    Values of a key are folded in ``order``, nulls first, within a micro-batch, batches in order of arrival: equal to the batch operator if rows
+    arrive in that order. Only the last values that still weigh are held (see ``predict.memory``), so a key of any size takes bounded memory. State
+    begins with ``before`` (keys, ema, count), survives restarts through the query's checkpoint, and goes when a key has been ``idle``. It needs the state store
+    that ``start`` asks for.
+    """
+    out = ", ".join(f"{k} {t}" for k, t in zip(key_names(len(keys)), keys.values(), strict=True)) + ", ema float, count long"
+    made = _Averages(alpha, value, order, None if idle is None else int(idle.total_seconds() * 1000))
+    first = None if before is None else before.select(*keys, F.col("ema").cast("double").alias("ema"), F.col("count").cast("long").alias("count")).groupBy(*keys)
+    grouped = rows.select(*keys, *order, F.col(value).cast("double").alias(value)).groupBy(*keys)
+    found = grouped.transformWithStateInPandas(made, out, "Update", "None" if idle is None else "ProcessingTime", first)
+    return found.withColumnsRenamed(dict(zip(key_names(len(keys)), keys, strict=True)))
+
+
+def start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query with the state store that custom state needs, and leaves the session's setting as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return writer.start()
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
+def ema_stream(items: DataFrame, config: Config, *, before: DataFrame | None = None, idle: timedelta | None = None) -> DataFrame:
+    """Running averages of items' tokens by session and event type, in order of created_at and id; ``before`` are a store's statistics."""
     rows = items.withColumn("event_type", event_type())
-    return running_ema(rows, config.prediction.ema_alpha, {"session_id": "string", "event_type": "string"}, "token_count", ["created_at", "item_id"])
+    return running_ema(rows, config.prediction.ema_alpha, {"session_id": "string", "event_type": "string"}, "token_count", ["created_at", "item_id"], before=before, idle=idle)
 
 
 def latest_state(updates: DataFrame, keys: list[str], folder: str) -> DataFrame:
@@ -105,8 +106,7 @@ def latest_state(updates: DataFrame, keys: list[str], folder: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    query = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    start(updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True), updates.sparkSession).awaitTermination()
     rows = updates.sparkSession.read.parquet(f"{folder}/rows")
     return rows.groupBy(*keys).agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
 

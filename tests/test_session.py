@@ -14,7 +14,7 @@ from sessionloom.protocol import Server
 from sessionloom.schema import WIRE, Config, Context, Model, Reserve
 from sessionloom.session import Session
 from sessionloom.sources.store import Store
-from sessionloom.streaming.ingest import ema_stream, in_order, ingest_into, item_stream
+from sessionloom.streaming.ingest import ema_stream, ingest_into, item_stream, latest_state, running_ema, start
 
 
 def write(path, rows):
@@ -88,7 +88,7 @@ def test_ema_stream_equals_batch(spark, tmp_path):
         os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # files arrive in this order
     config = Config()
     items = item_stream(spark, str(folder), "s", per_trigger=1)
-    ema_stream(items, config).writeStream.format("memory").queryName("emas").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    start(ema_stream(items, config).writeStream.format("memory").queryName("emas").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True), spark).awaitTermination()
     got = {r.event_type: (r.ema, r["count"]) for r in spark.sql("SELECT event_type, max_by(ema, count) ema, max(count) count FROM emas GROUP BY event_type").collect()}
     store = Store(spark, str(tmp_path / "db"))
     ingest_into(store, item_stream(spark, str(folder), "s"), config, str(tmp_path / "c2")).awaitTermination()
@@ -182,30 +182,64 @@ def test_ema_values(spark):
     assert (row.ema, row["count"]) == (106.25, 3)
 
 
-def test_ema_of_a_hot_key_is_folded_batch_by_batch(spark):
-    rows = [("hot" if i % 3 else None, "e" if i % 40 else "f", (i * 37) % 500, None if i == 101 else (i * i) % 997 / 7) for i in range(500)]
-    df = spark.createDataFrame(rows, "session_id string, event_type string, at int, v double")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    try:
-        out = predict.ema(df, 0.3, value="v", order=("at",))
-        got = {(r.session_id, r.event_type): (r.ema, r["count"]) for r in out.collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want, a = {}, np.float32(0.3)
-    for s, e, _, v in sorted(rows, key=lambda r: r[2]):
-        now, count = want.get((s, e), (None, 0))
+def serial(rows, alpha):
+    """Averages and counts of (key, value) rows in their order, one after the other."""
+    out, a = {}, np.float32(alpha)
+    for key, v in rows:
+        now, count = out.get(key, (None, 0))
         v = None if v is None else np.float32(v)
-        want[s, e] = (v if now is None or v is None else np.float32(a * v + (np.float32(1) - a) * now), count + 1)
-    assert got == {k: (float(m), n) for k, (m, n) in want.items()} and len(got) == 4
-    assert "collect_list" not in out._jdf.queryExecution().toString()
+        out[key] = (v if now is None or v is None else np.float32(a * v + (np.float32(1) - a) * now), count + 1)
+    return {k: (None if m is None else float(m), n) for k, (m, n) in out.items()}
+
+
+@pytest.mark.parametrize("alpha", [0.25, 1.0, 0.0, 0.01])
+def test_ema_of_a_hot_key_is_folded_in_parts(spark, alpha):
+    rows = [("hot" if i % 3 else None, "e" if i % 40 else "f", (i * 37) % 2500, None if i in (101, 2051) else (i * i) % 997 / 7 + 1) for i in range(2500)]
+    df = spark.createDataFrame(rows, "session_id string, event_type string, at int, v double").repartition(5)
+    out = predict.ema(df, alpha, value="v", order=("at",))
+    got = {(r.session_id, r.event_type): (r.ema, r["count"]) for r in out.collect()}
+    want = serial([((s, e), v) for s, e, _, v in sorted(rows, key=lambda r: r[2])], alpha)
+    if alpha >= 0.25:
+        assert got == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2 and "Python" not in plan and "InArrow" not in plan
+    assert got.keys() == want.keys() and len(got) == 4
+    for key, (m, n) in want.items():
+        assert got[key][1] == n and got[key][0] == (None if m is None else pytest.approx(m, rel=1e-5))
+
+
+def test_a_stream_of_averages_goes_on(spark, tmp_path):
+    """From stored averages, over micro-batches of more rows than are held, and after a restart; keys that come no more stay as they are."""
+    folder, made = tmp_path / "in", []
+    folder.mkdir()
+
+    def arrive(k, n):
+        rows = [("a" if (i + k) % 5 else "b", (i * 7919) % n, float((i * i + k) % 101)) for i in range(n)]
+        made.extend((key, v) for key, _, v in sorted(rows, key=lambda r: r[1]))
+        pd.DataFrame(rows, columns=["key", "at", "v"]).to_parquet(folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
 
+    before = spark.createDataFrame([("a", 50.0, 3), ("c", 7.0, 1)], "key string, ema double, count long")
 
-def test_values_of_a_hot_key_are_merged_in_order():
-    rows = pd.DataFrame({"at": pd.to_datetime([(i * 37) % 40 if i % 9 else None for i in range(300)], unit="s"), "id": [f"i{(i * 7) % 11}" for i in range(300)], "v": range(300)})
-    want = rows.sort_values(["at", "id"], kind="stable")["v"].tolist()
-    for limit in (10, 64, 1000):
-        batches = (rows.iloc[i : i + 10] for i in range(0, 300, 10))
-        assert [int(v) for v in in_order(batches, ["at", "id"], "v", limit)] == want
+    def run():
+        rows = spark.readStream.schema("key string, at long, v double").option("maxFilesPerTrigger", 1).parquet(str(folder))
+        updates = running_ema(rows, 0.25, {"key": "string"}, "v", ["at"], before=before)
+        return {r.key: (r.ema, r["count"]) for r in latest_state(updates, ["key"], str(tmp_path / "c")).collect()}
+
+    def wanted():
+        a = serial([("a", 50.0), *(r for r in made if r[0] == "a")], 0.25)["a"]
+        return {"a": (a[0], a[1] + 2), "b": serial([r for r in made if r[0] == "b"], 0.25)["b"]}
+
+    arrive(0, 900)
+    arrive(1, 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        assert run() == wanted()
+        arrive(2, 60)
+        assert run() == wanted()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
 def test_memory(spark):
