@@ -64,6 +64,18 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(bounded, schema)
 
 
+def bounded_sample(docs: DataFrame, id_col: str, text_col: str, rows: int, name: str, chars: int) -> list[str]:
+    """Beginnings of ``chars`` code points of ``rows`` texts at most: those of lowest hash of id and text, equal rows once, null texts never; sorted.
+
+    Rows are thinned by hash before they are ordered, so the job orders a few times what it returns.
+    """
+    n = docs.count()
+    mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit(name))
+    picked = docs.where(F.col(text_col).isNotNull()).select(mark.alias("mark"), F.substring(text_col, 1, chars).alias("part"))
+    picked = picked.where(F.pmod("mark", F.lit(1 << 30)) < int(min(1.0, 4 * rows / max(n, 1)) * (1 << 30)))
+    return sorted(r.part for r in picked.groupBy("mark").agg(F.first("part").alias("part")).orderBy("mark").limit(rows).collect())
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores put before it until no column has it."""
     while name.lower() in {c.lower() for c in taken}:

@@ -7,20 +7,24 @@ longest matches; each costs log2 of the labelled text's length. All blocks of a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ._shared import flat_bytes, fresh, mapped, slices
+from ._shared import BATCH_BYTES, cut, flat_bytes, fresh, mapped, slices
 
-#: Rows a language (expected) that train, and characters of each, from a place that depends on its id.
+#: Rows a language at most that train, and characters of each, from a place that depends on id and text.
 TRAIN_ROWS, TRAIN_CHARS = 128, 400
-#: Languages at most: each takes about 1.2 MB of a model, and a model is sent to every executor.
-MOST_LANGUAGES = 200
+#: Languages of a model. Each takes about 1.2 MB at most; where there are more, a worker holds one model at a time.
+AT_ONCE = 64
+#: Bytes of a table of names that is broadcast.
+SENT_BYTES = 1 << 20
 #: A longer text is parsed in blocks of so many bytes; a block's end also ends a phrase.
 BLOCK = 1024
 
@@ -142,15 +146,27 @@ class Model:
         kept = np.concatenate([[0], np.cumsum(keep)])
         return cls[keep], kept[offsets]
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def costs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the best language's place, its cost, and the second's (infinite where there is none)."""
         cost = self.phrases(data, offsets) * self.bits[:, None]
         best = cost.argmin(0)
         low = cost[best, np.arange(cost.shape[1])]
-        if len(cost) == 1:
-            return [self.languages[0]] * len(low), np.ones(len(low))
-        second = np.partition(cost, 1, axis=0)[1]
-        score = np.clip(1 - low / np.maximum(second, 1e-9), 0, 1)
-        return [self.languages[b] for b in best.tolist()], score
+        return best, low, np.partition(cost, 1, axis=0)[1] if len(cost) > 1 else np.full(len(low), np.inf)
+
+
+def predict(models: Iterable[Model], data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Names and scores by models of different languages, in order of names; of equal costs the first counts."""
+    n = len(offsets) - 1
+    names, low, second, known = [""] * n, np.full(n, np.inf), np.full(n, np.inf), 0
+    for m in models:
+        best, own, next_ = m.costs(data, offsets)
+        better = own < low
+        second = np.minimum(np.minimum(second, next_), np.where(better, low, own))
+        low = np.where(better, own, low)
+        known += len(m.languages)
+        for i in np.flatnonzero(better).tolist():
+            names[i] = m.languages[best[i]]
+    return names, np.ones(n) if known == 1 else np.clip(1 - low / np.maximum(second, 1e-9), 0, 1)
 
 
 def build_model(samples: dict[str, bytes]) -> Model:
@@ -178,52 +194,85 @@ def build_model(samples: dict[str, bytes]) -> Model:
     return Model(languages, classes, *displaced(rows, width), start, np.array(fresh, np.int32), np.array(bits))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
-    """Learns from rows with text and lang that are not held out: about ``train_rows`` a language, those of lowest hash.
+def sampled(rows: DataFrame, lang: str, mark: str, train_rows: int) -> DataFrame:
+    """Of each language the ``train_rows`` rows of lowest mark, rows of one mark once.
 
-    Null texts, languages and held-out rows teach nothing; repeated rows count each; an empty table gives a model without languages.
-    More than MOST_LANGUAGES languages are an error.
+    Rows are thinned before they are ranked, by their language's count. Only a language that many repeated rows leave with too few is read
+    again, its marks put together first.
+    """
+    counts = cut(rows.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")))
+    # A dirty column may have names without end; only a small table of them is sent to all executors.
+    small = counts.agg(F.coalesce(F.sum(F.length(lang) + 32), F.lit(0))).first()[0] <= SENT_BYTES
+    sent = lambda df: F.broadcast(df) if small else df
+    columns = [c for c in rows.columns if c not in (lang, mark)]
+    one_each = lambda df: df.groupBy(lang, mark).agg(*[F.first(c).alias(c) for c in columns])
+    ranked = lambda df: df.withColumn("_k", F.row_number().over(W.partitionBy(lang).orderBy(mark))).where(F.col("_k") <= train_rows).drop("_k")
+    share = F.least(F.lit(1.0), 4.0 * train_rows / F.col("_n"))
+    thinned = rows.join(sent(counts.withColumnRenamed(lang, "_of")), F.col(lang) == F.col("_of")).where(F.pmod(mark, F.lit(1 << 30)) < share * (1 << 30))
+    quick = cut(ranked(one_each(thinned.select(*rows.columns))))
+    got = quick.groupBy(F.col(lang).alias("_of")).agg(F.count(F.lit(1)).alias("_got"))
+    short = counts.join(got, F.col(lang) == F.col("_of"), "left").where(F.coalesce("_got", F.lit(0)) < F.least(F.lit(train_rows), F.col("_n")))
+    short = cut(short.select(F.col(lang).alias("_of")))
+    if short.isEmpty():
+        return quick
+    rest = ranked(one_each(rows.join(sent(short), F.col(lang) == F.col("_of"), "left_semi")))
+    return quick.join(sent(short), F.col(lang) == F.col("_of"), "left_anti").unionByName(rest)
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, at_once: int = AT_ONCE) -> list[Broadcast]:
+    """Models of ``at_once`` languages each, learned from rows with text and lang that are not held out: ``train_rows`` a language at most, those of
+    lowest hash of id and text, so also of rows without or with equal ids.
+
+    Null texts, languages and held-out rows teach nothing; rows of one id and text count once; an empty table gives no model. The driver holds the
+    names of all languages, and samples and automata of ``at_once`` of them.
     """
+    lang = F.col(lang_col).cast("string")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if not counts:
-        return build_model({})
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    chance = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, train_rows / n))])
-    mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("language"))
+    mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit("language"))
     place = F.pmod(mark, F.greatest(F.lit(1), F.length(text_col) - train_chars + 1)).cast("int") + 1
     part = F.lower(F.substring(F.col(text_col), place, F.lit(train_chars)))
-    sample = rows.where(F.pmod(mark, F.lit(1 << 30)) < F.element_at(chance, F.col(lang_col).cast("string")) * (1 << 30))
-    texts: dict[str, list[bytes]] = {}
-    for r in sample.select(F.col(lang_col).cast("string").alias("lang"), part.alias("part"), mark.alias("mark")).collect():
-        texts.setdefault(r.lang, []).append(r.part.encode())
-    return build_model({k: b" ".join(sorted(v)) for k, v in texts.items()})
-
-
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    sample = cut(sampled(rows.select(lang.alias("lang"), mark.alias("mark"), part.alias("part")), "lang", "mark", train_rows))
+    names = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    models = []
+    for i in range(0, len(names), at_once):
+        texts: dict[str, list[bytes]] = {}
+        for r in sample.where(F.col("lang").isin(names[i : i + at_once])).collect():
+            texts.setdefault(r.lang, []).append(r.part.encode())
+        models.append(docs.sparkSession.sparkContext.broadcast(build_model({k: b" ".join(sorted(v)) for k, v in texts.items()})))
+    return models
+
+
+def one_by_one(models: list[Broadcast]) -> Iterator[Model]:
+    """The models, of which only a single one is kept in memory between calls."""
+    if len(models) == 1:
+        yield models[0].value
+        return
+    for m in models:
+        yield m.load_from_path(m._path)
+
+
+def identify(docs: DataFrame, models: list[Broadcast], *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default) with lang_pred and score added.
 
-    A null text, or one without a letter, is ``und`` with score 0, and so is every text where nothing was learned. The
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text where nothing was learned (no ``models``). The
     score is 1 - cost of the best / cost of the second language (1 where only one was learned); a tie goes to the
     smaller name with score 0. Columns of these names that are there already are replaced. The whole text counts. Repeated rows give
     equal results, an empty table an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     asked = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col))
     name = fresh("asked", keep)
     rows = docs.select(*keep, asked.alias(name))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            for some in slices(batch, name):
+            # Several models are loaded in turn, so for as many texts at once as the batch holds.
+            for some in slices(batch, name, 1 << 20 if len(models) < 2 else BATCH_BYTES):
                 asked = some.column(name)
                 names, score = ["und"] * some.num_rows, np.zeros(some.num_rows)
-                if m.languages:
-                    names, score = m.predict(*flat_bytes(asked))
+                if models:
+                    names, score = predict(one_by_one(models), *flat_bytes(asked))
                     known = asked.is_valid().to_numpy(zero_copy_only=False)
                     names = [x if k else "und" for x, k in zip(names, known.tolist(), strict=True)]
                     score = np.where(known, score, 0.0)

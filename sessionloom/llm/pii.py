@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import flat_bytes, fresh, mapped, slices
+from ._shared import bounded_sample, flat_bytes, fresh, mapped, slices
 from ._spans import FOUND, FOUND_TYPE, Span, lookup, rows_of
 
 TYPES = ("email", "ip", "card", "phone")
@@ -25,7 +25,7 @@ KINDS = (*TYPES, *(f"crf_{t}" for t in TYPES))
 MOST_TOKENS = 16
 #: Tokens before a segment that may hold its cue, and tokens after which a long stretch gives up those whose segmentation is settled.
 CUE_TOKENS, HELD = 4, 4096
-#: Rows (expected) of which those with digits or @ train the field, characters of each, and examples made besides.
+#: Rows at most of which those with digits or @ train the field, characters of each, and examples made besides.
 TRAIN_ROWS, TRAIN_CHARS, MADE = 3000, 4000, 240
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -74,7 +74,9 @@ def base_spans(text: str) -> list[Span]:
 # ---- the field ----
 
 _CUES = {"mail": 0, "email": 0, "contact": 0, "ip": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3}
-N_FEATURES = 42
+#: The features from RULES on say that a segment can't be of a type; their weights are fixed.
+RULES = 42
+N_FEATURES, NEVER = RULES + len(TYPES), -1e6
 _JOINS = "+.@-_%"
 
 
@@ -94,7 +96,21 @@ def features(s: str, left: str, right: str, cue: str) -> list[int]:
     out += [31] * (len(groups) > 1 and all(len(g) == 4 for g in groups)) + [32] * (len(groups) > 2 and len(groups[-1]) == 4 and len(groups[-2]) == 3)
     out += [33] * (left[-1:].isalnum() or left[-1:] in _JOINS and left[-1:] != "") + [34] * (right[:1].isalnum() or right[:1] in _JOINS and right[1:].isalnum())
     out += [40] * (left[-1:] in (" ", "(") and left[:-1].isdigit()) + [41] * (right[:1] in (" ", ")") and right[1:].isdigit())
-    return out + ([35 + _CUES[cue]] if cue in _CUES else []) + [39] * (s.isdigit())
+    return out + ([35 + _CUES[cue]] if cue in _CUES else []) + [39] * (s.isdigit()) + [RULES + y for y, may in enumerate(possible(s, digits, groups)) if not may]
+
+
+_EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def possible(s: str, digits: str, groups: list[str]) -> tuple[bool, bool, bool, bool]:
+    """What a segment may be: an address has a domain, an ip four parts up to 255, a card passes Luhn, a phone number has 7 to 15 digits,
+    more than 11 only behind a plus or 00, and neither an address' nor a book number's form."""
+    local, _, domain = s.partition("@")
+    ip = s.count(".") == 3 and len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and sum(map(len, groups)) + 3 == len(s)
+    card = 12 <= len(digits) <= 19 and luhn(digits) and all(c in "0123456789 -" for c in s)
+    plain = bool(re.fullmatch(r"[0-9+() .-]+", s)) and not (s.count(".") == 3 and len(groups) == 4) and "+" not in s[1:]
+    phone = plain and 7 <= len(digits) <= (15 if s[:1] == "+" or digits[:2] == "00" else 11) and len(groups[-1]) > 1
+    return bool(local and _EMAIL_DOMAIN.fullmatch(domain)), ip, card, phone
 
 
 @dataclass
@@ -293,15 +309,18 @@ def fit(examples: list[tuple[str, list[Span]]], rounds: int = 30, rate: float =
             data.append((w, [(k, gold[x]) for k, (i, j, _) in enumerate(w.segments) if (x := (w.starts[i], w.ends[j - 1])) in gold]))
     weights = np.zeros((len(TYPES), N_FEATURES))
     weights[:, 0] = -2.0
+    rules = np.arange(len(TYPES))
+    weights[rules, RULES + rules] = NEVER
     seen = np.full_like(weights, 1e-6)
     for _ in range(rounds):
         grad = -decay * weights * len(data)
+        grad[:, RULES:] = 0
         for w, gold in data:
             p, _ = marginals(w, weights)
             for k, y in gold:
                 p[k, y] -= 1
             for k in np.flatnonzero(np.abs(p).sum(1) > 1e-4).tolist():
-                grad[:, w.segments[k][2]] -= p[k][:, None]
+                grad[:, [f for f in w.segments[k][2] if f < RULES]] -= p[k][:, None]
         seen += grad**2
         weights += rate * grad / np.sqrt(seen)
     return weights
@@ -321,9 +340,13 @@ def made_examples(n: int = MADE, seed: int = 3) -> list[tuple[str, list[Span]]]:
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{num(2)} {num(2)} {num(4)} {num(4)}"])
+        if r.random() < 0.4:  # forms of other places stand behind a word that tells
+            d = "0" + r.choice("123456789")
+            form = r.choice([f"{d}{num(1)} {num(7)}", f"{d}{num(2)} {num(7)}", f"{d} {num(2)} {num(2)} {num(2)} {num(2)}", f"{d}{num(2)}-{num(6)}", f"{d} {num(4)} {num(4)}"])
+            return ("cue", form)
+        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{num(2)} {num(2)} {num(4)} {num(4)}"])
 
-    plain = [lambda: num(r.randint(5, 11)), lambda: f"{num(1)}.{num(7)}", lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(3)},{num(3)},{num(3)}", lambda: num(24), lambda: f"@{word()}", lambda: f"{num(4)} {num(4)}"]
+    plain = [lambda: num(r.randint(5, 11)), lambda: f"{num(1)}.{num(7)}", lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(3)},{num(3)},{num(3)}", lambda: num(24), lambda: f"@{word()}", lambda: f"{num(4)} {num(4)}", lambda: f"0{num(2)} {num(7)}", lambda: f"0{num(1)} {num(4)} {num(4)}", lambda: f"{num(3)} {num(4)}", lambda: f"{num(1)}-{num(3)}-{num(5)}-{num(1)}", lambda: f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}"]
     typed = [lambda: f"{word()}.{num(2)}@{word()}.example.{r.choice(['com', 'org'])}", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), card, phone]
     out = []
     for _ in range(n):
@@ -332,6 +355,8 @@ def made_examples(n: int = MADE, seed: int = 3) -> list[tuple[str, list[Span]]]:
             y = r.randrange(8)
             s = typed[y]() if y < 4 else r.choice(plain)()
             text += " "
+            if isinstance(s, tuple):
+                text, s = f"{text}{r.choice(['tel', 'phone', 'call', 'fax'])}{r.choice([' ', ': ', '. '])}", s[1]
             if y < 4:
                 spans.append((len(text), len(text) + len(s), y))
             text += s + r.choice(["", ",", "."]) + " " + " ".join(word() for _ in range(r.randint(1, 6)))
@@ -340,11 +365,8 @@ def made_examples(n: int = MADE, seed: int = 3) -> list[tuple[str, list[Span]]]:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Fits the field to made examples and to rows labelled by the patterns: those of about ``train_rows`` rows of lowest hash that have a digit or @."""
-    n = docs.count()
-    mark = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("pii")), F.lit(1 << 30))
-    rows = docs.where((mark < int(min(1.0, train_rows / max(n, 1)) * (1 << 30))) & F.col(text_col).rlike("[0-9@]"))
-    texts = sorted(r[0] for r in rows.select(F.substring(text_col, 1, TRAIN_CHARS)).collect())
+    """Fits the field to made examples and to rows labelled by the patterns: those of ``train_rows`` rows, of lowest hash of id and text, that have a digit or @."""
+    texts = [t for t in bounded_sample(docs, id_col, text_col, train_rows, "pii", TRAIN_CHARS) if re.search("[0-9@]", t)]
     return fit(made_examples() + [(t, base_spans(t)) for t in texts])
 
 

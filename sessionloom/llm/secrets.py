@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spans import FOUND, FOUND_TYPE, Span, lookup, rows_of, runs
-from ._shared import flat_bytes, fresh, mapped, slices
+from ._shared import bounded_sample, flat_bytes, fresh, mapped, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -103,15 +103,12 @@ def made_strings(n: int, seed: int = 1) -> list[str]:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Labelled samples: values in base matches and made strings are random; other words of about ``train_rows`` rows are ordinary.
+    """Labelled samples: values in base matches and made strings are random; other words of ``train_rows`` rows at most are ordinary.
 
     Ordinary samples include words joined as identifiers often are: by ``_`` or ``-``, in camel case, with a short number.
-    The sample is the rows of lowest hash, each with at most 4,000 characters.
+    The sample is the rows of lowest hash of id and text, each with at most 4,000 characters; equal rows count once.
     """
-    n = docs.count()
-    mark = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("secrets")), F.lit(1 << 30))
-    rows = docs.where(F.col(text_col).isNotNull() & (mark < int(min(1.0, train_rows / max(n, 1)) * (1 << 30))))
-    texts = sorted(r[0] for r in rows.select(F.substring(text_col, 1, 4000)).collect())
+    texts = bounded_sample(docs, id_col, text_col, train_rows, "secrets", 4000)
     hidden, ordinary = made_strings(MADE), ["get_value", "max-length", "HttpRequestHandler", "user_id_2024", "index.html"]
     r = random.Random(2)
     for t in texts:

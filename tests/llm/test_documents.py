@@ -173,6 +173,47 @@ def test_phrases_equal_a_plain_parse():
     assert m.phrases(data, offsets).tolist() == want
 
 
+#: An id that isn't held out, so that its rows may be learned from.
+LEARNED = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+
+
+@pytest.mark.parametrize("kind", ["null", "equal"])
+def test_languages_of_rows_without_ids(spark, kind):
+    """Ids that are null or all the same don't decide what is learned: texts tell rows apart, and repeated rows crowd none out."""
+    rows = labelled() + [(None, "und und und", "cc", "s")] * 600 + [(None, "zug um zug", "cc", "s")]
+    d = docs(spark, rows).withColumn("doc_id", F.lit(None if kind == "null" else LEARNED).cast("long"))
+    models = language_id.train(d, train_rows=4)
+    assert [m.value.languages for m in models] == [["aa", "bb", "cc"]]
+    got = {r.text: r.lang_pred for r in language_id.identify(d, models).collect()}
+    want = {t: lang for _, t, lang, _ in rows}
+    assert sum(got[t] == want[t] for t in want) > 0.9 * len(want)
+
+
+def test_languages_in_blocks_are_the_same(spark):
+    """300 languages in models of 64, and in one."""
+    r = random.Random(8)
+    words = {f"l{k:03d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for k in range(300)}
+    d = docs(spark, [(10 * k + i, " ".join(r.choices(w, k=12)), lang, "s") for k, (lang, w) in enumerate(words.items()) for i in range(3)])
+    models = language_id.train(d)
+    assert [len(m.value.languages) for m in models] == [64, 64, 64, 64, 44]
+    rows = lambda models: sorted((x.doc_id, x.lang_pred, x.score) for x in language_id.identify(d, models).collect())
+    found = rows(models)
+    assert found == rows(language_id.train(d, at_once=1000))
+    assert sum(words[name] == words[f"l{i // 10:03d}"] for i, name, _ in found) > 890
+
+
+def test_samples_are_bounded(spark):
+    """Rows of one id, or without one, are in or out each for itself; equal rows count once; no sample is larger than said."""
+    from sessionloom.llm._shared import bounded_sample
+
+    rows = [(None, f"text {i}") for i in range(2_000)] + [(None, "again")] * 3_000 + [(1, None)]
+    for n in (10, 50):
+        found = bounded_sample(docs(spark, rows), "doc_id", "text", n, "x", 6)
+        assert len(found) == n and all(len(t) <= 6 for t in found)
+    assert bounded_sample(docs(spark, rows[:5]), "doc_id", "text", 50, "x", 100) == sorted(t for _, t in rows[:5])
+    assert bounded_sample(docs(spark, [(1, None)]), "doc_id", "text", 50, "x", 100) == []
+
+
 def test_language_without_training_rows(spark, awkward, empty):
     got = language_id.identify(awkward, language_id.train(awkward)).collect()
     assert len(got) == awkward.count() and {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
@@ -347,6 +388,61 @@ def test_field_on_new_examples(field):
     assert right >= 0.95 * (right + missed) and wrong <= 0.05 * right
 
 
+#: Labelled by hand, in forms that no example is made in; each name's spans, in order.
+FORMS = [
+    ("write to jo.smith+news@mail.example.co.uk today", ["email:jo.smith+news@mail.example.co.uk"]),
+    ("contact: A_B-C@sub-domain.example.museum, thanks", ["email:A_B-C@sub-domain.example.museum"]),
+    ("user@localhost is no address, nor @handle or a@b", []),
+    ("server 192.168.4.17 answered", ["ip:192.168.4.17"]),
+    ("from 8.8.4.4:53 to 172.31.255.1/16", ["ip:8.8.4.4", "ip:172.31.255.1"]),
+    ("10.0.0.256 is out of range, so is 300.1.2.3", []),
+    ("version 4.10.2 of 2021.06.30", []),
+    ("pay with 5555 5555 5555 4444 please", ["card:5555 5555 5555 4444"]),
+    ("card 3782 822463 10005 (amex)", ["card:3782 822463 10005"]),
+    ("visa 4111-1111-1111-1111", ["card:4111-1111-1111-1111"]),
+    ("order 4111 1111 1111 1112 shipped", []),
+    ("account 1234567812345678 closed", []),
+    ("ISBN 978-3-16-148410-0 and 0-306-40615-2", []),
+    ("call (415) 555-0134 now", ["phone:(415) 555-0134"]),
+    ("phone 415.555.0134", ["phone:415.555.0134"]),
+    ("or 212-555-0187 ext", ["phone:212-555-0187"]),
+    ("tel 030 1234567", ["phone:030 1234567"]),
+    ("fax: 0171 2345678", ["phone:0171 2345678"]),
+    ("phone 01 42 68 53 00", ["phone:01 42 68 53 00"]),
+    ("ring +44 20 7946 0958 or +49-30-901820", ["phone:+44 20 7946 0958", "phone:+49-30-901820"]),
+    ("born 1987-06-05 in room 204, ticket 00012345", []),
+    ("population 12 345 678 in 2020, area 357 022", []),
+    ("3.14159265 and 2.718281828 and 1,000,000", []),
+    ("lines 10-20 of 30-40, pages 100-199", []),
+]
+
+
+def quality(field):
+    """By type: (right, found, wanted) over FORMS, of the patterns and the field together."""
+    count = {t: [0, 0, 0] for t in pii.TYPES}
+    for text, wanted in FORMS:
+        got = {f"{pii.KINDS[k].removeprefix('crf_')}:{text[a:b]}" for a, b, k in pii.spans_of(text, field)}
+        for name in got | set(wanted):
+            kind = name.split(":")[0]
+            count[kind][0] += name in got and name in wanted
+            count[kind][1] += name in got
+            count[kind][2] += name in wanted
+    return count
+
+
+def test_forms_that_no_example_has(field):
+    count = quality(field)
+    right, found, wanted = (sum(c[i] for c in count.values()) for i in range(3))
+    assert right >= 0.85 * found and right >= 0.85 * wanted, count
+
+
+def test_field_never_breaks_a_rule(field):
+    for text in ("tel 978-3-16-148410-0", "ip 10.0.0.256", "card 4111 1111 1111 1112", "mail x@y", "phone 1.2.3.4", "host 999.10.10.10"):
+        for a, b, k in pii.field_spans(text, field):
+            s = text[a:b]
+            assert pii.possible(s, re.sub("[^0-9]", "", s), re.findall("[0-9]+", s))[k], (text, s, k)
+
+
 def test_field_dynamic_programs_equal_enumeration(field):
     import numpy as np
 
