@@ -15,10 +15,13 @@ from sessionloom.llm._shared import cut, table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language; those without a letter, so without one, go, null and empty texts among them. A null lang is filled in.
 
-    Repeated rows and null ids fare as their texts do; an empty table gives an empty result, as does one from whose rows no
-    language can be learned. Ties between languages keep the document.
+    Repeated rows and null ids fare as their texts do; an empty table gives an empty result. Where no language can be learned from the rows, the
+    documents with a letter stay as they are. Ties between languages keep the document.
     """
-    found = language_id.identify(docs, language_id.train(docs)).where(F.col("lang_pred") != "und")
+    models = language_id.train(docs)
+    if not models:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, models).where(F.col("lang_pred") != "und")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
