@@ -3,69 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-# Classes of the Unicode standard's word boundaries (annex 29), as far as no property of regular expressions names them.
-_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_MORE_LETTERS = r"\u02C2-\u02C5\u02D2-\u02D7\u02DE\u02DF\u02E5-\u02EB\u02ED\u02EF-\u02FF\u055A-\u055C\u055E\u058A\u05F3\uA708-\uA716\uA720\uA721\uA789\uA78A\uAB5B"
-_KATAKANA = r"\p{IsKatakana}\u3031-\u3035\u309B\u309C\u30A0\u30FC\uFF70"
-#: Scripts that set no spaces between words: each of their characters stands alone.
-_ALONE = r"\p{IsIdeographic}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsAhom}"
-_PICTURE = (
-    r"\xA9\xAE\u203C\u2049\u2122\u2139\u2194-\u2199\u21A9\u21AA\u231A\u231B\u2328\u2388\u23CF\u23E9-\u23F3\u23F8-\u23FA\u24C2\u25AA\u25AB\u25B6\u25C0\u25FB-\u25FE"
-    r"\u2600-\u2605\u2607-\u2612\u2614-\u2685\u2690-\u2705\u2708-\u2712\u2714\u2716\u271D\u2721\u2728\u2733\u2734\u2744\u2747\u274C\u274E\u2753-\u2755\u2757\u2763-\u2767"
-    r"\u2795-\u2797\u27A1\u27B0\u27BF\u2934\u2935\u2B05-\u2B07\u2B1B\u2B1C\u2B50\u2B55\u3030\u303D\u3297\u3299"
-    r"\x{1F000}-\x{1F0FF}\x{1F10D}-\x{1F10F}\x{1F12F}\x{1F16C}-\x{1F171}\x{1F17E}\x{1F17F}\x{1F18E}\x{1F191}-\x{1F19A}\x{1F1AD}-\x{1F1E5}\x{1F201}-\x{1F20F}\x{1F21A}\x{1F22F}"
-    r"\x{1F232}-\x{1F23A}\x{1F23C}-\x{1F23F}\x{1F249}-\x{1F3FA}\x{1F400}-\x{1F53D}\x{1F546}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F774}-\x{1F77F}\x{1F7D5}-\x{1F7FF}\x{1F80C}-\x{1F80F}"
-    r"\x{1F848}-\x{1F84F}\x{1F85A}-\x{1F85F}\x{1F888}-\x{1F88F}\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}\x{1FC00}-\x{1FFFD}"
-)
-
-
-def _token_pattern() -> str:
-    """One match a token or run of white space; of groups 1 to 3 one is a token's first character, none for white space.
-
-    Loops over groups are possessive, so that words of any length match without recursion.
-    """
-    extend = r"(?:[[^\x00-\x7F]&&[\p{M}\p{Cf}\uFF9E\uFF9F\x{1F3FB}-\x{1F3FF}&&[^\u200B]]]*+)"
-    letter = rf"(?:(?:[A-Za-z]++|[[^\x00-\xA9]&&[\p{{IsAlphabetic}}{_MORE_LETTERS}]&&[^\p{{M}}\uFF9E\uFF9F{_ALONE}{_KATAKANA}]]){extend})"
-    digit = rf"(?:(?:[0-9]++|[[^\x00-\x7F]&&\p{{Nd}}]){extend})"
-    katakana = rf"(?:[{_KATAKANA}&&[^\p{{M}}\uFF9E\uFF9F]]{extend})"
-    join = rf"(?:[\p{{Pc}}\u202F]{extend})"
-    hebrew = r"(?<=\p{IsHebrew}[\p{M}\p{Cf}ﾞﾟ\x{1F3FB}-\x{1F3FF}]{0,4})"
-    between_letters = rf"(?:[.:\u00B7\u0387\u055F\u05F4\u2027\uFE13\uFE55\uFF1A'\u2018\u2019\u2024\uFE52\uFF07\uFF0E]{extend})"
-    between_digits = rf"(?:[.,;'\u066C\u037E\u0589\u060C\u060D\u07F8\u2044\uFE10\uFE14\uFE50\uFE54\uFF0C\uFF1B\u2018\u2019\u2024\uFE52\uFF07\uFF0E]{extend})"
-    letters = rf"(?:{letter}(?:(?:{between_letters}|{hebrew}\"{extend}(?=\p{{IsHebrew}}))?+{letter})*+)"
-    digits = rf"(?:{digit}(?:{between_digits}?+{digit})*+)"
-    run = rf"(?:(?:{letters}|{digits})++|{katakana}++)"
-    word = rf"(?:(?:{run}(?:{join}++{run}?+)*+|(?:{join}++{run}?+)++)(?:{hebrew}'{extend})?+)"
-    flag = rf"(?:[\x{{1F1E6}}-\x{{1F1FF}}]{extend}){{1,2}}+"
-    some = rf"(?:{word}|{flag}|(?s:.){extend})(?:(?<=\u200D)[{_PICTURE}]{extend})*+"
-    # Most matches, a space after them included, need no property: ASCII words and marks with nothing behind them that could join.
-    plain = r"([A-Za-z])[A-Za-z]*+(?: (?![^\x00-\x7F])|(?=[\n\r ,!?;()-])|\z)|([!-/:-@\[-^`{-~])(?: (?![^\x00-\x7F])|(?![^\x00-\x7F]))"
-    space = rf"(?:[\n-\r\x85\u2028\u2029]|[{_SPACE}](?![[^\x00-\x7F]&&[\p{{M}}\p{{Cf}}\uFF9E\uFF9F\x{{1F3FB}}-\x{{1F3FF}}]&&[^\u200B]]))++"
-    return rf"{plain}|{space}|(?=((?s:.))){some}"
-
-
-TOKEN = _token_pattern()
-
+from . import words
 
 def content_hash(content: Column) -> Column:
     """Lower-case SHA-256 of the UTF-8 text."""
     return F.sha2(content, 256)
 
 
-def token_count(content: Column) -> Column:
-    """Segments between Unicode word boundaries (annex 29) that are not white space; null counts 0.
+@dataclass(frozen=True)
+class Counter:
+    """Counts tokens of a text column, null as 0; ``exact`` if by a model's own tokenizer. Items, plans and working sets take any such function."""
+
+    count: Callable[[Column], Column]
+    exact: bool = False
 
-    Every token becomes one character and white space none; no array of tokens is made. Takes time in proportion to the text.
-    """
-    return F.coalesce(F.length(F.regexp_replace(content, TOKEN, "$1$2$3")), F.lit(0)).cast("long")
+    def __call__(self, content: Column) -> Column:
+        # Named twice, a column that lambdas made isn't put into the count's argument, where Spark can't evaluate them.
+        return F.coalesce(F.when(content.isNotNull(), self.count(content)), F.lit(0)).cast("long")
 
 
-#: Counts tokens of a text column; items, plans and working sets take another one as ``counter``, such as an exact tokenizer's.
-Counter = Callable[[Column], Column]
+#: Segments between Unicode word boundaries (annex 29) that are not white space, an approximation of any model's. An Arrow function, as the rules look at
+#: classes of neighbours, which regular expressions do many times slower. Guard what is counted, not the count: all rows' texts go to it.
+token_count = Counter(F.arrow_udf(words.count, LongType()))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

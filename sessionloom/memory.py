@@ -1,4 +1,4 @@
-"""Contracts of a long-term memory, a backend without any, and one over tables."""
+"""Contracts of a long-term memory, a backend without any, and one over a store's tables that finds items by BM25."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .sources.store import Store
 
 EXTERNALIZED = "session_id STRING, item_id STRING, kind STRING, content STRING, token_count BIGINT"
 CANDIDATE = "key STRING, content STRING, score DOUBLE"
@@ -58,3 +61,108 @@ class NullMemory:
 
     def get(self, ref: MemoryRef) -> DataFrame:
         return self.spark.createDataFrame([], STORED)
+
+
+# ---- BM25 over inverted lists ----
+
+#: How much a repeated term and a long text count.
+K1, B = 1.2, 0.75
+#: Items of a block of an inverted list, about; blocks that are scored before the others' bounds are looked at; slack for sums in another order.
+BLOCK_ITEMS, SEED_BLOCKS, SLACK = 1024, 2, 1e-9
+
+
+def terms(text: Column) -> Column:
+    """Words in lower case: runs of letters, marks and digits."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+
+
+def key_of(session_id: Column, item_id: Column) -> Column:
+    """An item's key, always the same one."""
+    return F.sha2(F.concat(F.length(session_id).cast("string"), F.lit(":"), session_id, item_id), 256)
+
+
+def indexed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, postings) of rows with session_id, item_id and content: items by key with their length in words, and their words with frequencies.
+
+    Items of a session fall into blocks by key; a block is as good a place as any for a new item, so an index is added to by adding rows. Null texts
+    have no words.
+    """
+    made = rows.select("session_id", key_of(F.col("session_id"), F.col("item_id")).alias("key"), "item_id", "content", terms(F.col("content")).alias("_terms"))
+    slim = made.select("session_id", "key").groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).alias("_blocks"))
+    made = made.join(slim, "session_id").withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
+    items = made.select("session_id", "key", "item_id", "content", F.size("_terms").cast("long").alias("length"), "block")
+    words = made.select("session_id", "key", "block", F.size("_terms").cast("long").alias("length"), F.explode("_terms").alias("term"))
+    return items, words.groupBy("session_id", "term", "key", "block", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def weight(tf: Column, length: Column, average: Column) -> Column:
+    """What a term adds to an item's score, but for its rarity: grows with ``tf`` and shrinks with ``length``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def search(items: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, rank, key, item_id, score): the best ``max_results`` items of each query's session by BM25, equal scores (to 9 digits) by key.
+
+    ``queries`` have query_id, session_id, query and max_results. Each block of an inverted list has a bound, by its largest frequency and
+    shortest item. The blocks of highest bounds are scored first; of the others only those whose bound reaches the least score that a query has so far. So nothing
+    that belongs to the result is left out, and long lists are mostly passed over.
+    """
+    asked = queries.select("query_id", "session_id", "max_results", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    sizes = items.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_average"))
+    blocks = postings.groupBy("session_id", "term", "block").agg(F.max("tf").alias("_tf"), F.min("length").alias("_length"), F.count(F.lit(1)).alias("_in"))
+    found = blocks.groupBy("session_id", "term").agg(F.sum("_in").alias("_df"))
+    asked = asked.join(found, ["session_id", "term"]).join(sizes, "session_id")
+    asked = asked.withColumn("_idf", F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))).select("query_id", "session_id", "max_results", "term", "_idf", "_average")
+    bounds = asked.join(blocks, ["session_id", "term"]).groupBy("query_id", "session_id", "block").agg(F.sum(F.col("_idf") * weight(F.col("_tf"), F.col("_length"), F.col("_average"))).alias("_bound"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("_bound"), "block"))
+    bounds = bounds.withColumn("_place", place)
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        wanted = asked.join(chosen.select("query_id", "block"), "query_id")
+        hits = wanted.join(postings, ["session_id", "term", "block"])
+        score = F.round(F.sum(F.col("_idf") * weight(F.col("tf"), F.col("length"), F.col("_average"))), 9)
+        return hits.groupBy("query_id", "session_id", "max_results", "key").agg(score.alias("score"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("max_results"))
+
+    seeds = best(scored(bounds.where(F.col("_place") <= SEED_BLOCKS)))
+    floor = seeds.where(F.col("rank") == F.col("max_results")).select("query_id", F.col("score").alias("_floor"))
+    more = bounds.where(F.col("_place") > SEED_BLOCKS).join(floor, "query_id", "left").where(F.coalesce("_floor", F.lit(0.0)) <= F.col("_bound") * (1 + SLACK) + SLACK)
+    out = best(seeds.drop("rank").unionByName(scored(more)))
+    return out.join(items.select("session_id", "key", "item_id"), ["session_id", "key"]).select("query_id", "rank", "key", "item_id", "score")
+
+
+class TableMemory:
+    """Items in a store's tables ``memory_items`` and ``memory_postings``, which count at once; URIs ``memory://tables/<key>`` stay what they are."""
+
+    NAME = "tables"
+
+    def __init__(self, store: Store):
+        self.tables = store
+
+    def store(self, rows: DataFrame) -> DataFrame:
+        """Adds items; one that is there already stays as it is. The URIs of all of them."""
+        keyed = rows.dropDuplicates(["session_id", "item_id"]).withColumn("key", key_of(F.col("session_id"), F.col("item_id")))
+        with self.tables.commit(rows=rows, name="memory") as change:
+            new = keyed.join(change.old("memory_items").select("session_id", "key"), ["session_id", "key"], "left_anti")
+            items, postings = indexed(new)
+            change.append("memory_items", items)
+            change.append("memory_postings", postings)
+        return keyed.select("item_id", memory_uri(F.lit(self.NAME), F.col("key")).alias("uri"))
+
+    def retrieve_all(self, queries: DataFrame) -> DataFrame:
+        """Results of any queries (see ``search``), in as many sessions as they name."""
+        buckets = self.tables.buckets(queries)
+        return search(self.tables.read("memory_items", buckets=buckets), self.tables.read("memory_postings", buckets=buckets), queries)
+
+    def retrieve(self, query: RetrievalQuery) -> DataFrame:
+        row = self.tables.spark.createDataFrame([("q", query.session_id, query.query, query.max_results)], "query_id string, session_id string, query string, max_results int")
+        found = self.retrieve_all(row).join(self.tables.read("memory_items", query.session_id).select("key", "content"), "key")
+        return found.orderBy("rank").select("key", "content", "score")
+
+    def get(self, ref: MemoryRef, session_id: str | None = None) -> DataFrame:
+        """The stored row; ``session_id`` spares looking in all buckets."""
+        rows = self.tables.read("memory_items", session_id)
+        return rows.where((F.col("key") == ref.key) & F.lit(ref.backend == self.NAME)).select("key", "content")

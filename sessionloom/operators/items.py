@@ -59,7 +59,7 @@ def enrich(records: DataFrame, *, adapter: str | None = None, counter: Counter =
     right = content_hash(F.col("content"))
     checked = F.when(F.col("content_hash").isNotNull() & (given != right), F.raise_error(F.concat(F.lit("content hash does not match: "), F.coalesce("id", F.lit("?"))))).otherwise(right)
     count = F.coalesce("token_count", F.lit(0))
-    count = F.when(count < 0, F.raise_error(F.lit("token count out of range")).cast("long")).when(count == 0, counter(F.col("content"))).otherwise(count)
+    count = F.when(count < 0, F.raise_error(F.lit("token count out of range")).cast("long")).when(count == 0, counter(F.when(count == 0, F.col("content")))).otherwise(count)
     m = lambda name: F.col(f"metadata.{name}")
     names = [p.split(" ", 1)[0] for p in METADATA.split(", ")]
     flags = {n: F.coalesce(m(n), F.lit(False)) for n in ("recoverable", "pinned")} | {"tags": F.coalesce(m("tags"), F.array().cast("array<string>"))}

@@ -30,7 +30,9 @@ def materialize(items: DataFrame, actions: DataFrame, registry: tuple[reducers.R
     kept = F.col("action").isin("Keep", "Pin")
     ref = F.when(kept, scoring.meta("artifact_ref")).when(F.col("action") == "Externalize", uri)
     rows = rows.withColumn("_text", text.otherwise(content)).withColumn("_ref", ref)
-    tokens = F.greatest(F.when(F.col("to_level") == "L0", F.col("token_count")).otherwise(counter(F.col("_text"))), F.lit(1).cast("long"))
+    whole = F.col("to_level") == "L0"
+    rows = rows.withColumn("_counted", F.when(~whole, F.col("_text")))
+    tokens = F.greatest(F.when(whole, F.col("token_count")).otherwise(counter(F.col("_counted"))), F.lit(1).cast("long"))
     pos = F.row_number().over(W.partitionBy("session_id").orderBy("idx"))
     working = rows.select(
         "session_id", pos.alias("pos"), "item_id", "parent_id", "kind", F.col("_text").alias("content"), tokens.alias("token_count"), F.col("to_level").alias("compression_level"), F.col("_ref").alias("artifact_ref")

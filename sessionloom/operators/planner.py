@@ -130,10 +130,11 @@ def candidates(items: DataFrame, config: Config, registry: tuple[reducers.Reduce
     rows = items.withColumn("is_pinned", scoring.pinned(config))
     name = reducers.reducer_name(F.col("kind"), content, registry) if config.tools.reduce_logs else F.lit(None).cast("string")
     rows = rows.withColumn("reducer", F.when(~F.col("is_pinned"), name))
-    cost = lambda which: F.when(F.col("reducer").isNull(), F.col("token_count")).otherwise(counter(reducers.apply(which, F.col("reducer"), content, command, code, registry)))
-    rows = rows.withColumn("reduced_tokens", cost("reduce")).withColumn("extracted_tokens", cost("extract"))
+    reduced = {which: F.when(F.col("reducer").isNotNull(), reducers.apply(which, F.col("reducer"), content, command, code, registry)) for which in ("reduce", "extract")}
+    cost = lambda which: F.when(F.col("reducer").isNull(), F.col("token_count")).otherwise(counter(F.col(f"_{which}")))
+    rows = rows.withColumns({f"_{which}": text for which, text in reduced.items()}).withColumns({"reduced_tokens": cost("reduce"), "extracted_tokens": cost("extract")}).drop("_reduce", "_extract")
     can = F.lit(config.tools.externalize_large_results) & scoring.flag("recoverable") & (F.col("token_count") >= config.tools.large_result_tokens)
-    rows = rows.withColumn("external_tokens", F.when(can, counter(artifact_uri(slug(F.col("kind")), F.col("item_id")))).otherwise(F.col("extracted_tokens")))
+    rows = rows.withColumn("external_tokens", F.when(can, counter(F.when(can, artifact_uri(slug(F.col("kind")), F.col("item_id"))))).otherwise(F.col("extracted_tokens")))
     dedup = F.lit(config.tools.deduplicate) & ~F.col("is_pinned") & (F.col("dup_count") > 1) & ~F.col("is_canonical")
     return scored(rows, config, way).withColumn("deduplicated", dedup)
 

@@ -299,6 +299,13 @@ SELECT session_id, before_tokens AS current_tokens, item_count,
        pressure_state AS predicted_state, target_tokens, expected_after_tokens, 'FileContent' AS most_kind, first_candidate
 FROM goals JOIN after USING (session_id)""",
     "telemetry": f"{FILE_PLAN}, after AS (SELECT session_id, sum(estimated_after) AS a FROM actions GROUP BY session_id) SELECT session_id, count(*) AS compactions, count(*) FILTER (pressure_state = 'Emergency') AS emergency_compactions, sum(greatest(before_tokens - a, 0))::BIGINT AS reclaimed_tokens FROM goals JOIN after USING (session_id) GROUP BY session_id",
+    "memory_search": f"""WITH {files()}, said AS (SELECT session_id, item_id, seq, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS t, sha256(length(session_id)::VARCHAR || ':' || session_id || item_id) AS key FROM items),
+words AS (SELECT session_id, item_id, key, len(t) AS length, unnest(t) AS term FROM said), tf AS (SELECT session_id, item_id, key, length, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT session_id, count(*) AS n, avg(len(t)) AS average FROM said GROUP BY session_id), df AS (SELECT session_id, term, count(*) AS df FROM tf GROUP BY session_id, term),
+asked AS (SELECT item_id AS query_id, session_id, unnest(list_distinct(t)) AS term FROM said WHERE seq % 100 = 0),
+scores AS (SELECT query_id, item_id, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 9) AS score
+  FROM asked JOIN tf USING (session_id, term) JOIN df USING (session_id, term) JOIN sizes USING (session_id) GROUP BY query_id, item_id, key)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, item_id, key, round(score, 6) AS score FROM scores QUALIFY rank <= 5""",
     "latest_event": "SELECT user_id AS session_id, event_type AS type, arg_max(props, event_id) AS payload_json, max(event_id) AS event_id FROM events GROUP BY user_id, event_type",
     "checkpoint_items": "SELECT conv_id::VARCHAR AS session_id, 'k-' || conv_id AS item_id, 'Checkpoint' AS kind, arg_min(text, turn) AS goal, 'open' AS status, count(*) || ' turns' AS summary, 'compaction' AS source_type FROM conversations GROUP BY conv_id",
     "reducer_choice": f"""{_LOG}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import memory
 from ..functions import reducers, scoring
 from ..functions.text import token_count
 from ..operators import items as item_ops
@@ -206,6 +207,15 @@ def latest_event(spark, sf_dir):
     return report.latest_event(e)
 
 
+def memory_search(spark, sf_dir):
+    """Documents as a session's externalized items; whole texts of those with an id divisible by 100 as queries, the five best of their sessions."""
+    rows = files(spark, sf_dir)
+    asked = rows.where(F.unix_seconds("created_at") % 100 == 0)
+    asked = asked.select(F.col("item_id").alias("query_id"), "session_id", F.col("content").alias("query"), F.lit(5).alias("max_results"))
+    found = memory.search(*memory.indexed(rows), asked)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", "key", F.round("score", 6).alias("score"))
+
+
 def checkpoint_items(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "turn").alias("goal"))
     made = F.struct(F.col("goal"), F.lit("open").alias("status"), F.format_string("%d turns", "n").alias("summary"))
@@ -297,7 +307,7 @@ QUERIES = {
     for f in (
         script_token_counts, items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
         event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
-        latest_event, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, session_status,
+        latest_event, memory_search, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, session_status,
     )
 } | {
     "shell_reduce": _reduced("reduce", "shell", build_logs),

@@ -41,6 +41,9 @@ TABLES = {
     "token_stats": "session_id STRING, event_type STRING, ema FLOAT, count BIGINT",
     "working_set_meta": "session_id STRING, materialized_at TIMESTAMP, version BIGINT",
     "working_set_items": "session_id STRING, pos INT, item_id STRING, parent_id STRING, kind STRING, content STRING, token_count BIGINT, compression_level STRING, artifact_ref STRING, version BIGINT",
+    "item_totals": "session_id STRING, kind STRING, state STRING, items BIGINT, tokens BIGINT",
+    "memory_items": "session_id STRING, key STRING, item_id STRING, content STRING, length BIGINT, block INT",
+    "memory_postings": "session_id STRING, term STRING, key STRING, block INT, length BIGINT, tf BIGINT",
 }
 CHECKPOINT = (
     "goal STRING, status STRING, summary STRING, decisions ARRAY<STRUCT<decision: STRING, rationale: STRING>>, "

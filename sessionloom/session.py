@@ -136,8 +136,8 @@ class Session:
         return report.status(self.view(), actions, headers, self.config, self.model)
 
     def stats(self) -> dict:
-        """Totals of history, working set and runs."""
-        history = report.history_totals(self.store.items(self.id)).first()
+        """Totals of history, working set and runs; the history itself isn't read."""
+        history = self.store.totals(self.id).groupBy("session_id").agg(F.sum("items").alias("item_count"), F.sum("tokens").alias("total_tokens")).first()
         runs = report.telemetry(self.store.runs(self.id)).first()
         working = apply_ops.working_totals(self.store.working_set(self.id)[0]).first()
         return {

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..operators.items import ORDER, active, loaded
-from ..schema import TABLES, Config, Model
+from ..operators.items import ORDER, active, known, loaded
+from ..schema import KINDS, STATES, TABLES, Config, Model
 from .commits import Files, Log, to_merge
 from .shared import shared_dir
 
@@ -22,7 +22,7 @@ BUCKETS = 64
 MERGE_AT, GRACE = 16, 3600.0
 KEYS = {"context_items": ["session_id", "item_id"], "sessions": ["session_id"], "artifacts": ["session_id", "artifact_id"]}
 #: Columns for point lookups, which get Bloom filters in merged files.
-LOOKUPS = {"context_items": "item_id", "artifacts": "artifact_id"}
+LOOKUPS = {"context_items": "item_id", "artifacts": "artifact_id", "memory_items": "key", "memory_postings": "term"}
 
 
 def bucket_of(session: Column) -> Column:
@@ -56,7 +56,9 @@ class Commit:
             raise ValueError(f"{name} already has {bad.asDict()}")
 
     def insert_items(self, items: DataFrame) -> None:
+        """Items, and what they add to the totals of their sessions."""
         self.append("context_items", items.withColumn("content_hash", content_hash(F.col("content"))))
+        self.append("item_totals", items.groupBy("session_id", "kind", "state").agg(F.count(F.lit(1)).alias("items"), F.sum("token_count").alias("tokens")))
 
     def append_events(self, events: DataFrame) -> None:
         """Rows of session_id, type, payload_json and created_at, in order of a number ``arrival`` if they have it, get ids that rise within a session."""
@@ -103,6 +105,10 @@ def newest_meta(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by("materialized_at", "version").alias("materialized_at"), F.max("version").alias("version"))
 
 
+def added_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id", "kind", "state").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
+
+
 def newest_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "event_type").agg(F.max_by("ema", "count").alias("ema"), F.max("count").alias("count"))
 
@@ -115,7 +121,7 @@ class Store:
     number of commits that grows with the logarithm of all there ever were. What was merged goes after a time of grace. Of two writers of one
     bucket at once the second gets a ``Conflict``, where the file system can create a file exclusively.
 
-    Of token statistics the row with the greatest count holds, of a working set the newest version.
+    Of token statistics the row with the greatest count holds, of a working set the newest version; totals are sums of what commits added.
     """
 
     def __init__(self, spark: SparkSession, path: str, *, grace: float = GRACE):
@@ -187,6 +193,11 @@ class Store:
     def actions(self, session_id: str | None = None) -> DataFrame:
         return self.read("compaction_actions", session_id)
 
+    def totals(self, session_id: str | None = None) -> DataFrame:
+        """Items and tokens of the history by session, kind and state, from what each commit added: as many rows as commits that count, not as items."""
+        rows = self.read("item_totals", session_id)
+        return added_up(rows.withColumns({"kind": known(F.col("kind"), KINDS, "Other"), "state": known(F.col("state"), STATES, "Unknown")}))
+
     def token_stats(self, session_id: str | None = None, *, buckets: list[int] | None = None) -> DataFrame:
         return newest_stats(self.read("token_stats", session_id, buckets=buckets))
 
@@ -256,6 +267,8 @@ class Store:
     def _without_dead(self, name: str, rows: DataFrame, buckets: list[int]) -> DataFrame:
         if name == "token_stats":
             return newest_stats(rows)
+        if name == "item_totals":
+            return added_up(rows)
         if name == "working_set_meta":
             return newest_meta(rows)
         if name == "working_set_items":

@@ -147,7 +147,7 @@ def test_an_ingest_writes_its_sessions_part_only(spark, tmp_path):
     there, before = parquet(), {p: p.stat().st_mtime_ns for p in parquet()}
     session.ingest_lines(['{"id": "n", "kind": "UserMessage", "content": "hi"}'])
     new = parquet() - there
-    assert {p.relative_to(tmp_path / "db").parts[0] for p in new} == {"context_items", "events", "token_stats", "working_set_items"} and len(new) == 4
+    assert {p.relative_to(tmp_path / "db").parts[0] for p in new} == {"context_items", "item_totals", "events", "token_stats", "working_set_items"} and len(new) == 5
     assert len({p.parent.parent.name for p in new}) == 1 and all(p.stat().st_mtime_ns == t for p, t in before.items())
     assert sum(p.stat().st_size for p in new) < 40_000
     assert [r.item_id for r in store.working_set("u7")[0].orderBy("pos").collect()] == ["xu7", "n"]

@@ -45,7 +45,7 @@ def test_a_repeated_id_changes_nothing(session):
     assert [r.item_id for r in session.compact().collect()] == ["i2", "i3"]  # i1 says the same as i3
 
 
-@pytest.mark.parametrize("after", range(5))
+@pytest.mark.parametrize("after", [0, 1, 3, 5])
 def test_an_ingest_that_fails_counts_nothing(session, monkeypatch, after):
     before = seen(session)
     write, done = Store._write, []
@@ -56,7 +56,7 @@ def test_an_ingest_that_fails_counts_nothing(session, monkeypatch, after):
         done.append(write(self, *args))
 
     monkeypatch.setattr(Store, "_write", fail)
-    if after == 4:  # all is written, but not marked
+    if after == 5:  # all is written, but not marked
         monkeypatch.setattr("sessionloom.sources.commits.Log.publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError, match="lost"):
         session.ingest_lines([line(7)])
@@ -145,6 +145,23 @@ def test_merging_keeps_what_counts_and_bounds_what_is_read(spark, monkeypatch):
     assert session.stats() == plain.stats() and store.vacuum(grace=-1) > 0 and session.stats() == plain.stats()
 
 
+def test_totals_are_a_recount_without_the_history(spark, monkeypatch):
+    monkeypatch.setattr(Store.merge, "__kwdefaults__", {"at": 3})
+    session = Session(Store.temporary(spark), "s")
+    for k in range(4):
+        session.ingest_lines([line(10 * k + i, "w " * (k + i), kind) for i, kind in enumerate(("AssistantMessage", "Error", "FileContent"))])
+        if k == 1:
+            session.compact()
+    store = session.store
+    recount = store.items("s").groupBy("kind", "state").agg(F.count(F.lit(1)).alias("items"), F.sum("token_count").alias("tokens"))
+    rows = lambda df: sorted(map(tuple, df.select("kind", "state", "items", "tokens").collect()))
+    assert rows(store.totals("s")) == rows(recount) and len(rows(recount)) == 3
+    monkeypatch.setattr(Store, "items", lambda *_: pytest.fail("the history is read"))
+    assert session.stats()["history_items"] == 12
+    files = store.totals("s").inputFiles()
+    assert files and all("/item_totals/" in f for f in files)
+
+
 def test_a_session_among_many_commits_of_others(spark, monkeypatch):
     """A read's calls to the file system depend on its bucket's commits, not on 10,000 others."""
     calls = []
