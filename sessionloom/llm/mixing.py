@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.prefix import ranged, running
 from ._shared import WORD, cut, ranks_within, with_rows
 
+#: Sources whose targets are found on the driver.
+FEW_SOURCES = 20_000
+
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> dict[str | None, Fraction]:
     """Each source's words: shares of all words by weight, at most ``max_epochs`` times its size, the excess reshared.
@@ -29,7 +34,35 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     return full | {s: left * weight[s] / open_weight for s in order if s not in full}
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", row_col: str | None = None) -> DataFrame:
+def planned(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """(_source, target, _budget) of (source, n), as ``targets`` has it, for any number of sources: only sums and the level reach the driver.
+
+    In order of size by weight, the sums of what lies before a source tell what is left for it and those behind; the first whose share is
+    not above its size's epochs sets the level. Whole numbers throughout, so all sizes together times the largest weight must be below 2 to the 62.
+    """
+    place = [F.col("source").isNull().asc(), F.col("source").asc()]
+    rows = running(ranged(sizes, [], place), [], place, {"_i": F.lit(1)}).drop("_range")
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights) + 1).cast("int")).cast("long")
+    rows = rows.withColumn("_w", turn).withColumn("_by", F.col("n") * F.floor(F.lit(math.lcm(*weights)) / F.col("_w")))
+    order = [F.col("_by").asc(), *place]
+    rows = ranged(rows.drop("_i"), [], order)
+    total, weight = rows.agg(F.sum("n"), F.sum("_w")).first()
+    rows = running(rows, [], order, {"_full": F.col("n") * max_epochs, "_weight": F.col("_w")})
+    left, open_ = F.lit(total) - F.col("_full"), F.lit(weight) - F.col("_weight")
+    rows = cut(rows.withColumn("_left", left).withColumn("_open", open_).withColumn("_holds", F.col("_left") * F.col("_w") <= max_epochs * F.col("n") * F.col("_open")))
+    level = rows.where("_holds").agg(F.min(F.struct("_by", F.col("source").isNull().alias("_null"), "source", "_left", "_open")).alias("m")).select("m.*").first()
+    if level is None or level._open is None:
+        at, words, over = F.lit(False), F.lit(0).cast("long"), F.lit(1).cast("long")
+    else:
+        here = F.struct(F.col("_by"), F.col("source").isNull().alias("_null"), F.col("source"))
+        mark = F.struct(F.lit(level._by).alias("_by"), F.lit(level._null).alias("_null"), F.lit(level.source).cast("string").alias("source"))
+        at, words, over = here >= mark, F.lit(level._left).cast("long"), F.lit(level._open).cast("long")
+    part, full = words * F.col("_w"), F.col("n") * max_epochs
+    rows = rows.select(F.col("source").alias("_source"), F.when(at, part / over).otherwise(full).cast("double").alias("target"), (2 * part + over).alias("_twice"), (2 * over).alias("_over"), at.alias("_at"), full.alias("_full"))
+    return rows.selectExpr("_source", "target", "CASE WHEN _at THEN _twice div _over ELSE _full END AS _budget")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", row_col: str | None = None, few: int = FEW_SOURCES) -> DataFrame:
     """One row a row of ``docs``: its id, size, source, source_size, target and taken.
 
     Size is the number of words; a null or empty text has size 0 and takes 0. Documents of a source stand in the order
@@ -41,7 +74,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     ``row_col``, a unique number a row that must not change when it is read again, is kept if it is given; a null id then
     hashes as its text's MD5, so that many of them spread over the ranges.
 
-    Only one row a source reaches the driver, and goes back as a table that Spark broadcasts only if it is under its threshold. A hot source is cut into about sqrt(n) key ranges (see ranks_within).
+    The targets of ``few`` sources at most are found on the driver, those of more by ``planned``; both go back as a table that Spark broadcasts only if it is under its threshold. A hot source is cut into about sqrt(n) key ranges (see ranks_within).
     """
     unnamed = F.lit("") if row_col is None else F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     kept = [] if row_col is None else [row_col]
@@ -53,15 +86,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), unnamed))).alias("_hash"),
     )
     rows = cut(rows)
-    sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    plan = [(s, float(t), int(t + Fraction(1, 2))) for s, t in targets(sizes, weights, max_epochs).items()]
-    planned = docs.sparkSession.createDataFrame(plan, "_source string, target double, _budget long")
+    sums = cut(rows.groupBy("source").agg(F.sum("size").alias("n")))
+    if sums.count() > few:
+        plan = cut(planned(sums, weights, max_epochs))
+    else:
+        found = targets({r.source: r.n for r in sums.collect()}, weights, max_epochs)
+        plan = docs.sparkSession.createDataFrame([(s, float(t), int(t + Fraction(1, 2))) for s, t in found.items()], "_source string, target double, _budget long")
     spread = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     ranked = ranks_within(rows, "source", spread, ["_hash", "size", *kept], F.col("size"), "_before", "source_size")
     rest = F.col("_budget") - F.expr("CASE WHEN source_size = 0 THEN 0 ELSE _budget div source_size END") * F.col("source_size")
     epochs = F.expr("CASE WHEN source_size = 0 THEN 0L ELSE _budget div source_size END")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    out = ranked.join(planned, F.col("source").eqNullSafe(F.col("_source")))
+    out = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     return out.select(*kept, "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 

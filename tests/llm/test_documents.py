@@ -8,6 +8,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,16 @@ def test_targets():
     assert mixing.targets({}) == {} and set(mixing.targets({"a": 0}).values()) == {0}
 
 
+def test_targets_of_many_sources_are_found_in_spark(spark):
+    r = random.Random(6)
+    for k in range(6):
+        sizes = {r.choice([None, *(f"s{i}é" if i % 3 else f"t{i}" for i in range(90))]): r.choice([0, 1, 5, 5, r.randint(0, 10_000)]) for _ in range([1, 2, 3, 40, 70, 120][k])}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, n long")
+        want = mixing.targets(sizes)
+        got = {x._source: (x.target, x._budget) for x in mixing.planned(rows, (1, 2, 3), 3).collect()}
+        assert got == {s: (pytest.approx(float(t), rel=1e-15), int(t + Fraction(1, 2))) for s, t in want.items()}, sizes
+
+
 def test_mix(spark, awkward, empty):
     rows = [(i, "w " * (1 + i % 7), None, s) for i in range(300) for s in [("a", "b", "c", None)[min(3, i % 10)]]]
     mixed = mixing.mix(docs(spark, rows)).collect()
