@@ -204,8 +204,8 @@ FROM scored QUALIFY rank <= 5
 OP3_SQL = r"""
 WITH parsed AS (
   SELECT page_id, url, DATE '2023-01-01' + (page_id % 730)::INTEGER AS fetched,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 1)), '\.$', ''), '') AS host,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 2) AS path
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?([^?#]*)', 1)), '\.$', ''), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?([^?#]*)', 2) AS path
   FROM pages
 ), names AS (
   SELECT DISTINCT unnest([host, regexp_replace(host, '^[^.]*\.', ''), host || '/' || regexp_extract(path, '^/*([^/]+)', 1)]) AS pattern
@@ -304,7 +304,9 @@ WITH RECURSIVE {CRC_TABLE}, told AS (
          left(role, 1) AS r, lag(left(role, 1)) OVER o AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
   FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy)
 ), rows AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault,
          role || ':' || text || chr(10) AS line, 'user:' || text || chr(10) AS as_user, 'assistant:' || text || chr(10) AS as_assistant
   FROM placed
 ), solved AS (

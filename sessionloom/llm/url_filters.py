@@ -12,11 +12,11 @@ from pyspark.sql import Window as W
 from ..functions.text import let
 from ._shared import cut
 
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case without a last dot; null for a null or other text than an absolute URL."""
+    """The host in lower case without a last dot, an address in brackets whole; null for a null or other text than an absolute URL."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 1)), r"\.$", "")
     return F.when(host != "", host)
 

@@ -622,6 +622,39 @@ def test_pipeline(spark, tmp_path):
     assert key(whole) == key(seen["packing"]) and len(stages) == 5
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Null, repeated ids and null sources go through every stage; of an empty table nothing comes."""
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i // 4, t, lang, None if i % 2 else "s") for i, t, lang, _ in labelled(48)] + [(None, None, None, None), (7, "", "aa", None)]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, d in (("some", docs(spark, rows)), ("none", docs(spark, []))):
+        (tmp_path / name).mkdir()
+        d.select(*columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        if name == "none":
+            assert out == []
+        else:
+            check_packing(out, 2048)
+            assert {r.doc_id for r in out} == {r[0] for r in rows[:48]} and len(out) >= 48
+    unlabelled = docs(spark, [(i, t, None, s) for i, t, _, s in rows]).select(*columns)
+    assert corpus_pipeline.language_stage(spark, unlabelled, "").count() == 48
+
+
+def test_extra_columns_with_names_that_stages_use(spark, field):
+    """Columns named like inner ones come through unharmed."""
+    inner = ["row", "due", "copy", "doc", "id", "n", "f1", "sketch", "component_id", "part", "found", "text_", "size", "taken", "target"]
+    rows = [(1, "mail a.b@c.de and five more words here", "aa", "s"), (2, "mail a.b@c.de and five more words here", "aa", "s"), (3, "quite another text of some words", "bb", None)]
+    d = docs(spark, rows).drop("size", "n").withColumns({c: F.concat(F.lit(c), "doc_id") for c in inner})
+    same = lambda out: all(r[c] == f"{c}{r.doc_id}" for r in out for c in inner)
+    redacted = pii.redact(d, field).collect()
+    assert same(redacted) and sum("<EMAIL>" in r.text for r in redacted) == 2
+    kept = near_dedup.dedup(d)
+    assert kept.columns == d.columns and same(kept.collect()) and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    mixed = mixing.mixed_copies(d)
+    assert mixed.columns == d.columns and same(mixed.collect()) and mixed.count() >= 2
+
+
 def test_lists_of_spans_are_json_ready(spark, field):
     row = pii.scan(docs(spark, [(1, "a@b.cd")]), field).first()
     assert json.dumps([s.asDict() for s in row.found]) == '[{"kind": "email", "start": 0, "end": 6}]'

@@ -138,6 +138,14 @@ def test_url_patterns_are_brought_into_normal_form(spark):
     assert {r.page_id: r.pattern for r in rows} == {1: "bad.com", 2: None, 3: "ok.org/Ads", 4: None, 5: "late.net/x", 6: None}
 
 
+def test_url_hosts_in_brackets(spark):
+    day = date(2024, 1, 1)
+    ent = spark.createDataFrame([("[2001:db8::1]", "add", day), ("[::3]/ads", "add", day)], "pattern string, action string, at date")
+    urls = ["http://[2001:DB8::1]:80/x", "http://[::2]/", "ftp://u@[::3]/ads/1", "http://[::3]/", "http://[broken/"]
+    rows = url_filters.evaluate(spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date"), ent).collect()
+    assert {r.page_id: (r.host, r.pattern) for r in rows} == {0: ("[2001:db8::1]", "[2001:db8::1]"), 1: ("[::2]", None), 2: ("[::3]", "[::3]/ads"), 3: ("[::3]", None), 4: ("[broken", None)}
+
+
 def test_chat_format(spark):
     r = random.Random(6)
     convs = {0: [("user", "a"), ("assistant", "b")], 1: [("user", "a"), ("assistant", "b"), ("user", "c")], 2: [("user", "a"), ("assistant", "b"), ("user", "c")], 3: [("user", "b"), ("assistant", "a")], 4: [(None, None)], 5: [("", "")], 6: [("user", "x" * 100_000)]}
