@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import content_hash
 from ..operators.items import ORDER, active, known, loaded
@@ -57,7 +58,8 @@ class Commit:
 
     def insert_items(self, items: DataFrame) -> None:
         """Items, and what they add to the totals of their sessions."""
-        self.append("context_items", items.withColumn("content_hash", content_hash(F.col("content"))))
+        items = self.store._cast("context_items", items.withColumn("content_hash", content_hash(F.col("content"))))
+        self.append("context_items", items)
         self.append("item_totals", items.groupBy("session_id", "kind", "state").agg(F.count(F.lit(1)).alias("items"), F.sum("token_count").alias("tokens")))
 
     def append_events(self, events: DataFrame) -> None:
@@ -128,6 +130,7 @@ class Store:
         self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
         self.files, self.log = Files(spark), Log(spark, f"{self.path}/log")
         self._there: dict[str, bool] = {}
+        self._schemas: dict[str, StructType] = {}
         self._bucket: dict[str, int] = {}
 
     @staticmethod
@@ -135,6 +138,11 @@ class Store:
         """An empty store in the shared folder, for tests and trials."""
         return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
+    def schema(self, name: str) -> StructType:
+        if name not in self._schemas:
+            self._schemas[name] = StructType.fromDDL(TABLES[name])
+        return self._schemas[name]
+
     def bucket(self, session_id: str) -> int:
         if session_id not in self._bucket:
             self._bucket[session_id] = self.spark.range(1).select(bucket_of(F.lit(session_id))).first()[0]
@@ -163,8 +171,8 @@ class Store:
             buckets = [self.bucket(session_id)]
         folders = self._folders(name, buckets)
         if not folders:
-            return self.spark.createDataFrame([], TABLES[name])
-        rows = self.spark.read.schema(TABLES[name]).parquet(*folders)
+            return self.spark.createDataFrame([], self.schema(name))
+        rows = self.spark.read.schema(self.schema(name)).parquet(*folders)
         return rows if session_id is None else rows.where(F.col("session_id") == session_id)
 
     def items(self, session_id: str | None = None) -> DataFrame:
@@ -210,8 +218,8 @@ class Store:
     # ---- writing ----
 
     def _cast(self, name: str, rows: DataFrame) -> DataFrame:
-        columns = self.spark.createDataFrame([], TABLES[name]).schema
-        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
+        there = set(rows.columns)
+        return rows.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(name)])
 
     def _write(self, name: str, rows: DataFrame, commit: str, buckets: list[int] | None) -> None:
         """Rows of one bucket, or of several if ``buckets`` is None, in files of the size that adaptive execution aims at."""
