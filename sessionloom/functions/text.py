@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -28,6 +29,9 @@ class Counter:
         return F.coalesce(F.when(content.isNotNull(), self.count(content)), F.lit(0)).cast("long")
 
 
+# Counts travel with the plan, so that workers need not find this package.
+cloudpickle.register_pickle_by_value(words)
+
 #: Segments between Unicode word boundaries (annex 29) that are not white space, an approximation of any model's. An Arrow function, as the rules look at
 #: classes of neighbours, which regular expressions do many times slower. Guard what is counted, not the count: all rows' texts go to it.
 token_count = Counter(F.arrow_udf(words.count, LongType()))

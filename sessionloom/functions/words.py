@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +25,23 @@ AT_ONCE = 1 << 19
 _CUT = re.compile(rb"[ \n](?=[A-Za-z])")
 
 
-@cache
+#: The table of class and bits by code point, filled as code points are met, and the tests that fill it; a task's own.
+_MADE: dict[str, object] = {}
+
+
 def _table() -> np.ndarray:
-    """Class and bits by code point; filled as code points are met."""
-    return np.zeros(0x110000, np.uint8)
+    if "table" not in _MADE:
+        _MADE["table"] = np.zeros(0x110000, np.uint8)
+    return _MADE["table"]
 
 
-@cache
 def _properties() -> tuple[list[tuple[int, object]], object, object]:
-    import regex
+    if "tests" not in _MADE:
+        import regex
 
-    kinds = [(i, regex.compile(rf"\p{{Word_Break={name}}}")) for name, i in _NUMBER.items() if i]
-    return kinds, regex.compile(r"\p{Extended_Pictographic}"), regex.compile(r"\p{White_Space}")
+        kinds = [(i, regex.compile(rf"\p{{Word_Break={name}}}")) for name, i in _NUMBER.items() if i]
+        _MADE["tests"] = kinds, regex.compile(r"\p{Extended_Pictographic}"), regex.compile(r"\p{White_Space}")
+    return _MADE["tests"]
 
 
 def classes(points: np.ndarray) -> np.ndarray:

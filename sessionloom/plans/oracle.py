@@ -306,6 +306,9 @@ asked AS (SELECT item_id AS query_id, session_id, unnest(list_distinct(t)) AS te
 scores AS (SELECT query_id, item_id, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 9) AS score
   FROM asked JOIN tf USING (session_id, term) JOIN df USING (session_id, term) JOIN sizes USING (session_id) GROUP BY query_id, item_id, key)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, item_id, key, round(score, 6) AS score FROM scores QUALIFY rank <= 5""",
+    "stored_history": f"""{_STATS}, typed_counts AS (SELECT session_id, event_type, count(*) AS count FROM typed GROUP BY session_id, event_type),
+sums AS (SELECT session_id, count(*) AS items, sum(token_count)::BIGINT AS tokens FROM items GROUP BY session_id)
+SELECT session_id, event_type, round(ema::DOUBLE, 5) AS ema, count, items, tokens, items AS events, tokens AS recounted FROM stats JOIN typed_counts USING (session_id, event_type) JOIN sums USING (session_id)""",
     "latest_event": "SELECT user_id AS session_id, event_type AS type, arg_max(props, event_id) AS payload_json, max(event_id) AS event_id FROM events GROUP BY user_id, event_type",
     "checkpoint_items": "SELECT conv_id::VARCHAR AS session_id, 'k-' || conv_id AS item_id, 'Checkpoint' AS kind, arg_min(text, turn) AS goal, 'open' AS status, count(*) || ' turns' AS summary, 'compaction' AS source_type FROM conversations GROUP BY conv_id",
     "reducer_choice": f"""{_LOG}

@@ -15,8 +15,10 @@ from ..operators import items as item_ops
 from ..operators import materialize as apply_ops
 from ..operators import planner, predict, report
 from ..schema import IMPORTANCE, Config, Context, Model, Reserve, Tools
+from ..session import add
 from ..sources import jsonl, tables
-from ..sources.shared import shared_dir
+from ..sources.shared import Scratch, shared_dir
+from ..sources.store import Store
 from ..streaming.ingest import latest_state, running_ema
 from .oracle import SCRIPTS
 
@@ -216,6 +218,23 @@ def memory_search(spark, sf_dir):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", "key", F.round("score", 6).alias("score"))
 
 
+def stored_history(spark, sf_dir):
+    """Sessions of conversations in a store, and a second batch of new and repeated ids that is rejected as a whole: totals, events and averages."""
+    rows = chats(spark, sf_dir).withColumn("arrival", F.unix_seconds("created_at"))
+    with Scratch(spark) as scratch:
+        store, items = Store.temporary(spark), scratch.keep(rows)
+        for batch in (items, items.where("arrival % 2 = 0").withColumn("item_id", F.concat("item_id", F.when(F.col("arrival") > 0, "-new").otherwise("")))):
+            try:
+                add(store, batch, CHAT)
+            except ValueError:
+                continue
+    events = store.read("events").groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
+    totals = store.totals().groupBy("session_id").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
+    counted = store.items().groupBy("session_id").agg(F.sum("token_count").alias("recounted"))
+    stats = store.token_stats().select("session_id", "event_type", *digits("ema"), "count")
+    return stats.join(totals, "session_id").join(events, "session_id").join(counted, "session_id")
+
+
 def checkpoint_items(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "turn").alias("goal"))
     made = F.struct(F.col("goal"), F.lit("open").alias("status"), F.format_string("%d turns", "n").alias("summary"))
@@ -307,7 +326,7 @@ QUERIES = {
     for f in (
         script_token_counts, items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
         event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
-        latest_event, memory_search, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, session_status,
+        latest_event, memory_search, stored_history, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, session_status,
     )
 } | {
     "shell_reduce": _reduced("reduce", "shell", build_logs),

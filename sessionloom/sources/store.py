@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ class Commit:
     """What one change writes, to any of its buckets' tables; all of it counts once the change ends without an error, and nothing before."""
 
     def __init__(self, store: Store, buckets: list[int], session_id: str | None, name: str):
-        self.store, self.buckets, self.session_id, self.id = store, buckets, session_id, f"{name}.{uuid.uuid4().hex[:12]}"
-        self.read_at = {b: store.log.last(b) for b in buckets}
+        self.store, self.buckets, self.session_id, self.id = store, buckets, session_id, f"{re.sub('[^A-Za-z0-9_-]', '_', name)}.{uuid.uuid4().hex[:12]}"
+        self.read_at = store.log.last(buckets)
 
     def old(self, name: str) -> DataFrame:
         """The table as it was before this commit, in its buckets."""
@@ -129,7 +130,6 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, *, grace: float = GRACE):
         self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
         self.files, self.log = Files(spark), Log(spark, f"{self.path}/log")
-        self._there: dict[str, bool] = {}
         self._schemas: dict[str, StructType] = {}
         self._bucket: dict[str, int] = {}
 
@@ -155,15 +155,14 @@ class Store:
     # ---- reading ----
 
     def _folders(self, name: str, buckets: list[int] | None, commits: dict[int, list[str]] | None = None) -> list[str]:
-        out = []
-        for b in range(BUCKETS) if buckets is None else buckets:
-            for commit in self.log.live(b) if commits is None else commits[b]:
-                folder = f"{self.path}/{name}/bucket={b}/commit={commit}"
-                if folder not in self._there:  # what a commit that counts has written never changes
-                    self._there[folder] = self.files.exists(folder)
-                if self._there[folder]:
-                    out.append(folder)
-        return out
+        """Folders of a table that commits (all that count, if not given) have written to."""
+        some = list(range(BUCKETS)) if buckets is None else buckets
+        commits = self.log.live(some) if commits is None else commits
+        if len(some) < 4:
+            there = {(f"bucket={b}", c) for b in some for c in self.files.names(f"{self.path}/{name}/bucket={b}")}
+        else:
+            there = set(self.files.matching(f"{self.path}/{name}/bucket=*/commit=*", 2))
+        return [f"{self.path}/{name}/bucket={b}/commit={c}" for b in some for c in commits[b] if (f"bucket={b}", f"commit={c}") in there]
 
     def read(self, name: str, session_id: str | None = None, *, buckets: list[int] | None = None) -> DataFrame:
         """A table, or its rows of one session, or of some buckets, of the commits that count now."""
@@ -245,14 +244,15 @@ class Store:
 
     def has(self, name: str) -> bool:
         """Whether a commit of this name counts; known for as long as it isn't merged and removed."""
-        found = [c for c, _ in self.log.pending()] + [m.commit for b in range(BUCKETS) for m in self.log.marks(b)]
-        return any(c.rpartition(".")[0] == name for c in found)
+        found = [c for c, _ in self.log.pending()] + [m.commit for marks in self.log.marks_of(list(range(BUCKETS))).values() for m in marks]
+        return any(c.rpartition(".")[0] == re.sub("[^A-Za-z0-9_-]", "_", name) for c in found)
 
     # ---- upkeep ----
 
     def merge(self, buckets: list[int] | None = None, *, at: int = MERGE_AT) -> int:
         """Merges the last commits of each bucket that has ``at`` of one level. In how many buckets it did."""
-        runs = {b: run for b in (range(BUCKETS) if buckets is None else buckets) if (run := to_merge(self.log.marks(b), at))}
+        marks = self.log.marks_of(list(range(BUCKETS)) if buckets is None else buckets)
+        runs = {b: run for b in marks if (run := to_merge(marks[b], at))}
         if not runs:
             return 0
         commit, old = f"m.{uuid.uuid4().hex[:12]}", {b: [m.commit for m in run] for b, run in runs.items()}
@@ -268,7 +268,7 @@ class Store:
         for b, run in runs.items():
             low, high = min(m.number if m.low < 0 else m.low for m in run), max(m.number for m in run)
             # If another commit came first, what was merged is an orphan, and the next merge takes it in.
-            self.log.put(b, self.log.last(b) + 1, commit, run[0].level + 1, low, high)
+            self.log.put(b, self.log.last([b])[b] + 1, commit, run[0].level + 1, low, high)
         self.vacuum(list(runs), orphans=False)
         return len(runs)
 
@@ -287,8 +287,7 @@ class Store:
         """Removes folders of commits that were merged, and with ``orphans`` of ones that never came to count, older than ``grace`` seconds. How many."""
         now, grace, gone = time.time(), self.grace if grace is None else grace, 0
         pending = {c for c, _ in self.log.pending()}
-        for b in range(BUCKETS) if buckets is None else buckets:
-            marks = self.log.marks(b)
+        for b, marks in self.log.marks_of(list(range(BUCKETS)) if buckets is None else buckets).items():
             for m in marks:
                 over = [o for o in marks if o.covers(m)]
                 mark = lambda x: f"{self.log.path}/bucket={b}/{x.number:012d}"  # noqa: B023, E731
@@ -304,7 +303,6 @@ class Store:
         return gone
 
     def _remove(self, folder: str) -> bool:
-        self._there.pop(folder, None)
         if there := self.files.exists(folder):
             self.files.delete(folder)
         return there

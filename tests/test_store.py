@@ -136,7 +136,7 @@ def test_merging_keeps_what_counts_and_bounds_what_is_read(spark, monkeypatch):
     want = rows(plain)
     assert rows(store) == want and [len(x) for x in want] == [10, 1, 5, 1]
     bucket = store.bucket("s")
-    assert len(store.log.live(bucket)) <= 4 < len(plain.log.live(bucket)) == 10
+    assert len(store.log.live([bucket])[bucket]) <= 4 < len(plain.log.live([bucket])[bucket]) == 10
     # Without grace what was merged is gone, and dead versions with it.
     assert len(Files(spark).names(f"{store.path}/context_items/bucket={bucket}")) <= 4
     # A merge whose mark is lost counts nothing and is removed.
@@ -164,8 +164,8 @@ def test_totals_are_a_recount_without_the_history(spark, monkeypatch):
 def test_a_session_among_many_commits_of_others(spark, monkeypatch):
     """A read's calls to the file system depend on its bucket's commits, not on 10,000 others."""
     calls = []
-    for name in ("names", "exists", "text"):
-        monkeypatch.setattr(Files, name, lambda self, path, f=getattr(Files, name): calls.append(path) or f(self, path))
+    for name in ("matching", "exists", "text"):
+        monkeypatch.setattr(Files, name, lambda self, *path, f=getattr(Files, name): calls.append(path) or f(self, *path))
 
     def read(store):
         calls.clear()
