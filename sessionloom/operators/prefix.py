@@ -53,6 +53,17 @@ def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: d
     return out.select(*rows.columns, *[(F.col(name) + F.col(f"_base_{name}")).alias(name) for name in sums])
 
 
+def latest(rows: DataFrame, keys: list[str], order: list[str | Column], found: dict[str, Column]) -> DataFrame:
+    """Adds, to rows of ``ranged``, the greatest value so far of each column, the row's own included; 0 if there is none."""
+    zero = F.lit(0).cast("long")
+    parts = rows.groupBy(*keys, "_range").agg(*[F.max(c).alias(name) for name, c in found.items()])
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = _dealt(rows, keys).withColumns({name: F.max(c).over(own) for name, c in found.items()})
+    out = _with(local, parts, keys, {f"_base_{name}": F.max(name).over(earlier) for name in found})
+    return out.select(*rows.columns, *[F.coalesce(F.greatest(name, f"_base_{name}"), zero).alias(name) for name in found])
+
+
 def totals(rows: DataFrame, keys: list[str], found: dict[str, tuple[Callable[[Column | str], Column], Column]]) -> DataFrame:
     """Adds, to rows of ``ranged``, an aggregate over all rows of equal keys: each is a function that may be applied to its own results, and what it is of."""
     parts = rows.groupBy(*keys, "_range").agg(*[f(c).alias(name) for name, (f, c) in found.items()])

@@ -144,19 +144,46 @@ WORKING = f"""{FILE_PLAN}, working AS (
 )"""
 
 
-def again() -> str:
-    """The plan of the working sets: its names get a suffix so that both plans fit one query."""
-    second = plan(5_000, 0, 400).replace("0 AS from_n,", "substr(compression_level, 2)::INTEGER AS from_n,", 1)
+def second(items: str, large: int = 400) -> str:
+    """A plan of ``items``, which have a compression_level: its names get a suffix so that both plans fit one query."""
+    out = plan(5_000, 0, large).replace("0 AS from_n,", "substr(compression_level, 2)::INTEGER AS from_n,", 1)
     for name in ("items", "indexed", "grouped", "parts", "scored", "candidates", "sums", "pressures", "states", "goals", "costs", "lows", "steps", "valued", "chained", "first_pass", "second_pass", "last_step", "actions"):
         for before in ("FROM ", "JOIN "):
-            second = second.replace(f"{before}{name} ", f"{before}{name}_2 ").replace(f"{before}{name}\n", f"{before}{name}_2\n")
-        second = second.replace(f"{name} AS (", f"{name}_2 AS (")
-    return f"""{WORKING}, items_2 AS (
-  SELECT session_id, item_id, idx AS seq, kind, content, sha256(content) AS content_hash, token_count, true AS recoverable, 'docs' AS file_path, compression_level FROM working
-), {second}
+            out = out.replace(f"{before}{name} ", f"{before}{name}_2 ").replace(f"{before}{name}\n", f"{before}{name}_2\n")
+        out = out.replace(f"{name} AS (", f"{name}_2 AS (")
+    return f"items_2 AS (\n  {items}\n), {out}"
+
+
+def again() -> str:
+    """The plan of the working sets."""
+    items = "SELECT session_id, item_id, idx AS seq, kind, content, sha256(content) AS content_hash, token_count, true AS recoverable, 'docs' AS file_path, compression_level FROM working"
+    return f"""{WORKING}, {second(items)}
 SELECT session_id, item_id, action, from_level, to_level, estimated_before, estimated_after FROM actions_2"""
 
 
+def past_views() -> str:
+    """The working sets of the first wave, of the first two, what joined each, and what was there before."""
+    joined = lambda wave: f"""SELECT i.session_id, coalesce(p, 0) + row_number() OVER (PARTITION BY i.session_id ORDER BY seq) AS pos, item_id, content, token_count, 'L0' AS compression_level, NULL::VARCHAR AS artifact_ref
+  FROM every i LEFT JOIN ends_{wave} USING (session_id) WHERE seq % 3 = {wave}"""
+    view = """SELECT session_id, item_id, e.seq, e.kind, v.content, sha256(v.content) AS content_hash, v.token_count, true AS recoverable, 'docs' AS file_path, compression_level
+  FROM (FROM set_1 UNION ALL FROM later_1) v JOIN every e USING (session_id, item_id)"""
+    first = WORKING.replace("WITH items AS (", "WITH every AS (", 1).replace("), indexed AS (", "), items AS (SELECT * FROM every WHERE seq % 3 = 0), indexed AS (", 1)
+    uri = "'artifact://file/' || item_id"
+    return f"""{first}, set_1 AS (
+  SELECT session_id, pos, item_id, content, token_count, compression_level, artifact_ref FROM working
+), ends_1 AS (SELECT session_id, max(pos) AS p FROM set_1 GROUP BY session_id), later_1 AS ({joined(1)}), {second(view)}, set_2 AS (
+  SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS pos, item_id, CASE WHEN to_level = 'L4' THEN {uri} ELSE content END AS content,
+         greatest(CASE WHEN to_level = 'L0' THEN estimated_before ELSE {count(uri)} END, 1) AS token_count, to_level AS compression_level, CASE WHEN to_level = 'L4' THEN {uri} END AS artifact_ref
+  FROM actions_2 WHERE to_level <> 'L5'
+), ends_2 AS (SELECT session_id, max(pos) AS p FROM set_2 GROUP BY session_id), later_2 AS ({joined(2)}), fresh AS (
+  SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS pos, item_id, content, token_count, 'L0' AS compression_level, NULL::VARCHAR AS artifact_ref FROM every WHERE seq % 3 = 0
+), found AS (
+  SELECT 200 AS ask_id, * FROM fresh UNION ALL SELECT unnest([700, 1200]), * FROM set_1 UNION ALL SELECT 1200, * FROM later_1
+  UNION ALL SELECT unnest([1700, 2200]), * FROM set_2 UNION ALL SELECT 2200, * FROM later_2
+)
+SELECT ask_id, session_id, pos, item_id, sha256(content) AS content_hash, token_count, compression_level, artifact_ref FROM found"""
+
+
 def r5(*names: str) -> str:
     return ", ".join(f"round({n}::DOUBLE, 5) AS {n}" for n in names)
 
@@ -284,6 +311,7 @@ SELECT session_id, trunc(i)::BIGINT AS expected_input, trunc(coalesce(t, 0))::BI
     "working_set": f"{WORKING} SELECT session_id, pos, item_id, sha256(content) AS content_hash, token_count, compression_level, artifact_ref FROM working",
     "artifacts": f"{FILE_PLAN} SELECT session_id, 'artifact://file/' || item_id AS artifact_id, item_id, sha256(content) AS content_hash FROM actions WHERE action = 'Externalize'",
     "second_compaction": again(),
+    "past_views": past_views(),
     "top_candidates": f"""{FILE_PLAN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY estimated_before - estimated_after DESC, idx) AS rank FROM actions WHERE action NOT IN ('Keep', 'Pin'))
 SELECT session_id, rank, item_id, from_level AS kind, kind AS item_kind, action, estimated_before AS before_tokens, estimated_after AS after_tokens FROM ranked WHERE rank <= 5""",
     "appended_set": f"""WITH {CHATS.replace("FROM conversations", "FROM conversations WHERE turn < 2")}, {plan(750, 0, 6_000)}, working AS (

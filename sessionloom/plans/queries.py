@@ -13,11 +13,11 @@ from ..functions import reducers, scoring
 from ..functions.text import token_count
 from ..operators import items as item_ops
 from ..operators import materialize as apply_ops
-from ..operators import planner, predict, report
+from ..operators import planner, predict, replay, report
 from ..schema import IMPORTANCE, Config, Context, Model, Reserve, Tools
 from ..session import add
 from ..sources import jsonl, tables
-from ..sources.shared import Scratch, shared_dir
+from ..sources.shared import Scratch, cut, shared_dir
 from ..sources.store import Store
 from ..streaming.ingest import latest_state, running_ema
 from .oracle import SCRIPTS
@@ -174,7 +174,7 @@ def second_compaction(spark, sf_dir):
     items, actions, headers = _file_plan(spark, sf_dir)
     working, _ = apply_ops.materialize(items, actions)
     view = apply_ops.active_view(items, working, headers.select("session_id"))
-    again, _ = planner.plan(view, FILES, Model("half", 8_000, 2_000))
+    again, _ = planner.plan(view, FILES, HALF)
     return again.select("session_id", "item_id", "action", "from_level", "to_level", "estimated_before", "estimated_after")
 
 
@@ -188,6 +188,31 @@ def appended_set(spark, sf_dir):
     return working.unionByName(later).select("session_id", F.col("pos").cast("long").alias("pos"), "item_id", "token_count", "compression_level")
 
 
+#: Files come in three waves; sessions are compacted after the first and the second, and asked for in between and after each.
+WAVES, ASKED_AT = 3, (200, 700, 1200, 1700, 2200)
+HALF = Model("half", 8_000, 2_000)
+
+
+def past_views(spark, sf_dir):
+    """Each session's working set at five times (milliseconds), rebuilt from its history and what two compactions did."""
+    every = files(spark, sf_dir)
+    wave, at = F.unix_seconds("created_at") % WAVES, lambda ms: F.timestamp_millis(F.lit(ms))
+    number = wave * 2**40 + F.unix_seconds("created_at")
+    items = every.withColumn("wave", wave)
+    first = cut(planner.plan(items.where("wave = 0").drop("wave"), FILES, FILES_MODEL, extra=EXTRA)[0])
+    working = cut(apply_ops.materialize(items.where("wave = 0").drop("wave"), first)[0])
+    sessions = every.select("session_id").distinct()
+    later = apply_ops.appended(working, items.where("wave = 1").withColumn("arrival", F.unix_seconds("created_at")), sessions)
+    second = cut(planner.plan(apply_ops.active_view(items.where("wave < 2").drop("wave"), working.unionByName(later), sessions), FILES, HALF)[0])
+    done = replay.applied(first).withColumn("version", F.lit(1).cast("long")).unionByName(replay.applied(second).withColumn("version", F.lit(2).cast("long")))
+    versions = [sessions.withColumns({"version": F.lit(v).cast("long"), "materialized_at": at(1000 * v - 500), "last_event": F.lit(v * 2**40 - 1).cast("long")}) for v in (1, 2)]
+    versions = versions[0].unionByName(versions[1])
+    arrivals = every.select("session_id", "item_id", number.alias("event_id"), F.timestamp_seconds(wave).alias("arrived_at"))
+    asked = sessions.withColumn("ask_id", F.explode(F.array(*map(F.lit, ASKED_AT)))).withColumn("at", F.timestamp_millis("ask_id"))
+    rows = replay.as_of(every, arrivals, versions, done, replay.at_times(asked, versions))
+    return rows.select("ask_id", "session_id", F.col("pos").cast("long").alias("pos"), "item_id", F.sha2("content", 256).alias("content_hash"), "token_count", "compression_level", "artifact_ref")
+
+
 def session_status(spark, sf_dir):
     items, actions, headers = _file_plan(spark, sf_dir)
     rows = report.status(items, actions, headers, FILES, FILES_MODEL)
@@ -326,7 +351,7 @@ QUERIES = {
     for f in (
         script_token_counts, items_from_conversations, items_from_pages, wire_items, active_items, history_totals, session_pressure, composition, duplicate_summary, dedup_roles, pinned_items, importance_scores,
         event_type_ema, stream_event_ema, token_prediction, compaction_targets, candidate_steps, compaction_plan, plan_headers, chat_plan, working_set, artifacts, second_compaction, top_candidates, telemetry,
-        latest_event, memory_search, stored_history, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, session_status,
+        latest_event, memory_search, stored_history, checkpoint_items, reducer_choice, log_scores, log_plan, log_working_set, appended_set, past_views, session_status,
     )
 } | {
     "shell_reduce": _reduced("reduce", "shell", build_logs),

@@ -39,7 +39,8 @@ TABLES = {
     "compaction_actions": "run_id STRING, session_id STRING, item_id STRING, action STRING, from_level STRING, to_level STRING, estimated_before BIGINT, estimated_after BIGINT, "
     "importance STRUCT<" + ", ".join(f"{c}: FLOAT" for c in ("total", *IMPORTANCE)) + ">, reason STRING",
     "token_stats": "session_id STRING, event_type STRING, ema FLOAT, count BIGINT",
-    "working_set_meta": "session_id STRING, materialized_at TIMESTAMP, version BIGINT",
+    "working_set_meta": "session_id STRING, materialized_at TIMESTAMP, version BIGINT, last_event BIGINT, run_id STRING",
+    "working_set_actions": "session_id STRING, version BIGINT, pos INT, item_id STRING, action STRING, to_level STRING",
     "working_set_items": "session_id STRING, pos INT, item_id STRING, parent_id STRING, kind STRING, content STRING, token_count BIGINT, compression_level STRING, artifact_ref STRING, version BIGINT",
     "item_totals": "session_id STRING, kind STRING, state STRING, items BIGINT, tokens BIGINT",
     "memory_items": "session_id STRING, key STRING, item_id STRING, content STRING, length BIGINT, block INT",

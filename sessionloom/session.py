@@ -6,6 +6,7 @@ import json
 from collections import deque
 from collections.abc import Iterable
 from dataclasses import asdict
+from datetime import datetime
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.text import Counter, token_count
 from .operators import items as item_ops
 from .operators import materialize as apply_ops
-from .operators import planner, predict, report
+from .operators import planner, predict, replay, report
 from .schema import Config, Model
 from .sources import jsonl
 from .sources.shared import Scratch
@@ -95,6 +96,17 @@ class Session:
     def view(self) -> DataFrame:
         return apply_ops.active_view(self.store.items(self.id), *self.store.working_set(self.id))
 
+    def view_at(self, when: datetime) -> DataFrame:
+        """The working set, or before a first one the active items, as it was at a time, by the store's clock."""
+        return self._past(self.store.spark.createDataFrame([(0, self.id, when)], "ask_id int, session_id string, at timestamp"))
+
+    def view_after(self, run_id: str) -> DataFrame:
+        """The working set that a run left."""
+        return self._past(self.store.spark.createDataFrame([(0, self.id, run_id)], "ask_id int, session_id string, run_id string"))
+
+    def _past(self, asked: DataFrame) -> DataFrame:
+        return self.store.past(asked, session_id=self.id).drop("ask_id").orderBy("pos")
+
     def predicted(self) -> int:
         row = predict.prediction(self.store.token_stats(self.id), self.config).first()
         return row.expected_input + row.expected_tool_output + row.expected_assistant_output if row and self.config.prediction.enabled else 0
@@ -123,10 +135,9 @@ class Session:
         own = self.store.spark.createDataFrame([(self.id,)], "session_id string")
         with self.store.commit(self.id, name="apply") as change:
             working, artifacts = apply_ops.materialize(self.view(), actions, counter=self.counter)
-            if recorded:
-                change.record_runs(headers, actions)
+            run = change.record_runs(headers, actions) if recorded else None
             change.insert_artifacts(artifacts)
-            change.replace_working_sets(working, own)
+            change.replace_working_sets(working, own, replay.applied(actions), run)
         self.last_plan = None
         return self.store.working_set(self.id)[0].orderBy("pos")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import content_hash
+from ..operators import replay
 from ..operators.items import ORDER, active, known, loaded
 from ..schema import KINDS, STATES, TABLES, Config, Model
 from .commits import Files, Log, to_merge
@@ -92,11 +93,18 @@ class Commit:
         """Statistics of higher counts than those stored; lower ones never count again."""
         self.append("token_stats", stats)
 
-    def replace_working_sets(self, working: DataFrame, sessions: DataFrame) -> None:
-        """Sets the working sets of ``sessions`` to these rows; other sessions' are neither read nor written."""
+    def replace_working_sets(self, working: DataFrame, sessions: DataFrame, applied: DataFrame | None = None, run: str | None = None) -> None:
+        """Sets the working sets of ``sessions`` to these rows; other sessions' are neither read nor written.
+
+        With ``applied`` (see ``replay.applied``) the version can be seen again after it was replaced; ``run`` is the run that made it.
+        """
         version = F.lit(time.time_ns())
         self.append("working_set_items", working.withColumn("version", version))
-        self.append("working_set_meta", sessions.select("session_id", F.current_timestamp().alias("materialized_at"), version.alias("version")))
+        last = self.old("events").groupBy("session_id").agg(F.max("event_id").alias("last_event"))
+        meta = sessions.select("session_id").join(last, "session_id", "left").withColumn("last_event", F.coalesce("last_event", F.lit(-1)))
+        self.append("working_set_meta", meta.withColumns({"materialized_at": F.current_timestamp(), "version": version, "run_id": F.lit(run)}))
+        if applied is not None:
+            self.append("working_set_actions", applied.withColumn("version", version))
 
     def append_working_sets(self, rows: DataFrame) -> None:
         """Adds rows to the working sets of sessions that have one."""
@@ -214,6 +222,19 @@ class Store:
         rows = self.read("working_set_items", session_id, buckets=buckets).join(meta.select("session_id", "version"), ["session_id", "version"], "left_semi")
         return rows.drop("version"), meta.drop("version")
 
+    def past(self, asked: DataFrame, *, session_id: str | None = None) -> DataFrame:
+        """Working sets as they were: of rows (ask_id, session_id, at) at these times, or of (ask_id, session_id, run_id) right after these runs (see ``replay.as_of``).
+
+        Only the asked sessions' part of the store is read; ``session_id`` is that of all asks, if they have one.
+        """
+        buckets = [self.bucket(session_id)] if session_id is not None else self.buckets(asked)
+        read = lambda name: self.read(name, session_id, buckets=buckets)
+        versions = read("working_set_meta")
+        added = read("events").where("type = 'context.add'")
+        arrivals = added.select("session_id", F.get_json_object("payload_json", "$.item_id").alias("item_id"), "event_id", F.col("created_at").alias("arrived_at"))
+        asks = replay.at_runs(asked, versions) if "run_id" in asked.columns else replay.at_times(asked, versions)
+        return replay.as_of(loaded(read("context_items")), arrivals, versions, read("working_set_actions"), asks)
+
     # ---- writing ----
 
     def _cast(self, name: str, rows: DataFrame) -> DataFrame:
@@ -277,8 +298,6 @@ class Store:
             return newest_stats(rows)
         if name == "item_totals":
             return added_up(rows)
-        if name == "working_set_meta":
-            return newest_meta(rows)
         if name == "working_set_items":
             return rows.join(newest_meta(self.read("working_set_meta", buckets=buckets)).select("session_id", "version"), ["session_id", "version"], "left_semi")
         return rows
