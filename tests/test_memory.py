@@ -64,6 +64,27 @@ def test_blocks_are_passed_over(spark, monkeypatch):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("part", [300, 24 << 20])
+def test_many_queries_at_once_equal_plain_scoring(spark, monkeypatch, part):
+    """More pairs than MANY_PAIRS go to groups of parts, also of one session in many parts, with ties, and with more ties than places."""
+    monkeypatch.setattr(memory, "MANY_PAIRS", 0)
+    monkeypatch.setattr(memory, "PART_BYTES", part)
+    rows = made() + [("t", f"same{i}", "w1 w2") for i in range(90)] + [("t", "near", "w1 w2 w3"), ("t", "far", "w9")]
+    df = spark.createDataFrame([(s, i, "Other", t, 1) for s, i, t in rows], ROWS)
+    asked = [(f"{q}-{s}", s, q, k) for s in ("a", "b", "t", "x") for q, k in (("w1 w59 über", 5), ("naïve 42 w3 w3", 3), ("nothing here", 5), ("w1 w2", 7), (" ".join(f"w{i}" for i in range(60)), 200), ("w9", 0))]
+    items, postings = memory.indexed(df)
+    out = memory.search(items, postings, spark.createDataFrame(asked, "query_id string, session_id string, query string, max_results int"))
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    found, keys = out.collect(), {(r.session_id, r.item_id): r.key for r in items.collect()}
+    for q, session, query, k in asked:
+        _, scores = plain(rows, session, query, k)
+        best = sorted((-round(x, 9), keys[session, i]) for i, x in scores.items())[:k]
+        got = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.key for r in got] == [key for _, key in best], q
+        assert [-r.score for r in got] == pytest.approx([x for x, _ in best], abs=2e-9)
+        assert [r["rank"] for r in got] == list(range(1, len(best) + 1)) and all(keys[session, r.item_id] == r.key for r in got)
+
+
 def test_memory_in_a_store(spark):
     table = TableMemory(Store.temporary(spark))
     rows = made(60)
