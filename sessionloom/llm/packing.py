@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of each of the two tables of an encoder, and bytes of the longest key; they only save time. Both hold at most about 170 MB a task, if it meets so many different words.
 CACHE_ENTRIES, CACHE_BYTES = 500_000, 40
 #: Bytes of a text that are split into words at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 22
 _SPACE = re.compile(rb"\s")
 
 
@@ -43,33 +44,39 @@ def _byte_chars() -> dict[int, str]:
 
 
 #: Words of these characters alone are lower-cased and split here exactly as the tokenizer does it; any other goes to it whole.
-_SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SIMPLE, _ALL_SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+"), re.compile(r"[\n\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
 
 
-class Lately(dict):
-    """Keys of at most CACHE_BYTES with what ``make`` made of them; once half of CACHE_ENTRIES are new, those not asked for since the last time go."""
+class Lately:
+    """``now``: keys with what ``make`` made of them, for all keys of the last call of ``learn`` and those before of at most CACHE_BYTES; once there are more than
+    half of CACHE_ENTRIES, those not asked for since the last time go."""
 
-    def __init__(self, make: Callable[[object], bytes]):
-        self.make, self.before = make, {}
+    def __init__(self, make: Callable[[list], list[bytes]]):
+        self.make, self.now, self.before, self.long = make, {}, {}, []
 
-    def __missing__(self, key: object) -> bytes:
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= CACHE_BYTES:
-            if len(self) >= CACHE_ENTRIES // 2:
-                self.before = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+    def learn(self, keys: set) -> None:
+        for key in self.long:
+            del self.now[key]
+        if len(self.now) >= CACHE_ENTRIES // 2:
+            self.before, self.now = self.now, {}
+        new = keys.difference(self.now)  # looks each key up, where a minus would go through the whole table
+        self.long = [k for k in new if len(k) > CACHE_BYTES]
+        self.now.update({k: self.before[k] for k in new if k in self.before})
+        if new := list(new.difference(self.now)):
+            self.now.update(zip(new, self.make(new), strict=True))
+
+
+#: Between the ids of words: no id has a highest byte that isn't 0, so none ends or begins within it.
+_BETWEEN = b"\xff" * 4
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer that splits at white space and parts of words.
 
     Its normalizer (NFC, white space, lower case) and splitting never look past white space, so the ids of a text are those
-    of its words in turn. Short words and parts seen lately come from two tables of at most CACHE_ENTRIES entries.
+    of its words in turn. Words and parts that a call meets for the first time are looked up all together; short ones seen lately come from
+    two tables of about CACHE_ENTRIES entries at most.
     """
 
     def __init__(self, path: str):
@@ -77,29 +84,73 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.words, self.parts = Lately(self.word), Lately(self.part)
-        self.chars = {chr(b): c for b, c in _byte_chars().items()}
-        self.table = str.maketrans(self.chars)
-
-    def part(self, s: str) -> bytes:
-        tokens = self.model.tokenize(s.encode().decode("latin-1").translate(self.table))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    def word(self, w: bytes) -> bytes:
-        s = w.decode()
-        if (s.isascii() and s.isprintable() or _SIMPLE.fullmatch(s)) and "<|" not in s:
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(s.lower())))
-        ids = self.tok.encode(s, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __call__(self, text: bytes) -> bytes:
-        out, a = [], 0
-        while a < len(text):
-            at = _SPACE.search(text, min(len(text), a + AT_ONCE))
-            b = at.start() if at else len(text)
-            out += map(self.words.__getitem__, text[a:b].split())
-            a = b
-        return b"".join(out)
+        self.words, self.parts = Lately(self.of_words), Lately(self.of_parts)
+        self.table = str.maketrans({chr(b): c for b, c in _byte_chars().items()})
+
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; a line end's are what goes between words."""
+        tokenize, flat, ends = self.model.tokenize, [], [0]
+        for p in parts:
+            flat += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.table))]
+            ends.append(4 * len(flat))
+        ids = np.array(flat, "<u4").tobytes()
+        return [_BETWEEN if p == "\n" else ids[a:b] for p, a, b in zip(parts, ends, ends[1:], strict=False)]
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: of its parts, or by the tokenizer."""
+        told = b"\n".join(words).decode()
+        if not told:
+            return [b""] * len(words)
+        if _ALL_SIMPLE.fullmatch(told) and "<|" not in told:
+            flat = _PARTS.findall(told.lower())
+            self.parts.learn(set(flat))
+            return b"".join(map(self.parts.now.__getitem__, flat)).split(_BETWEEN)
+        kinds = [_SIMPLE.fullmatch(s) is not None and "<|" not in s for s in told.split("\n")]
+        simple = [w for w, k in zip(words, kinds, strict=True) if k]
+        ids = iter(self.of_words(simple) if simple else [])
+        return [next(ids) if k else np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w, k in zip(words, kinds, strict=True)]
+
+    def _joined(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, by the ids of the words that differ."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.words.learn(set(known))
+        found = [self.words.now[w] for w in known]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        code = coded.indices.to_numpy()
+        size = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], size)
+        return np.split(ids[at], ends[words.offsets.to_numpy()[1:-1]])
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; long texts go in pieces that end at white space."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        rows: list[int] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            for row, ids in zip(rows, self._joined(held) if held else [], strict=True):
+                out[row].append(ids.tobytes())
+            rows.clear()
+            held.clear()
+
+        for row, text in enumerate(texts):
+            a = 0
+            while a < len(text):
+                at = _SPACE.search(text, min(len(text), a + AT_ONCE))
+                b = at.start() if at else len(text)
+                rows.append(row)
+                held.append(text[a:b])
+                size += b - a
+                a = b
+                if size >= AT_ONCE:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(ids) for ids in out]
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, path: str | None = None, end_id: int = 0) -> DataFrame:
@@ -114,11 +165,11 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)  # a task's own: a reused worker keeps nothing of it
         for batch in batches:
-            for some in slices(batch, "_text", 1 << 20):
+            for some in slices(batch, "_text", AT_ONCE):
                 texts = some.column(1).fill_null("").cast(pa.binary()).to_pylist()
                 out = [], [], [], [], []
-                for i, text in zip(some.column(0).to_pylist(), texts, strict=True):
-                    ids = encode(text) + end
+                for i, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    ids += end
                     for k, s in enumerate(range(0, len(ids), 4 * seq_len)):
                         part = ids[s : s + 4 * seq_len]
                         for column, x in zip(out, (i, k, s // 4, len(part) // 4, zlib.crc32(part)), strict=True):

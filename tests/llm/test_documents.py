@@ -553,6 +553,25 @@ def test_reduction_keeps_the_optimum():
         assert fixed + exact(list(rest.elements()), room) == exact(items, room), items
 
 
+def test_encoder_looks_new_words_up_together(monkeypatch):
+    """A batch's new words and parts are made in one call each, words of before in none; ids are the library's, also with small tables and short pieces."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    odd = ["naïve ÉCOLE it's they'LL a1b22 <|endoftext|> x<|startoftext|>y", "日本語 word ﬁ Ａ e\u0301", "\x00\x01 a\x7fb \x85x", "", " \t lead trail \n\n", "a\x1cb \x0b\x0c e", "a" * 100 + " 12345" * 9]
+    texts = [t.encode() for t in [*odd, *(f"word{i % 70} and don't-stop{i}, now." for i in range(200))]]
+    tok = Tokenizer.from_file(path := packing.tokenizer_path("word_bpe_49k.json"))
+    true = [np.array(tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encode, made = packing.Encoder(path), []
+    for table in (encode.words, encode.parts):
+        table.make = lambda keys, make=table.make: made.append(len(keys)) or make(keys)
+    assert encode(texts) == true and len(made) == 2
+    assert encode(texts[7:]) == true[7:] and len(made) == 2
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 20)
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    assert packing.Encoder(path)(texts) == true and packing.Encoder(path)([]) == []
+
+
 def check_packing(out, seq_len):
     places = {}
     for r in out:
