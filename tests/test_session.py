@@ -242,6 +242,42 @@ def test_a_stream_of_averages_goes_on(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_averages_of_many_keys_share_calls(monkeypatch):
+    """A group's keys are folded in one call and kept as one list: keys with nulls, equal names of other keys, more values than are held, and keys that come no more."""
+    import random
+
+    from sessionloom.streaming import ingest
+
+    class Listed:
+        rows, calls = [], 0
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = rows, self.calls + 1
+
+    monkeypatch.setattr(ingest, "ROWS_AT_ONCE", 50)
+    pick = random.Random(4)
+    for alpha in (0.25, 1.0, 0.0):
+        made = ingest._Averages(alpha, 2, 1, None)
+        made.state, all_rows, out = Listed(), [], {}
+        for batch in range(3):
+            rows = [(pick.choice(["1", "a", None]), pick.choice(["x", None, "a"]), 1000 * batch + i, None if pick.random() < 0.02 else float(pick.randint(0, 99))) for i in range(900 if batch < 2 else 20)]
+            rows += [("once", "x", 0, 5.0)] * (batch == 0)
+            all_rows += rows
+            pick.shuffle(rows)
+            frame = pd.DataFrame(rows, columns=["key0", "key1", "order0", "value"])
+            frames = [*made.handleInputRows((0,), iter([frame[k : k + 70] for k in range(0, len(frame), 70)]), None)]
+            assert len(frames) == 1 and made.state.calls == batch + 1
+            out |= {(k, j): (None if pd.isna(e) else e, n) for k, j, e, n in frames[0].astype(object).itertuples(index=False)}
+        want = serial([((a, b), v) for a, b, _, v in all_rows], alpha)
+        if alpha == 0.0:  # each batch begins with what was there
+            assert {k: n for k, (_, n) in out.items()} == {k: n for k, (_, n) in want.items()}
+        else:
+            assert out == want and {tuple(r[:2]): tuple(r[2:4]) for r in made.state.rows} == want
+
+
 def test_memory(spark):
     assert MemoryRef("none", "k").uri() == "memory://none/k" and RetrievalQuery("s", "q").max_results == 5
     m = NullMemory(spark)
