@@ -134,3 +134,20 @@ def test_config(tmp_path):
             bad.validate()
     with pytest.raises(ConfigError):
         Model("m", 1, 1).check(Config())
+
+
+def test_counts_get_texts_in_small_batches(spark):
+    """However many rows of long texts a task has, a worker that counts gets a few MB of them at once."""
+    import pyarrow as pa
+
+    from sessionloom.functions import text
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+        counted = rows.select(text.token_count(F.col("text")).alias("n"), F.arrow_udf(lambda x: pa.array([x.nbytes] * len(x)), "long")("text").alias("held"))
+        assert counted.agg(F.min("n"), F.max("n"), F.max("held") < 2 * text.BATCH_BYTES).first()[:] == (4000, 4000, True)
+    finally:
+        spark.conf.set(name, old)
